@@ -73,9 +73,10 @@ def suppress_repeats(firings: DataFrame, history: DataFrame | None = None, block
     extend = lambda s, x: F.when(
         x >= s["last"] + wait, F.struct(x.alias("last"), F.concat(s["sent"], F.array(x)).alias("sent"))
     ).otherwise(s)
-    return firsts.join(blocks, [*_GROUP, "block"]).select(
-        *_GROUP, F.timestamp_micros(F.explode(F.aggregate("times", begin, extend)["sent"])).alias("eval_ts")
+    sent = firsts.join(blocks, [*_GROUP, "block"]).select(
+        *_GROUP, F.explode(F.aggregate("times", begin, extend)["sent"]).alias("sent")
     )
+    return sent.select(*_GROUP, F.timestamp_micros("sent").alias("eval_ts"))
 
 
 def not_waiting(evaluated: DataFrame, history: DataFrame) -> DataFrame:

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from loglake.frames import scratch_dir
 from loglake.functions.timestamps import timestamp_to_iso
-from loglake.operators.windows import sliding_counts
+from loglake.operators.rules import triggered
+from loglake.operators.windows import rule_counts_by_tick, sliding_counts
 from loglake.registry.alerts import TICKS, error_rule
-from loglake.registry.base import LOGS, POLICIES, logs_from_events, policies, query, table
-from loglake.streaming.alerts import alert_stream
+from loglake.registry.base import LOGS, ORACLES, POLICIES, logs_from_events, policies, query, table
+from loglake.streaming.alerts import alert_stream, suppress_stream
 from loglake.streaming.ingest import ingest_stream
 from loglake.streaming.windows import sliding_count_stream, unique_events
 
@@ -66,11 +67,21 @@ CLOSED = "(SELECT epoch(max(ts)) - 600 FROM logs)"
         SELECT application, tick * 60 AS eval_epoch, n AS total_num_found FROM sent JOIN closed USING (application, tick)""",
 )
 def alerts(spark, sf):
-    sent = alert_stream(log_stream(spark, sf), error_rule())
-    out = finish(spark, sent.drop("rule_id"), "alerts")
+    path, checkpoint = scratch_dir(spark, "alert-stream"), scratch_dir(spark, "alert-stream-checkpoint")
+    alert_stream(log_stream(spark, sf), error_rule(), path, checkpoint, interval=None).awaitTermination()
+    out = spark.read.parquet(f"{path}/alerts")
     return out.select("application", F.unix_seconds("eval_ts").alias("eval_epoch"), "total_num_found")
 
 
+@query("t02_suppress_stream", ORACLES["w03_suppress_repeats"])
+def stateful_suppression(spark, sf):
+    path = scratch_dir(spark, "firings")
+    firings = triggered(rule_counts_by_tick(logs_from_events(table(spark, sf, "events")), error_rule(), 10))
+    firings.write.parquet(path)
+    sent = finish(spark, suppress_stream(spark.readStream.schema(firings.schema).parquet(path)), "sent")
+    return sent.select("application", F.unix_seconds("eval_ts").alias("eval_epoch"))
+
+
 @query(
     "t03_sliding_count_stream",
     f"""WITH {LOGS}, panes AS (SELECT application, CAST(floor(epoch(ts) / 60) AS BIGINT) AS pane FROM logs)

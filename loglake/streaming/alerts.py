@@ -3,98 +3,130 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from datetime import datetime
+from datetime import datetime, timezone
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loglake.operators.rules import at_time, condition_hits, index_conditions, triggered
-from loglake.operators.suppression import active_suppressions, mark_triggered
+from loglake.operators.suppression import active_suppressions, mark_triggered, suppress_repeats
 from loglake.operators.windows import MICROS_PER_MINUTE
 from loglake.plans.alerting import run_round
 from loglake.sources.config import Application
 from loglake.streaming.windows import with_lateness
 
-FIRED = "application string, rule_id string, eval_us bigint, total_num_found bigint"
+SENT = "application string, rule_id string, eval_us bigint"
+STATE = "application string, rule_id string, retry_interval int, last_triggered timestamp"
 
 
-def _send_unless_waiting(
-    key: tuple, frames: Iterator[pd.DataFrame], state: GroupState
-) -> Iterator[pd.DataFrame]:
-    """Firings of one rule, in time order, minus those inside the wait period of the last one sent."""
-    rows = pd.concat(list(frames)).sort_values("eval_us")
-    last = state.get[0] if state.exists else None
-    sent = []
-    for row in rows.itertuples(index=False):
-        if last is None or row.eval_us >= last + (row.retry_interval + 1) * MICROS_PER_MINUTE:
-            last = row.eval_us
-            sent.append((*key, row.eval_us, row.total_num_found))
-    if last is not None:
-        state.update((last,))
-    yield pd.DataFrame(sent, columns=["application", "rule_id", "eval_us", "total_num_found"])
+def suppress_stream(firings: DataFrame) -> DataFrame:
+    """Stateful twin of ``suppress_repeats`` for a stream of firings (application, rule_id, retry_interval, eval_ts).
+
+    The state is the last time sent per rule. A firing is one evaluation of one rule, so a group grows with time,
+    not with log rows; arrival order counts, as for any state kept across batches.
+    """
+
+    # Defined here so that it travels by value and executors need not have this package installed.
+    def send_unless_waiting(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames)).sort_values("eval_us")
+        last = state.get[0] if state.exists else None
+        sent = []
+        for row in rows.itertuples(index=False):
+            if last is None or row.eval_us >= last + (row.retry_interval + 1) * MICROS_PER_MINUTE:
+                last = row.eval_us
+                sent.append((*key, row.eval_us))
+        if last is not None:
+            state.update((last,))
+        yield pd.DataFrame(sent, columns=["application", "rule_id", "eval_us"])
+
+    keyed = firings.select("application", "rule_id", "retry_interval", F.unix_micros("eval_ts").alias("eval_us"))
+    sent = keyed.groupBy("application", "rule_id").applyInPandasWithState(
+        send_unless_waiting, SENT, "last bigint", "append", GroupStateTimeout.NoTimeout
+    )
+    return sent.select("application", "rule_id", F.timestamp_micros("eval_us").alias("eval_ts"))
 
 
 def alert_stream(
-    logs: DataFrame, applications: list[Application], lookback: str = "10 minutes", tick: str = "1 minute",
+    logs: DataFrame,
+    applications: list[Application],
+    path: str,
+    checkpoint: str,
+    lookback: str = "10 minutes",
+    tick: str = "1 minute",
     delay: str = "10 minutes",
-) -> DataFrame:
-    """Rules evaluated at every tick of event time, repeats suppressed; append mode.
+    interval: str | None = "1 minute",
+) -> StreamingQuery:
+    """Rules evaluated at every tick of event time, repeats suppressed.
 
-    Rows are reduced to counts per (application, rule, window) in the map tasks before any state is touched, so the
-    Python state function sees at most one row per rule and tick.
+    Rows become counts per (application, condition, window) in the map tasks. Each micro-batch then handles only the
+    windows it closes: threshold, suppression against the state of the batch before, alerts and state written to
+    folders of its own under ``path``. A replayed batch reads the same state and overwrites the same folders.
     """
+    spark = logs.sparkSession
     timed = at_time(logs, F.col("ts"))
     conditions, rules, names = index_conditions(timed, applications)
     hits = condition_hits(with_lateness(timed, delay), conditions, names, "application", "ts")
-    counts = hits.groupBy("application", "condition", F.window("ts", lookback, tick).alias("w")).agg(
-        F.count("*").alias("total_num_found")
+    counts = (
+        hits.groupBy("application", "condition", F.window("ts", lookback, tick).alias("w"))
+        .agg(F.count("*").alias("total_num_found"))
+        .select("application", "condition", F.col("w.end").alias("eval_ts"), "total_num_found")
     )
-    fired = triggered(counts.join(rules, ["application", "condition"])).select(
-        "application", "rule_id", "retry_interval", F.unix_micros("w.end").alias("eval_us"), "total_num_found"
-    )
-    sent = fired.groupBy("application", "rule_id").applyInPandasWithState(
-        _send_unless_waiting, FIRED, "last bigint", "append", GroupStateTimeout.NoTimeout
-    )
-    return sent.select("application", "rule_id", F.timestamp_micros("eval_us").alias("eval_ts"), "total_num_found")
+
+    def close_windows(batch: DataFrame, batch_id: int) -> None:
+        fired = triggered(batch.join(rules, ["application", "condition"])).persist()
+        state = read_state(spark, path, batch_id - 1)
+        sent = suppress_repeats(fired, state).select("application", "rule_id", "eval_ts")
+        alerts = fired.join(sent, ["application", "rule_id", "eval_ts"]).drop("condition")
+        alerts.write.mode("overwrite").parquet(f"{path}/alerts/batch={batch_id}")
+        written = spark.read.schema(alerts.schema).parquet(f"{path}/alerts/batch={batch_id}")
+        write_state(mark_triggered(state, written), path, batch_id)
+        fired.unpersist()
+
+    return start_batches(counts, close_windows, checkpoint, interval)
+
+
+def read_state(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
+    """Suppression state after a batch; empty before the first."""
+    if batch_id < 0:
+        return spark.createDataFrame([], STATE)
+    return spark.read.schema(STATE).parquet(f"{path}/state/batch={batch_id}")
+
+
+def write_state(state: DataFrame, path: str, batch_id: int) -> None:
+    state.write.mode("overwrite").parquet(f"{path}/state/batch={batch_id}")
+
+
+def start_batches(
+    df: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, interval: str | None
+) -> StreamingQuery:
+    trigger = {"processingTime": interval} if interval else {"availableNow": True}
+    return df.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 def alert_rounds(
     ticks: DataFrame,
     read_logs: Callable[[], DataFrame],
     applications: list[Application],
-    state_path: str,
+    path: str,
     checkpoint: str,
     send: Callable[[DataFrame], None],
     interval: str | None = "1 minute",
     clock: Callable[[], datetime] | None = None,
 ) -> StreamingQuery:
-    """One alerting round over the stored logs per trigger, as a table-state loop without Python on executors.
+    """One alerting round over the stored logs per trigger: absence rules, look-backs and SQL rules included.
 
-    ``ticks`` is any stream (a rate source, or the log stream itself). Round N reads the state written by round
-    N-1 and writes its own folder, so a replayed round starts from the same state.
+    ``ticks`` is any stream, such as a rate source or the log stream itself. State is kept as in ``alert_stream``.
     """
     spark = ticks.sparkSession
-    state_schema = "application string, rule_id string, retry_interval int, last_triggered timestamp"
-
-    def round_of(batch: DataFrame, batch_id: int) -> None:
-        now = clock() if clock else datetime.now().astimezone()
-        state = (
-            spark.read.schema(state_schema).parquet(f"{state_path}/round={batch_id - 1}")
-            if batch_id
-            else spark.createDataFrame([], state_schema)
-        )
+
+    def one_round(_: DataFrame, batch_id: int) -> None:
+        now = clock() if clock else datetime.now(timezone.utc)
+        state = read_state(spark, path, batch_id - 1)
         alerts = run_round(read_logs(), applications, now, state)
-        kept = active_suppressions(state, now)
-        mark_triggered(kept, alerts).write.mode("overwrite").parquet(f"{state_path}/round={batch_id}")
+        write_state(mark_triggered(active_suppressions(state, now), alerts), path, batch_id)
         send(alerts)
 
-    trigger = {"processingTime": interval} if interval else {"availableNow": True}
-    return (
-        ticks.writeStream.foreachBatch(round_of)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**trigger)
-        .start()
-    )
+    return start_batches(ticks, one_round, checkpoint, interval)
