@@ -102,10 +102,11 @@ def lower_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.lower() for c in df.columns])
 
 
-def row_as_map(columns: list[str]) -> Column:
-    """The named columns as a name -> text map without NULL entries."""
+def row_as_map(columns: list[str] | dict[str, Column]) -> Column:
+    """The columns as a name -> text map without NULL entries."""
+    named = columns if isinstance(columns, dict) else {c: F.col(c) for c in columns}
     full = F.map_from_arrays(
-        F.array(*[F.lit(c) for c in columns]), F.array(*[F.col(c).cast("string") for c in columns])
+        F.array(*[F.lit(n) for n in named]), F.array(*[c.cast("string") for c in named.values()])
     )
     return F.map_filter(full, lambda _, v: v.isNotNull())
 

@@ -1,7 +1,7 @@
 """Alert rules over logs: all rules of all applications in one scan.
 
-Rules that share a condition share its evaluation. A row is expanded only to the conditions it satisfies, and
-counts are combined in the map tasks, so the shuffle carries at most (applications x conditions) rows per task.
+Rules that share a condition share its evaluation. Counts are combined in the map tasks; documents are cut to the
+newest few per rule there.
 """
 
 from __future__ import annotations
@@ -18,12 +18,18 @@ from pyspark.sql import types as T
 from loglake.frames import local_frame
 from loglake.functions.events import row_as_map
 from loglake.functions.predicates import exceeds_threshold
+from loglake.functions.timestamps import timestamp_to_iso
 from loglake.schema import DEFAULT_ALERT_TYPE, MAX_DOCUMENTS, RULES
-from loglake.sources.config import AlertRule, Application
+from loglake.sources.config import AlertRule, Application, since
 from loglake.sources.stored import read_sql_rule
 
 log = logging.getLogger(__name__)
 
+# Up to this many conditions are also applied as a filter, which can skip row groups.
+FILTERING_CONDITIONS = 4
+# Counters in one aggregate; more conditions take further scans.
+COUNTERS_PER_SCAN = 256
+
 _INDEXED_RULES = T.StructType([*RULES.fields, T.StructField("condition", T.IntegerType())])
 
 
@@ -53,32 +59,48 @@ def _usable(logs: DataFrame, rule: AlertRule, application: str) -> bool:
 
 def index_conditions(logs: DataFrame, applications: list[Application]) -> tuple[list[Column], DataFrame, list[str]]:
     """Distinct conditions, the rules frame with the index of each rule's condition, and the applications used."""
-    conditions: dict[object, tuple[int, Column]] = {}
-    unusable: set[object] = set()
-    rows = []
+    usable: dict[tuple, bool] = {}
+    users: dict[tuple, set[str]] = {}
+    by_key: dict[tuple, AlertRule] = {}
+    kept = []
     for application, rule in search_rules(applications):
-        key = rule.predicate or rule.query
-        if key in unusable:
-            continue
-        if key not in conditions:
-            if not _usable(logs, rule, application):
-                unusable.add(key)
-                continue
-            conditions[key] = (len(conditions), rule.condition())
-        rows.append(
-            {
-                "application": application,
-                "rule_id": rule.rule_id,
-                "query": rule.query,
-                "retry_interval": rule.retry_interval,
-                "result_threshold": rule.result_threshold,
-                "alert_profiles": list(rule.alert_profiles),
-                "alert_type": rule.alert_type,
-                "condition": conditions[key][0],
-            }
-        )
-    frame = local_frame(logs.sparkSession, rows, _INDEXED_RULES)
-    return [c for _, c in conditions.values()], frame, sorted({r["application"] for r in rows})
+        key = rule.condition_key
+        if key not in usable:
+            usable[key] = _usable(logs, rule, application)
+        if usable[key]:
+            by_key.setdefault(key, rule)
+            users.setdefault(key, set()).add(application)
+            kept.append((application, rule))
+    names = sorted({a for a, _ in kept})
+    conditions = []
+    for key, rule in by_key.items():
+        # A cheap test of the application comes before a condition that not every application uses.
+        mine = users[key]
+        guard = None if len(mine) == len(names) else F.col("application").isin(sorted(mine))
+        conditions.append(rule.condition() if guard is None else guard & rule.condition())
+    index = {key: i for i, key in enumerate(by_key)}
+    rows = [
+        {
+            "application": application,
+            "rule_id": rule.rule_id,
+            "query": rule.query,
+            "retry_interval": rule.retry_interval,
+            "result_threshold": rule.result_threshold,
+            "alert_profiles": list(rule.alert_profiles),
+            "alert_type": rule.alert_type,
+            "condition": index[rule.condition_key],
+        }
+        for application, rule in kept
+    ]
+    return conditions, local_frame(logs.sparkSession, rows, _INDEXED_RULES), names
+
+
+def recent(logs: DataFrame, applications: list[Application]) -> DataFrame:
+    """Rows inside the longest look-back, when every search rule has one: a condition that reaches the scan."""
+    lookbacks = [r.lookback for _, r in search_rules(applications)]
+    if not lookbacks or None in lookbacks:
+        return logs
+    return logs.filter(since(max(lookbacks)) & (F.col("ts") <= F.col("eval_ts")))
 
 
 def condition_hits(logs: DataFrame, conditions: list[Column], applications: list[str], *columns) -> DataFrame:
@@ -96,11 +118,32 @@ def rule_counts(hits: DataFrame) -> DataFrame:
     return hits.groupBy("application", "condition").agg(F.count("*").alias("total_num_found"))
 
 
+def condition_counts(logs: DataFrame, conditions: list[Column], applications: list[str]) -> DataFrame:
+    """Rows per (application, condition).
+
+    One counter per condition, so a row is never copied, parts that conditions share are evaluated once, and each
+    map task sends one row per application. Few conditions also filter the scan.
+    """
+    scoped = logs.filter(F.col("application").isin(applications))
+    if not conditions:
+        return scoped.select("application", F.lit(0).alias("condition"), F.lit(0).cast("bigint").alias("total_num_found")).limit(0)
+    if len(conditions) <= FILTERING_CONDITIONS:
+        scoped = scoped.filter(reduce(lambda a, b: a | b, conditions))
+    parts = []
+    for first in range(0, len(conditions), COUNTERS_PER_SCAN):
+        part = conditions[first : first + COUNTERS_PER_SCAN]
+        counters = [F.count_if(c).alias(f"c{i}") for i, c in enumerate(part)]
+        counted = scoped.groupBy("application").agg(*counters)
+        cells = F.posexplode(F.array(*[F.col(f"c{i}") for i in range(len(part))])).alias("condition", "total_num_found")
+        parts.append(counted.select("application", cells).withColumn("condition", F.col("condition") + first))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def evaluate_rules(logs: DataFrame, applications: list[Application], now: datetime) -> DataFrame:
     """Rows found by every search rule at ``now``; rules without a hit come back with 0."""
     timed = at_time(logs, now)
     conditions, rules, names = index_conditions(timed, applications)
-    counts = rule_counts(condition_hits(timed, conditions, names, "application"))
+    counts = condition_counts(recent(timed, applications), conditions, names)
     return (
         rules.join(counts, ["application", "condition"], "left")
         .withColumn("total_num_found", F.coalesce("total_num_found", F.lit(0)))
@@ -154,17 +197,28 @@ def cap_documents(hits: DataFrame, n: int = MAX_DOCUMENTS) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
 
 
+def document_columns(logs: DataFrame, fields: list[str]) -> dict[str, Column]:
+    """The document fields that the logs have; ``timestamp`` is the ISO text of ``ts`` where it is no column."""
+    have = {f: F.col(f) for f in fields if f in logs.columns}
+    if "timestamp" in fields and "timestamp" not in have:
+        have["timestamp"] = timestamp_to_iso("ts")
+    return have
+
+
 def rule_documents(
-    logs: DataFrame, applications: list[Application], now: datetime, document: list[str], n: int = MAX_DOCUMENTS
+    logs: DataFrame, applications: list[Application], now: datetime, fields: list[str], n: int = MAX_DOCUMENTS
 ) -> DataFrame:
     """Up to ``n`` newest matching rows per rule as an array of name -> text maps."""
     timed = at_time(logs, now)
     conditions, rules, names = index_conditions(timed, applications)
-    hits = condition_hits(timed, conditions, names, "application", "id", "ts", row_as_map(document).alias("document"))
+    document = row_as_map(document_columns(logs, fields)).alias("document")
+    hits = condition_hits(
+        recent(timed, applications), conditions, names, "application", "id", "ts", document
+    )
     ranked = cap_documents(hits, n).groupBy("application", "condition").agg(
-        F.sort_array(F.collect_list(F.struct("rank", F.to_json("document").alias("json")))).alias("d")
+        F.map_from_entries(F.collect_list(F.struct("rank", "document"))).alias("by_rank")
     )
-    documents = F.transform("d", lambda x: F.from_json(x["json"], "map<string,string>"))
+    documents = F.transform(F.sequence(F.lit(1), F.size("by_rank")), lambda i: F.col("by_rank")[i])
     return rules.join(ranked, ["application", "condition"]).select(
         "application", "rule_id", documents.alias("documents")
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+from dataclasses import replace
 from datetime import datetime
 from functools import reduce
 
@@ -29,7 +30,7 @@ def triggered_alerts(
     applications: list[Application],
     now: datetime,
     history: DataFrame | None = None,
-    document: list[str] | None = None,
+    fields: list[str] | None = None,
     strict_reference: bool = False,
 ) -> DataFrame:
     """Search and SQL rules that fire at ``now``, with total and documents.
@@ -37,7 +38,7 @@ def triggered_alerts(
     A lazy plan of two scans: one counts, one fetches the newest documents per rule.
     """
     found = triggered(evaluate_rules(logs, applications, now), strict_reference)
-    documents = rule_documents(logs, applications, now, document or DOCUMENT_FIELDS)
+    documents = rule_documents(logs, applications, now, fields or DOCUMENT_FIELDS)
     alerts = found.join(documents, ["application", "rule_id"], "left")
     if any(r.alert_type == "sql" for a in applications for r in a.alert_rules):
         sql = triggered(evaluate_sql_rules(logs.sparkSession, applications, now), strict_reference)
@@ -65,27 +66,42 @@ def notifications(alerts: DataFrame, applications: list[Application]) -> tuple[D
 def run_round(
     logs: DataFrame, applications: list[Application], now: datetime, history: DataFrame | None = None
 ) -> DataFrame:
-    """Alerts of this round, materialised. If a rule fails on the data, the rules run one by one without it.
+    """Alerts of this round, materialised.
 
-    The result has at most one row per configured rule and ten documents each, so it is brought to the driver.
+    The counting scan comes first. Its outcome is one small row per rule and comes to the driver; the document scan
+    then runs for the rules that fired only, and not at all when none did. If a rule fails on the data, the rules
+    run one by one and the others are kept.
     """
-    spark = logs.sparkSession
-
-    def attempt(apps: list[Application]) -> DataFrame:
-        alerts = triggered_alerts(logs, apps, now, history)
-        return spark.createDataFrame(alerts.collect(), alerts.schema)
-
     try:
-        return attempt(applications)
+        return _attempt(logs, applications, now, history)
     except PySparkException as error:
         log.error("a rule failed, running them one by one: %s", error)
     parts = []
     for a in applications:
         for r in a.alert_rules:
             try:
-                parts.append(attempt([Application(a.name, (r,), a.email_profiles, a.slack_profiles)]))
+                parts.append(_attempt(logs, [replace(a, alert_rules=(r,))], now, history))
             except PySparkException as error:
                 log.error("rule %r of %s failed: %s", r.query, a.name, error)
-    if not parts:
-        return triggered_alerts(logs, [], now, history)
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, parts) if parts else _attempt(logs, [], now, history)
+
+
+def _attempt(
+    logs: DataFrame, applications: list[Application], now: datetime, history: DataFrame | None
+) -> DataFrame:
+    spark = logs.sparkSession
+
+    def here(df: DataFrame) -> DataFrame:
+        due = triggered(df) if history is None else not_waiting(triggered(df), history)
+        return spark.createDataFrame(due.toArrow(), due.schema)
+
+    found = here(evaluate_rules(logs, applications, now))
+    fired = {(r["application"], r["rule_id"]) for r in found.select("application", "rule_id").collect()}
+    firing = [
+        replace(a, alert_rules=tuple(r for r in a.alert_rules if (a.name, r.rule_id) in fired)) for a in applications
+    ]
+    documents = rule_documents(logs, firing, now, DOCUMENT_FIELDS)
+    documents = spark.createDataFrame(documents.toArrow(), documents.schema)
+    alerts = found.join(documents, ["application", "rule_id"], "left")
+    alerts = alerts.unionByName(here(evaluate_sql_rules(spark, applications, now)))
+    return alerts.withColumn("documents", F.coalesce("documents", F.array().cast("array<map<string,string>>")))

@@ -19,12 +19,13 @@ from loglake.sinks.logs import write_alert_history
 from loglake.sources import config as C
 from loglake.sources.stored import read_sql_rule
 
-ERRORS_TODAY = "level = 'ERROR' AND ts >= eval_ts - INTERVAL 24 HOURS AND ts <= eval_ts"
+ERRORS = "level = 'ERROR'"
+A_DAY = 24 * 60
 
 
 def shipped_style(names: list[str] | None = None) -> list[C.Application]:
     """The rule of the shipped configuration for every application: any ERROR in the look-back alerts."""
-    rule = C.AlertRule(ERRORS_TODAY, 10, ("ops",), 0)
+    rule = C.AlertRule(ERRORS, 10, ("ops",), 0, lookback=A_DAY)
     return [
         C.Application(n, (rule,), (("ops", (f"{n}@example.com", "duty@example.com")),), (("ops", f"http://chat/{n}"),))
         for n in names or [f"app-{i}" for i in range(5)]
@@ -48,7 +49,7 @@ def many_rules(n: int) -> list[C.Application]:
 # Rules with a short name as query text, so that results can be matched by name.
 def named_rules() -> list[C.Application]:
     def rule(name, predicate, threshold=None, profiles=("ops",), retry=10):
-        return C.AlertRule(name, retry, profiles, threshold, None, predicate)
+        return C.AlertRule(name, retry, profiles, threshold, predicate=predicate)
 
     today = lambda now: P.time_range("ts", "NOW-24HOURS", "NOW", now)
     errors = lambda now: P.term("level", "ERROR") & today(now)
@@ -461,7 +462,7 @@ TEXTS = f"""{PROFILES}, ranked AS (SELECT *, row_number() OVER (PARTITION BY app
 
 
 def full_alerts(spark, sf):
-    return triggered_alerts(logs(spark, sf), named_rules(), NOW, document=["id", "level", "message"])
+    return triggered_alerts(logs(spark, sf), named_rules(), NOW, fields=["id", "level", "message"])
 
 
 @query("p12_alert_subject", f"WITH {TEXTS} SELECT DISTINCT application, query, subject FROM texts")

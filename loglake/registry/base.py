@@ -12,6 +12,8 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loglake.frames import small_or_same
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -101,15 +103,16 @@ def with_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def collections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue those collections make up; it is materialised, as a stored catalogue would be."""
     from loglake.operators.collections import collections_of
 
-    return collections_of(with_collections(spark, sf_dir))
+    return small_or_same(collections_of(with_collections(spark, sf_dir)))
 
 
 def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A retention policy for most applications seen: some settings left to the defaults, one kept for two days."""
     number = F.substring("application", 5, 9).cast("int")
-    return (
+    return small_or_same(
         logs(spark, sf_dir)
         .select("application")
         .distinct()

@@ -20,12 +20,18 @@ def write_logs(df: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def stream_logs(
-    df: DataFrame, path: str, checkpoint: str, interval: str | None = "1 second"
+    df: DataFrame, path: str, checkpoint: str, interval: str | None = "1 second", spread: int = 8
 ) -> StreamingQuery:
-    """Append a stream to its collections, exactly once; ``interval`` None takes what is there and stops."""
+    """Append a stream to its collections, exactly once; ``interval`` None takes what is there and stops.
+
+    Rows are gathered by collection, so that a micro-batch writes at most ``spread`` files per collection instead of
+    one per task; a busy collection is still written by ``spread`` tasks.
+    """
     trigger = {"processingTime": interval} if interval else {"availableNow": True}
+    share = F.pmod(F.xxhash64("id"), F.lit(spread))
     return (
-        df.writeStream.format("parquet")
+        df.repartition(*PARTITIONS, share)
+        .writeStream.format("parquet")
         .partitionBy(*PARTITIONS)
         .option("path", path)
         .option("checkpointLocation", checkpoint)

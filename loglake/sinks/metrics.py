@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglake.operators.metrics import conflicting_metrics, first_metrics, new_metrics
+from loglake.schema import METRIC_KEY
 
 HASH_BUCKETS = 4
 
@@ -17,6 +18,13 @@ def _placed(df: DataFrame) -> DataFrame:
     )
 
 
+def _stored(spark: SparkSession, path: str, batch: DataFrame) -> DataFrame:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:  # no table yet
+        return spark.createDataFrame([], _placed(batch).schema)
+
+
 def write_metrics(df: DataFrame, path: str, on_conflict: str = "ignore") -> None:
     """Insert readings (``ts`` timestamp, key, tag, value). An empty batch changes nothing.
 
@@ -25,23 +33,23 @@ def write_metrics(df: DataFrame, path: str, on_conflict: str = "ignore") -> None
     """
     if on_conflict not in ("ignore", "error"):
         raise ValueError(f"on_conflict must be 'ignore' or 'error', not {on_conflict!r}")
-    spark = df.sparkSession
-    days = df.agg(F.min(F.to_date("ts")).alias("lo"), F.max(F.to_date("ts")).alias("hi")).first()
-    if days["lo"] is None:
-        return
+    batch = df.persist()
     try:
-        stored = spark.read.parquet(path).filter(F.col("day").between(days["lo"], days["hi"]))
-    except AnalysisException:
-        stored = spark.createDataFrame([], _placed(first_metrics(df)).schema)
-    if on_conflict == "error":
-        repeated = df.groupBy("ts", "key", "tag").count().filter("count > 1")
-        if not repeated.isEmpty() or not conflicting_metrics(df, stored).isEmpty():
-            raise ValueError("metric with an existing (ts, key, tag)")
-    fresh = _placed(new_metrics(first_metrics(df), stored))
-    (
-        fresh.hint("rebalance", "day", "bucket")
-        .sortWithinPartitions("day", "bucket", "ts")
-        .write.mode("append")
-        .partitionBy("day", "bucket")
-        .parquet(path)
-    )
+        days = batch.agg(F.min(F.to_date("ts")).alias("lo"), F.max(F.to_date("ts")).alias("hi")).first()
+        if days["lo"] is None:
+            return
+        stored = _stored(df.sparkSession, path, batch).filter(F.col("day").between(days["lo"], days["hi"]))
+        if on_conflict == "error":
+            repeated = batch.groupBy(*METRIC_KEY).count().filter("count > 1")
+            if not repeated.isEmpty() or not conflicting_metrics(batch, stored).isEmpty():
+                raise ValueError("metric with an existing (ts, key, tag)")
+        fresh = _placed(new_metrics(first_metrics(batch), stored))
+        (
+            fresh.hint("rebalance", "day", "bucket")
+            .sortWithinPartitions("day", "bucket", "ts")
+            .write.mode("append")
+            .partitionBy("day", "bucket")
+            .parquet(path)
+        )
+    finally:
+        batch.unpersist()

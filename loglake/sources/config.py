@@ -29,7 +29,8 @@ class AlertRule:
 
     ``query`` is a Spark SQL condition over the log columns and ``eval_ts`` (the evaluation time), or, for type
     'sql', a full query. ``predicate`` may replace the condition by a function from ``eval_ts`` to a Column;
-    ``query`` is then the text shown in notifications.
+    ``query`` is then the text shown in notifications. ``lookback`` (minutes) limits the rule to
+    ``[eval_ts - lookback, eval_ts]``; when all rules have one, the longest prunes the scan.
     """
 
     query: str
@@ -37,16 +38,28 @@ class AlertRule:
     alert_profiles: tuple[str, ...]
     result_threshold: int | None = None
     alert_type: str | None = None
+    lookback: int | None = None
     predicate: Callable[[Column], Column] | None = field(default=None, compare=False)
 
     @property
     def rule_id(self) -> str:
         """Identity of a rule is its whole content."""
         content = [self.query, self.retry_interval, self.result_threshold, list(self.alert_profiles), self.alert_type]
+        content += [] if self.lookback is None else [self.lookback]
         return hashlib.sha256(json.dumps(content).encode()).hexdigest()[:16]
 
+    @property
+    def condition_key(self) -> tuple:
+        """Rules with equal keys have the same condition."""
+        return (self.predicate or self.query, self.lookback)
+
     def condition(self) -> Column:
-        return self.predicate(F.col("eval_ts")) if self.predicate else F.expr(self.query)
+        hit = self.predicate(F.col("eval_ts")) if self.predicate else F.expr(self.query)
+        return hit if self.lookback is None else hit & since(self.lookback) & (F.col("ts") <= F.col("eval_ts"))
+
+
+def since(lookback_minutes: int) -> Column:
+    return F.col("ts") >= F.col("eval_ts") - F.expr(f"INTERVAL {int(lookback_minutes)} MINUTES")
 
 
 @dataclass(frozen=True)
@@ -67,7 +80,7 @@ def parse_applications(config: dict) -> list[Application]:
                 raise ValueError(f"unknown alert type in rule {r}")
             rules.append(
                 AlertRule(r["query"], int(r["retryInterval"]), tuple(r["alertProfiles"]),
-                          r.get("resultThreshold"), r.get("alertType"))
+                          r.get("resultThreshold"), r.get("alertType"), r.get("lookback"))
             )
         mails = tuple((p["name"], tuple(p["addresses"])) for p in app.get("emailProfiles") or [])
         slacks = tuple((p["name"], p["url"]) for p in app.get("slackProfiles") or [])

@@ -21,6 +21,8 @@ TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
 
+SQL_TYPES = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN"}
+
 
 def session(cores: int = 8) -> SparkSession:
     return (
@@ -62,6 +64,10 @@ def compare(spark: SparkSession, sf_dir: str, run, sql: str | None) -> tuple[boo
     theirs = rows_of(names, result.fetchall())
     if sorted(names) != sorted(df.columns):
         return False, f"columns {sorted(df.columns)} against {sorted(names)}"
+    theirs_types = {d[0]: str(d[1]) for d in result.description}
+    odd = {c: (t, theirs_types[c]) for c, t in df.dtypes if SQL_TYPES.get(t) != theirs_types[c]}
+    if odd:
+        return False, f"types {odd}"
     if ours == theirs:
         return True, f"{len(ours)} rows"
     ours_only = [r for r in ours if r not in set(theirs)][:3]
