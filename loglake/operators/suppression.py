@@ -17,8 +17,9 @@ _GROUP = ["application", "rule_id", "retry_interval"]
 def suppress_repeats(firings: DataFrame, history: DataFrame | None = None, block_minutes: int = 1440) -> DataFrame:
     """The firings that are sent: after one is, the rule is skipped while it is inside its wait period.
 
-    ``firings`` has application, rule_id, retry_interval and eval_ts (evaluation instants); ``history`` may give
-    ``last_triggered`` per (application, rule_id).
+    ``firings`` has application, rule_id, retry_interval and eval_ts: evaluation instants, of which a rule has at most
+    one per tick (``evaluation_tick`` gives the one for a log row). ``history`` may give ``last_triggered`` per
+    (application, rule_id).
 
     Whether a firing is sent depends on the last one sent, back to the first. To keep one busy rule from becoming
     one task, its time line is cut into blocks. Per block the operator works out, for every firing that can be the

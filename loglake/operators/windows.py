@@ -11,6 +11,8 @@ from loglake.operators.rules import at_time, condition_hits, index_conditions
 from loglake.sources.config import Application
 
 MICROS_PER_MINUTE = 60_000_000
+SLOTS = 1000
+PREFIX = 3
 
 
 def _pane(ts: Column | str, pane_us: int) -> Column:
@@ -44,6 +46,12 @@ def sliding_counts(
     )
 
 
+def evaluation_tick(ts: Column | str, tick_minutes: int = 1) -> Column:
+    """The first evaluation that sees a row: rules run once per tick, not per row."""
+    tick_us = tick_minutes * MICROS_PER_MINUTE
+    return F.timestamp_micros((_pane(ts, tick_us) + 1) * tick_us)
+
+
 def rule_counts_by_tick(
     logs: DataFrame, applications: list[Application], lookback_minutes: int = 10, tick_minutes: int = 1
 ) -> DataFrame:
@@ -86,20 +94,22 @@ def absence(counts_by_tick: DataFrame, rules: DataFrame, start: datetime, end: d
 def micro_batches(df: DataFrame, seconds: int = 1, size: int = 1000, key: str = "application") -> DataFrame:
     """Number the batches of each key: a batch closes after ``seconds`` or ``size`` rows, whichever comes first.
 
-    Rows are taken by arrival millisecond, then by hash of the id. A second in which one key sends a large share of
-    all rows is numbered in slices (millisecond and two hash digits): slices are counted in the map tasks, their
-    running total is taken per second, and only within a slice are rows ranked.
+    Rows are taken by arrival slot (a thousandth of the batch time), then by hash of the id. A key may send a large
+    share of all rows at once, so its rows are numbered in slices (slot and hash prefix): slices are counted in the
+    map tasks, their running total is taken per batch time over at most ``SLOTS * 16 ** PREFIX`` counts, and only
+    within a slice are rows ranked.
     """
-    second_us = seconds * 1_000_000
+    batch_us = seconds * 1_000_000
+    at = F.unix_micros("ts")
     cut = df.withColumns(
         {
-            "batch_second": F.floor(F.unix_micros("ts") / F.lit(second_us)).cast("bigint") * F.lit(seconds),
-            "_ms": F.unix_millis("ts"),
+            "batch_second": F.floor(at / F.lit(batch_us)).cast("bigint") * F.lit(seconds),
+            "_slot": F.floor(F.pmod(at, F.lit(batch_us)) / F.lit(batch_us // SLOTS)).cast("int"),
             "_hash": F.md5(F.coalesce("id", F.to_json(F.struct(*df.columns)))),
         }
-    ).withColumn("_slice", F.substring("_hash", 1, 2))
-    slice_keys = [key, "batch_second", "_ms", "_slice"]
-    before = Window.partitionBy(key, "batch_second").orderBy("_ms", "_slice").rowsBetween(
+    ).withColumn("_prefix", F.substring("_hash", 1, PREFIX))
+    slice_keys = [key, "batch_second", "_slot", "_prefix"]
+    before = Window.partitionBy(key, "batch_second").orderBy("_slot", "_prefix").rowsBetween(
         Window.unboundedPreceding, -1
     )
     offsets = (
@@ -114,5 +124,5 @@ def micro_batches(df: DataFrame, seconds: int = 1, size: int = 1000, key: str =
         cut.withColumn("_rank", rank)
         .join(offsets, slice_keys)
         .withColumn("batch_no", F.floor(position / F.lit(size)).cast("bigint"))
-        .drop("_rank", "_before", "_ms", "_hash", "_slice")
+        .drop("_rank", "_before", "_slot", "_hash", "_prefix")
     )

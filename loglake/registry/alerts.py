@@ -275,20 +275,21 @@ def suppress_ticks(spark, sf):
 
 
 @query(
-    "w03_suppress_events",
-    f"""WITH RECURSIVE {LOGS}, e AS (SELECT application, epoch_us(ts) AS t FROM logs WHERE level = 'ERROR'), sent AS (
+    "w03_suppress_event_ticks",
+    f"""WITH RECURSIVE {LOGS}, e AS (SELECT DISTINCT application, CAST(floor(epoch(ts) / 60) AS BIGINT) + 1 AS t
+          FROM logs WHERE level = 'ERROR'), sent AS (
           SELECT application, min(t) AS t FROM e GROUP BY application
           UNION ALL
-          SELECT s.application, (SELECT min(e.t) FROM e WHERE e.application = s.application
-                                 AND (e.t - s.t) // 60000000 > 600) AS t
+          SELECT s.application, (SELECT min(e.t) FROM e WHERE e.application = s.application AND e.t - s.t > 600) AS t
           FROM sent s WHERE s.t IS NOT NULL)
-        SELECT application, t AS eval_us FROM sent WHERE t IS NOT NULL""",
+        SELECT application, t * 60 AS eval_epoch FROM sent WHERE t IS NOT NULL""",
 )
-def suppress_events(spark, sf):
+def suppress_event_ticks(spark, sf):
     firings = logs(spark, sf).filter("level = 'ERROR'").select(
-        "application", F.lit("errors").alias("rule_id"), F.lit(600).alias("retry_interval"), F.col("ts").alias("eval_ts")
+        "application", F.lit("errors").alias("rule_id"), F.lit(600).alias("retry_interval"),
+        T.evaluation_tick("ts").alias("eval_ts"),
     )
-    return W.suppress_repeats(firings).select("application", F.unix_micros("eval_ts").alias("eval_us"))
+    return W.suppress_repeats(firings).select("application", F.unix_seconds("eval_ts").alias("eval_epoch"))
 
 
 SPINE_START = datetime(2024, 1, 1, tzinfo=timezone.utc)
@@ -325,7 +326,7 @@ def sliding_counts(spark, sf):
     f"""WITH {LOGS}, b AS (
           SELECT application, CAST(floor(epoch(ts) / 3600) AS BIGINT) * 3600 AS batch_second, id,
                  row_number() OVER (PARTITION BY application, floor(epoch(ts) / 3600)
-                                    ORDER BY epoch_ms(ts), md5(id)) AS r FROM logs)
+                                    ORDER BY epoch_us(ts) % 3600000000 // 3600000, md5(id)) AS r FROM logs)
         SELECT application, batch_second, id, CAST(floor((r - 1) / 3) AS BIGINT) AS batch_no FROM b""",
 )
 def micro_batches(spark, sf):
@@ -521,9 +522,8 @@ def not_waiting(spark, sf):
     return rest.select("application", "query", "total_num_found")
 
 
-# Configuration kept as a table: one document per customer nation with rules and profiles drawn from its customers.
+# Configuration kept as a table: one document per customer, with a rule, maybe a mail and maybe a chat profile.
 def configs(spark, sf):
-    customer = table(spark, sf, "customer")
     rule = F.struct(
         F.col("c_name").alias("rule_id"),
         F.concat(F.lit("o_custkey = "), F.col("c_custkey").cast("string")).alias("query"),
@@ -533,12 +533,13 @@ def configs(spark, sf):
         F.when(F.col("c_custkey") % 4 == 1, "solr").when(F.col("c_custkey") % 4 == 2, "sql")
         .when(F.col("c_custkey") % 100 == 3, "blarg").alias("alert_type"),
     )
-    application = F.concat(F.lit("nation-"), F.col("c_nationkey").cast("string")).alias("application")
-    is_mail = F.col("c_acctbal") >= 5000
-    return customer.groupBy(application).agg(
-        F.collect_list(rule).alias("rules"),
-        F.collect_list(F.when(is_mail, F.struct(F.col("c_name").alias("name"), F.array("c_name", "c_mktsegment").alias("addresses")))).alias("mail"),
-        F.collect_list(F.when(F.col("c_acctbal") < 0, F.struct(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("url")))).alias("slack"),
+    mail = F.struct(F.col("c_name").alias("name"), F.array("c_name", "c_mktsegment").alias("addresses"))
+    slack = F.struct(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("url"))
+    return table(spark, sf, "customer").select(
+        F.concat(F.lit("nation-"), F.col("c_nationkey").cast("string")).alias("application"),
+        F.array(rule).alias("rules"),
+        F.when(F.col("c_acctbal") >= 5000, F.array(mail)).alias("mail"),
+        F.when(F.col("c_acctbal") < 0, F.array(slack)).alias("slack"),
     )
 
 

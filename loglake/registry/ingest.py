@@ -57,16 +57,15 @@ def read_log_events(spark, sf):
 
 @query(
     "s02_explode_event_array",
-    f"""WITH {WIRE} SELECT id, application, iso AS "timestamp", wire_level AS level, "threadName" FROM wire""",
+    f"""WITH {WIRE} SELECT id, application, iso AS "timestamp", wire_level AS level, "threadName" FROM wire
+        UNION ALL SELECT 'again-' || id, application, iso, 'DEBUG', "threadName" FROM wire""",
 )
 def explode_event_array(spark, sf):
-    # Requests of the events of one user in one minute.
-    event = F.struct("id", *WIRE_FIELDS[:6], "properties")
-    requests = (
-        wire_events(spark, sf)
-        .groupBy("application", "hostname", F.date_trunc("minute", "ts").alias("m"))
-        .agg(F.to_json(F.collect_list(event)).alias("body"))
-    )
+    # Every request holds two events.
+    fields = ["id", *WIRE_FIELDS[:6], "properties"]
+    changed = {"id": F.concat(F.lit("again-"), "id"), "level": F.lit("DEBUG")}
+    second = F.struct(*[changed.get(f, F.col(f)).alias(f) for f in fields])
+    requests = wire_events(spark, sf).select("application", F.to_json(F.array(F.struct(*fields), second)).alias("body"))
     df = S.explode_event_array(requests, "body", F.col("application"))
     return df.select("id", "application", "timestamp", "level", "threadName")
 
@@ -371,7 +370,7 @@ def to_event_json(spark, sf):
     f"""WITH {LOGS}, b AS (
           SELECT application, CAST(floor(epoch(ts) / 3600) AS BIGINT) * 3600 AS batch_second,
                  row_number() OVER (PARTITION BY application, floor(epoch(ts) / 3600)
-                                    ORDER BY epoch_ms(ts), md5(id)) AS r FROM logs)
+                                    ORDER BY epoch_us(ts) % 3600000000 // 3600000, md5(id)) AS r FROM logs)
         SELECT application, batch_second, CAST(floor((r - 1) / 5) AS BIGINT) AS batch_no, count(*) AS events,
                count(*) AS parsed FROM b GROUP BY ALL""",
 )

@@ -22,15 +22,18 @@ def metrics(spark, sf):
     return metrics_from_events(table(spark, sf, "events"))
 
 
-@query("s05_read_metrics", f"WITH {METRICS} SELECT 'load_' || tag AS table_name, ts_us, key, tag, value FROM metrics")
+@query(
+    "s05_read_metrics",
+    f"""WITH {METRICS} SELECT 'load_' || tag AS table_name, ts_us, key, tag, value FROM metrics
+        UNION ALL SELECT 'load_' || tag, ts_us + 1, key, 'count', 1.0 FROM metrics""",
+)
 def read_requests(spark, sf):
-    reading = F.struct(F.unix_micros("ts").alias("ts"), "key", "tag", "value")
-    requests = (
-        metrics(spark, sf)
-        .groupBy(F.concat(F.lit("load_"), "tag").alias("table_name"), F.date_trunc("hour", "ts").alias("h"))
-        .agg(F.collect_list(reading).alias("payload"))
-        .select(F.to_json(F.struct("table_name", "payload")).alias("body"))
-    )
+    # Every request carries two readings.
+    at = F.unix_micros("ts")
+    reading = F.struct(at.alias("ts"), "key", "tag", "value")
+    count = F.struct((at + 1).alias("ts"), "key", F.lit("count").alias("tag"), F.lit(1.0).alias("value"))
+    request = F.struct(F.concat(F.lit("load_"), "tag").alias("table_name"), F.array(reading, count).alias("payload"))
+    requests = metrics(spark, sf).select(F.to_json(request).alias("body"))
     return read_metrics(requests, "body").withColumnRenamed("ts", "ts_us")
 
 
