@@ -19,13 +19,14 @@ def assign_collection(logs: DataFrame, policies: DataFrame, origin: datetime | N
     """Put every row into the collection that was open at its time.
 
     An application's first collection opens with its first row (or at ``origin``, which also serves streams), and a
-    new one opens every roll period. First times are one aggregated row per application.
+    new one opens every roll period. First times are one aggregated row per application; together with the policies
+    they are read ahead, so that the logs are not shuffled for this join unless there are very many applications.
     """
     settings = policies.select("application", "roll_period_days")
     if origin is None:
-        first = small_or_same(logs.groupBy("application").agg(F.unix_seconds(F.min("ts")).alias("_first")))
+        first = logs.groupBy("application").agg(F.unix_seconds(F.min("ts")).alias("_first"))
         settings = first.join(settings, "application", "left")
-    joined = logs.join(settings, "application", "left")
+    joined = logs.join(small_or_same(settings), "application", "left")
     start = F.lit(origin).cast("timestamp").cast("bigint") if origin else F.col("_first")
     period = F.coalesce("roll_period_days", F.lit(DEFAULT_ROLL_PERIOD_DAYS)).cast("bigint") * SECONDS_PER_DAY
     rolls = F.floor((F.unix_seconds("ts") - start) / period).cast("bigint")
@@ -90,7 +91,7 @@ def get_alias(aliases: DataFrame, alias: str) -> list[str] | None:
 def resolve_alias(logs: DataFrame, aliases: DataFrame, alias: Column | str) -> DataFrame:
     """Rows of the collections behind an alias; the semi join is on a partition column."""
     members = aliases.filter(F.col("alias") == alias).select("collection")
-    return logs.join(members, "collection", "left_semi")
+    return logs.join(small_or_same(members), "collection", "left_semi")
 
 
 def due_applications(collections: DataFrame, policies: DataFrame, now: datetime) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import logging
 from datetime import datetime
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
@@ -57,8 +58,28 @@ def _usable(logs: DataFrame, rule: AlertRule, application: str) -> bool:
         return False
 
 
-def index_conditions(logs: DataFrame, applications: list[Application]) -> tuple[list[Column], DataFrame, list[str]]:
-    """Distinct conditions, the rules frame with the index of each rule's condition, and the applications used."""
+class Conditions(NamedTuple):
+    """Distinct conditions of a rule set, each with the applications that use it."""
+
+    columns: list[Column]
+    users: list[frozenset[str]]
+    rules: DataFrame  # the rules frame, with the index of each rule's condition
+    applications: list[str]
+
+    def guarded(self) -> list[Column]:
+        """Conditions behind a cheap test of the application, where not every application uses them."""
+        return [
+            c if len(u) == len(self.applications) else F.col("application").isin(sorted(u)) & c
+            for c, u in zip(self.columns, self.users, strict=True)
+        ]
+
+    def parts(self, size: int) -> list[list[int]]:
+        """Conditions in parts of at most ``size``, those of an application next to each other."""
+        order = sorted(range(len(self.columns)), key=lambda i: (-len(self.users[i]), sorted(self.users[i])))
+        return [order[i : i + size] for i in range(0, len(order), size)]
+
+
+def index_conditions(logs: DataFrame, applications: list[Application]) -> Conditions:
     usable: dict[tuple, bool] = {}
     users: dict[tuple, set[str]] = {}
     by_key: dict[tuple, AlertRule] = {}
@@ -71,13 +92,6 @@ def index_conditions(logs: DataFrame, applications: list[Application]) -> tuple[
             by_key.setdefault(key, rule)
             users.setdefault(key, set()).add(application)
             kept.append((application, rule))
-    names = sorted({a for a, _ in kept})
-    conditions = []
-    for key, rule in by_key.items():
-        # A cheap test of the application comes before a condition that not every application uses.
-        mine = users[key]
-        guard = None if len(mine) == len(names) else F.col("application").isin(sorted(mine))
-        conditions.append(rule.condition() if guard is None else guard & rule.condition())
     index = {key: i for i, key in enumerate(by_key)}
     rows = [
         {
@@ -92,7 +106,12 @@ def index_conditions(logs: DataFrame, applications: list[Application]) -> tuple[
         }
         for application, rule in kept
     ]
-    return conditions, local_frame(logs.sparkSession, rows, _INDEXED_RULES), names
+    return Conditions(
+        [rule.condition() for rule in by_key.values()],
+        [frozenset(users[key]) for key in by_key],
+        local_frame(logs.sparkSession, rows, _INDEXED_RULES),
+        sorted({a for a, _ in kept}),
+    )
 
 
 def recent(logs: DataFrame, applications: list[Application]) -> DataFrame:
@@ -103,11 +122,13 @@ def recent(logs: DataFrame, applications: list[Application]) -> DataFrame:
     return logs.filter(since(max(lookbacks)) & (F.col("ts") <= F.col("eval_ts")))
 
 
-def condition_hits(logs: DataFrame, conditions: list[Column], applications: list[str], *columns) -> DataFrame:
+def condition_hits(logs: DataFrame, found: Conditions, *columns) -> DataFrame:
     """One row per (log row, satisfied condition) with the columns asked for."""
+    conditions = found.guarded()
     if not conditions:
         return logs.filter(F.lit(False)).select(*columns, F.lit(0).alias("condition"))
-    scoped = logs.filter(F.col("application").isin(applications)).filter(reduce(lambda a, b: a | b, conditions))
+    scoped = logs.filter(F.col("application").isin(found.applications))
+    scoped = scoped.filter(reduce(lambda a, b: a | b, conditions))
     if len(conditions) == 1:
         return scoped.select(*columns, F.lit(0).alias("condition"))
     satisfied = F.array_compact(F.array(*[F.when(c, F.lit(i)) for i, c in enumerate(conditions)]))
@@ -118,34 +139,37 @@ def rule_counts(hits: DataFrame) -> DataFrame:
     return hits.groupBy("application", "condition").agg(F.count("*").alias("total_num_found"))
 
 
-def condition_counts(logs: DataFrame, conditions: list[Column], applications: list[str]) -> DataFrame:
+def condition_counts(logs: DataFrame, found: Conditions) -> DataFrame:
     """Rows per (application, condition).
 
-    One counter per condition, so a row is never copied, parts that conditions share are evaluated once, and each
-    map task sends one row per application. Few conditions also filter the scan.
+    Rows are never copied: each is tested and added to counters, and each map task sends one row per application. Few
+    conditions also filter the scan. Beyond ``COUNTERS_PER_SCAN`` there are several scans, each of the applications
+    whose conditions it counts, which are partitions of stored logs.
     """
-    scoped = logs.filter(F.col("application").isin(applications))
-    if not conditions:
-        return scoped.select("application", F.lit(0).alias("condition"), F.lit(0).cast("bigint").alias("total_num_found")).limit(0)
-    if len(conditions) <= FILTERING_CONDITIONS:
-        scoped = scoped.filter(reduce(lambda a, b: a | b, conditions))
+    if not found.columns:
+        return logs.select(
+            "application", F.lit(0).alias("condition"), F.lit(0).cast("bigint").alias("total_num_found")
+        ).limit(0)
+    guarded = found.guarded()
     parts = []
-    for first in range(0, len(conditions), COUNTERS_PER_SCAN):
-        part = conditions[first : first + COUNTERS_PER_SCAN]
-        counters = [F.count_if(c).alias(f"c{i}") for i, c in enumerate(part)]
-        counted = scoped.groupBy("application").agg(*counters)
-        cells = F.posexplode(F.array(*[F.col(f"c{i}") for i in range(len(part))])).alias("condition", "total_num_found")
-        parts.append(counted.select("application", cells).withColumn("condition", F.col("condition") + first))
+    for part in found.parts(COUNTERS_PER_SCAN):
+        names = sorted(set().union(*[found.users[i] for i in part]))
+        scoped = logs.filter(F.col("application").isin(names))
+        if len(part) <= FILTERING_CONDITIONS:
+            scoped = scoped.filter(reduce(lambda a, b: a | b, [guarded[i] for i in part]))
+        counted = scoped.groupBy("application").agg(*[F.count_if(guarded[i]).alias(f"c{i}") for i in part])
+        cells = [F.struct(F.lit(i).alias("condition"), F.col(f"c{i}").alias("total_num_found")) for i in part]
+        parts.append(counted.select("application", F.inline(F.array(*cells))))
     return reduce(DataFrame.unionByName, parts)
 
 
 def evaluate_rules(logs: DataFrame, applications: list[Application], now: datetime) -> DataFrame:
     """Rows found by every search rule at ``now``; rules without a hit come back with 0."""
     timed = at_time(logs, now)
-    conditions, rules, names = index_conditions(timed, applications)
-    counts = condition_counts(recent(timed, applications), conditions, names)
+    found = index_conditions(timed, applications)
+    counts = condition_counts(recent(timed, applications), found)
     return (
-        rules.join(counts, ["application", "condition"], "left")
+        found.rules.join(counts, ["application", "condition"], "left")
         .withColumn("total_num_found", F.coalesce("total_num_found", F.lit(0)))
         .withColumn("eval_ts", F.lit(now).cast("timestamp"))
         .drop("condition")
@@ -210,16 +234,14 @@ def rule_documents(
 ) -> DataFrame:
     """Up to ``n`` newest matching rows per rule as an array of name -> text maps."""
     timed = at_time(logs, now)
-    conditions, rules, names = index_conditions(timed, applications)
+    found = index_conditions(timed, applications)
     document = row_as_map(document_columns(logs, fields)).alias("document")
-    hits = condition_hits(
-        recent(timed, applications), conditions, names, "application", "id", "ts", document
-    )
+    hits = condition_hits(recent(timed, applications), found, "application", "id", "ts", document)
     ranked = cap_documents(hits, n).groupBy("application", "condition").agg(
         F.map_from_entries(F.collect_list(F.struct("rank", "document"))).alias("by_rank")
     )
     documents = F.transform(F.sequence(F.lit(1), F.size("by_rank")), lambda i: F.col("by_rank")[i])
-    return rules.join(ranked, ["application", "condition"]).select(
+    return found.rules.join(ranked, ["application", "condition"]).select(
         "application", "rule_id", documents.alias("documents")
     )
 

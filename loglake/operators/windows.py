@@ -7,12 +7,14 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loglake.frames import small_or_same
 from loglake.operators.rules import at_time, condition_hits, index_conditions
 from loglake.sources.config import Application
 
 MICROS_PER_MINUTE = 60_000_000
 SLOTS = 1000
 PREFIX = 3
+HOT_ROWS = 1_000_000
 
 
 def _pane(ts: Column | str, pane_us: int) -> Column:
@@ -61,16 +63,16 @@ def rule_counts_by_tick(
     range of their own here.
     """
     timed = at_time(logs, F.col("ts"))
-    conditions, rules, names = index_conditions(timed, applications)
+    conditions = index_conditions(timed, applications)
     tick_us = tick_minutes * MICROS_PER_MINUTE
-    hits = condition_hits(timed, conditions, names, "application", _pane("ts", tick_us).alias("_pane"))
+    hits = condition_hits(timed, conditions, "application", _pane("ts", tick_us).alias("_pane"))
     keys = ["application", "condition"]
     panes = hits.groupBy(*keys, "_pane").agg(F.count("*").alias("total_num_found"))
     per_window = lookback_minutes // tick_minutes
     found = _spread(panes, keys, "total_num_found", per_window).select(
         *keys, F.timestamp_micros((F.col("_first") + per_window) * tick_us).alias("eval_ts"), "total_num_found"
     )
-    return rules.join(found, keys).drop("condition")
+    return conditions.rules.join(found, keys).drop("condition")
 
 
 def tick_spine(rules: DataFrame, start: datetime, end: datetime, tick_minutes: int = 1) -> DataFrame:
@@ -91,38 +93,57 @@ def absence(counts_by_tick: DataFrame, rules: DataFrame, start: datetime, end: d
     return spine.join(counts_by_tick, ["application", "rule_id", "eval_ts"], "left_anti").drop("result_threshold")
 
 
-def micro_batches(df: DataFrame, seconds: int = 1, size: int = 1000, key: str = "application") -> DataFrame:
+def micro_batches(
+    df: DataFrame, seconds: int = 1, size: int = 1000, key: str = "application", hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Number the batches of each key: a batch closes after ``seconds`` or ``size`` rows, whichever comes first.
 
-    Rows are taken by arrival slot (a thousandth of the batch time), then by hash of the id. A key may send a large
-    share of all rows at once, so its rows are numbered in slices (slot and hash prefix): slices are counted in the
-    map tasks, their running total is taken per batch time over at most ``SLOTS * 16 ** PREFIX`` counts, and only
-    within a slice are rows ranked.
+    Rows are taken by arrival slot (a thousandth of the batch time), then by hash of the id. Rows are counted per
+    key and batch time first. Where there are more than ``hot_rows`` they are numbered in slices (slot and hash
+    prefix): slices are counted in the map tasks, their running total is taken over at most
+    ``SLOTS * 16 ** PREFIX`` counts, and only within a slice are rows ranked.
     """
     batch_us = seconds * 1_000_000
     at = F.unix_micros("ts")
-    cut = df.withColumns(
+    group = [key, "batch_second"]
+    timed = df.withColumn("batch_second", F.floor(at / F.lit(batch_us)).cast("bigint") * F.lit(seconds))
+    cut = timed.withColumns(
         {
-            "batch_second": F.floor(at / F.lit(batch_us)).cast("bigint") * F.lit(seconds),
             "_slot": F.floor(F.pmod(at, F.lit(batch_us)) / F.lit(batch_us // SLOTS)).cast("int"),
             "_hash": F.md5(F.coalesce("id", F.to_json(F.struct(*df.columns)))),
         }
-    ).withColumn("_prefix", F.substring("_hash", 1, PREFIX))
-    slice_keys = [key, "batch_second", "_slot", "_prefix"]
-    before = Window.partitionBy(key, "batch_second").orderBy("_slot", "_prefix").rowsBetween(
-        Window.unboundedPreceding, -1
     )
+    sizes = timed.groupBy(*group).agg(F.count("*").alias("_n"))
+    hot = small_or_same(sizes.filter(F.col("_n") > hot_rows).select(*group))
+    if hot.isEmpty():
+        numbered = _ranked(cut, group)
+    else:
+        whole = _ranked(cut.join(hot, group, "left_anti"), group)
+        numbered = whole.unionByName(_ranked_in_slices(cut.join(hot, group, "left_semi"), group))
+    return numbered.withColumn("batch_no", F.floor(F.col("_position") / F.lit(size)).cast("bigint")).drop(
+        "_position", "_slot", "_hash"
+    )
+
+
+def _ranked(cut: DataFrame, group: list[str]) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy("_slot", "_hash", "id"))
+    return cut.withColumn("_position", (rank - 1).cast("bigint"))
+
+
+def _ranked_in_slices(cut: DataFrame, group: list[str]) -> DataFrame:
+    cut = cut.withColumn("_prefix", F.substring("_hash", 1, PREFIX))
+    slices = [*group, "_slot", "_prefix"]
+    before = Window.partitionBy(*group).orderBy("_slot", "_prefix").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        cut.groupBy(*slice_keys)
+        cut.groupBy(*slices)
         .agg(F.count("*").alias("_n"))
         .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .drop("_n")
     )
-    rank = F.row_number().over(Window.partitionBy(*slice_keys).orderBy("_hash", "id"))
-    position = F.col("_before") + F.col("_rank") - 1
+    rank = F.row_number().over(Window.partitionBy(*slices).orderBy("_hash", "id"))
     return (
         cut.withColumn("_rank", rank)
-        .join(offsets, slice_keys)
-        .withColumn("batch_no", F.floor(position / F.lit(size)).cast("bigint"))
-        .drop("_rank", "_before", "_slot", "_hash", "_prefix")
+        .join(offsets, slices)
+        .withColumn("_position", F.col("_before") + F.col("_rank") - 1)
+        .drop("_rank", "_before", "_prefix")
     )

@@ -129,8 +129,8 @@ for _n in (1, 10, 100):
         WHERE level = 'ERROR' GROUP BY application""",
 )
 def rule_counts(spark, sf):
-    apps = [f"app-{i}" for i in range(5)]
-    return J.rule_counts(J.condition_hits(logs(spark, sf), [P.term("level", "ERROR")], apps, "application"))
+    df = logs(spark, sf)
+    return J.rule_counts(J.condition_hits(df, J.index_conditions(df, error_rule()), "application"))
 
 
 @query(
@@ -154,8 +154,8 @@ def rule_documents(spark, sf):
         FROM logs WHERE level = 'ERROR' QUALIFY rank <= 10""",
 )
 def cap_documents(spark, sf):
-    apps = [f"app-{i}" for i in range(5)]
-    hits = J.condition_hits(logs(spark, sf), [P.term("level", "ERROR")], apps, "application", "id", "ts")
+    df = logs(spark, sf)
+    hits = J.condition_hits(df, J.index_conditions(df, error_rule()), "application", "id", "ts")
     return J.cap_documents(hits).select("application", "id", F.col("rank").cast("bigint").alias("rank"))
 
 

@@ -67,8 +67,8 @@ def alert_stream(
     """
     spark = logs.sparkSession
     timed = at_time(logs, F.col("ts"))
-    conditions, rules, names = index_conditions(timed, applications)
-    hits = condition_hits(with_lateness(timed, delay), conditions, names, "application", "ts")
+    found = index_conditions(timed, applications)
+    hits = condition_hits(with_lateness(timed, delay), found, "application", "ts")
     counts = (
         hits.groupBy("application", "condition", F.window("ts", lookback, tick).alias("w"))
         .agg(F.count("*").alias("total_num_found"))
@@ -76,7 +76,7 @@ def alert_stream(
     )
 
     def close_windows(batch: DataFrame, batch_id: int) -> None:
-        fired = triggered(batch.join(rules, ["application", "condition"])).persist()
+        fired = triggered(batch.join(found.rules, ["application", "condition"])).persist()
         state = read_state(spark, path, batch_id - 1)
         sent = suppress_repeats(fired, state).select("application", "rule_id", "eval_ts")
         alerts = fired.join(sent, ["application", "rule_id", "eval_ts"]).drop("condition")

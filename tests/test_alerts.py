@@ -78,6 +78,20 @@ def test_many_conditions_take_several_scans(logs, monkeypatch):
     assert len(rows) == 20 and all(r["total_num_found"] == 1 for r in rows)
 
 
+@pytest.mark.parametrize("counters", [256, 4, 1])
+def test_counts_equal_one_query_per_rule(logs, monkeypatch, counters):
+    """Random rule sets, some conditions shared between applications, in one scan or several."""
+    monkeypatch.setattr(J, "COUNTERS_PER_SCAN", counters)
+    draw = random.Random(3)
+    names = ["a", "b", "c"]
+    pool = [f"message = 'sad {i}'" for i in range(6)] + ["level = 'INFO'", "level = 'ERROR'", "message LIKE '%sad%'"]
+    apps = [C.Application(n, tuple(rule(q) for q in draw.sample(pool, 5))) for n in names]
+    rows = J.evaluate_rules(logs, apps, NOW).collect()
+    assert len(rows) == 15
+    for r in rows:
+        assert r["total_num_found"] == logs.filter(f"application = '{r['application']}' AND {r['query']}").count(), r
+
+
 def test_predicate_builder_as_rule(logs):
     built = rule("sad", predicate=lambda now: P.match("message", "SAD") & P.time_range("ts", "NOW-2HOURS", "NOW", now))
     rows = J.evaluate_rules(logs, [C.Application("b", (built,))], NOW).collect()
@@ -157,14 +171,18 @@ def test_mark_triggered(spark):
     assert marked == {("a", "r1"): at - timedelta(hours=1), ("a", "r2"): at, ("b", "r1"): at}
 
 
-def test_micro_batches_of_a_hot_second(spark):
+@pytest.mark.parametrize("hot_rows", [1_000_000, 50])
+def test_micro_batches_of_a_hot_second(spark, hot_rows):
     """A third of all rows in one millisecond of one application: still whole batches of at most `size`."""
     df = spark.range(30_000).select(
         F.col("id").cast("string").alias("id"),
         F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("a"), (F.col("id") % 7).cast("string"))).alias("application"),
         F.timestamp_millis(F.when(F.col("id") % 3 == 0, 1_000_500).otherwise(F.col("id") * 37)).alias("ts"),
     )
-    batches = T.micro_batches(df, 1, 1000).groupBy("application", "batch_second", "batch_no").count().collect()
+    numbered = T.micro_batches(df, 1, 1000, hot_rows=hot_rows)
+    plain = {tuple(r) for r in T.micro_batches(df, 1, 1000).select("id", "batch_second", "batch_no").collect()}
+    assert {tuple(r) for r in numbered.select("id", "batch_second", "batch_no").collect()} == plain
+    batches = numbered.groupBy("application", "batch_second", "batch_no").count().collect()
     assert sum(b["count"] for b in batches) == 30_000
     hot = sorted((b["batch_no"], b["count"]) for b in batches if b["application"] == "hot" and b["batch_second"] == 1000)
     assert hot == [(i, 1000) for i in range(10)]
