@@ -7,13 +7,14 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loglake.frames import small_or_same
+from loglake.frames import scratch_dir, small_or_same
 from loglake.operators.rules import at_time, condition_hits, index_conditions
 from loglake.sources.config import Application
 
 MICROS_PER_MINUTE = 60_000_000
 SLOTS = 1000
-PREFIX = 3
+PREFIX = 2
+SHARES = 16
 HOT_ROWS = 1_000_000
 
 
@@ -99,9 +100,10 @@ def micro_batches(
     """Number the batches of each key: a batch closes after ``seconds`` or ``size`` rows, whichever comes first.
 
     Rows are taken by arrival slot (a thousandth of the batch time), then by hash of the id. Rows are counted per
-    key and batch time first. Where there are more than ``hot_rows`` they are numbered in slices (slot and hash
-    prefix): slices are counted in the map tasks, their running total is taken over at most
-    ``SLOTS * 16 ** PREFIX`` counts, and only within a slice are rows ranked.
+    key and batch time first. Where there are more than ``hot_rows`` they are numbered in slices: slot, hash prefix
+    and, because copies share a hash, a random share. Slices are counted in the map tasks, their running total is
+    taken over at most ``SLOTS * 16 ** PREFIX * SHARES`` counts, and only within a slice are rows ranked. The shares
+    are fixed by writing those rows to the shared scratch folder, as they are read twice.
     """
     batch_us = seconds * 1_000_000
     at = F.unix_micros("ts")
@@ -130,10 +132,16 @@ def _ranked(cut: DataFrame, group: list[str]) -> DataFrame:
     return cut.withColumn("_position", (rank - 1).cast("bigint"))
 
 
-def _ranked_in_slices(cut: DataFrame, group: list[str]) -> DataFrame:
-    cut = cut.withColumn("_prefix", F.substring("_hash", 1, PREFIX))
-    slices = [*group, "_slot", "_prefix"]
-    before = Window.partitionBy(*group).orderBy("_slot", "_prefix").rowsBetween(Window.unboundedPreceding, -1)
+def _ranked_in_slices(hot: DataFrame, group: list[str]) -> DataFrame:
+    path = scratch_dir(hot.sparkSession, "batches")
+    shared = hot.withColumns(
+        {"_prefix": F.substring("_hash", 1, PREFIX), "_share": (F.rand(SHARES) * SHARES).cast("int")}
+    )
+    shared.write.parquet(path)
+    cut = hot.sparkSession.read.schema(shared.schema).parquet(path)
+    order = ["_slot", "_prefix", "_share"]
+    slices = [*group, *order]
+    before = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         cut.groupBy(*slices)
         .agg(F.count("*").alias("_n"))
@@ -145,5 +153,5 @@ def _ranked_in_slices(cut: DataFrame, group: list[str]) -> DataFrame:
         cut.withColumn("_rank", rank)
         .join(offsets, slices)
         .withColumn("_position", F.col("_before") + F.col("_rank") - 1)
-        .drop("_rank", "_before", "_prefix")
+        .drop("_rank", "_before", "_prefix", "_share")
     )

@@ -17,6 +17,12 @@ def normalise(events: DataFrame) -> DataFrame:
     return log_rows(flatten_event(valid_events(events, REQUIRED_EVENT_FIELDS)))
 
 
-def place(rows: DataFrame, policies: DataFrame, origin: datetime | None = None) -> DataFrame:
-    """Log rows with an id and the collection they belong to. The id is a content hash, equal on replay."""
-    return assign_collection(assign_id(rows, deterministic=True), policies, origin)
+def place(
+    rows: DataFrame, policies: DataFrame, origin: datetime | None = None, deterministic_id: bool = False
+) -> DataFrame:
+    """Log rows with an id and the collection they belong to.
+
+    Rows sent without an id get a random one each; ``deterministic_id`` takes a content hash, by which equal rows
+    count as one document.
+    """
+    return assign_collection(assign_id(rows, deterministic_id), policies, origin)

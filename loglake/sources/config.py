@@ -70,6 +70,17 @@ class Application:
     slack_profiles: tuple[tuple[str, str], ...] = ()
 
 
+def read_config(path: str) -> dict:
+    """A configuration file of the driver: YAML where PyYAML is there, JSON in any case."""
+    with open(path) as file:
+        text = file.read()
+    try:
+        import yaml
+    except ImportError:
+        return json.loads(text)
+    return yaml.safe_load(text)
+
+
 def parse_applications(config: dict) -> list[Application]:
     """Applications of a nested configuration (parsed YAML or JSON). An unknown alert type raises."""
     out = []

@@ -11,9 +11,17 @@ def with_lateness(df: DataFrame, delay: str = "10 minutes", ts: str = "ts") -> D
     return df.withWatermark(ts, delay)
 
 
-def unique_events(df: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """First arrival of every id within the lateness bound."""
-    return with_lateness(df, delay).dropDuplicatesWithinWatermark(["id"])
+def unique_events(df: DataFrame, delay: str = "10 minutes", spread: int = 8) -> DataFrame:
+    """First arrival of every id within the lateness bound.
+
+    Copies of an id are thinned out in ``spread`` random shares first, so that an id sent over and over does not
+    reach one task with all its copies.
+    """
+    late = with_lateness(df, delay)
+    if spread > 1:
+        shared = late.withColumn("_share", (F.rand(spread) * spread).cast("int"))
+        late = shared.dropDuplicatesWithinWatermark(["id", "_share"]).drop("_share")
+    return late.dropDuplicatesWithinWatermark(["id"])
 
 
 def sliding_count_stream(

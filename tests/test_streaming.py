@@ -127,12 +127,16 @@ def test_alert_rounds(spark, tmp_path):
 
 def test_late_rows_are_not_counted(spark, tmp_path):
     source = tmp_path / "in"
-    put(source, "1.json", [log_event(1, 0), log_event(2, 60)])
-    put(source, "2.json", [log_event(3, 0), log_event(4, 55), log_event(5, 120)])
-    put(source, "3.json", [log_event(6, 240)])
-    df = sliding_count_stream(stream_of(spark, source), ["application"], "10 minutes", "10 minutes", "10 minutes")
-    q = df.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp"))
-    q.trigger(availableNow=True).start().awaitTermination()
+    parts = [
+        [log_event(1, 0), log_event(2, 60)],
+        [log_event(3, 0), log_event(4, 55), log_event(5, 120)],
+        [log_event(6, 240)],
+    ]
+    for i, part in enumerate(parts):
+        put(source, f"{i}.json", part)
+        df = sliding_count_stream(stream_of(spark, source), ["application"], "10 minutes", "10 minutes", "10 minutes")
+        q = df.writeStream.format("parquet").option("path", str(tmp_path / "out"))
+        q.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     counts = {r["start"].hour * 60 + r["start"].minute: r["n"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert counts == {0: 1, 50: 1, 60: 1, 120: 1}
 
