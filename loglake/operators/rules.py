@@ -48,14 +48,21 @@ def search_rules(applications: list[Application]) -> list[tuple[str, AlertRule]]
     ]
 
 
-def _usable(logs: DataFrame, rule: AlertRule, application: str) -> bool:
-    """A condition that cannot be resolved costs its own rule, not the others."""
+def _usable(logs: DataFrame, rules: dict[tuple, tuple[str, AlertRule]]) -> dict[tuple, Column]:
+    """Conditions that can be resolved on the logs; one that cannot costs its own rule, not the others."""
     try:
-        logs.filter(rule.condition())
-        return True
+        conditions = {key: rule.condition() for key, (_, rule) in rules.items()}
+        logs.select(*conditions.values())
+        return conditions
     except AnalysisException as error:
-        log.error("rule %r of %s is left out: %s", rule.query, application, error)
-        return False
+        if len(rules) == 1:
+            [(application, rule)] = rules.values()
+            log.error("rule %r of %s is left out: %s", rule.query, application, error)
+            return {}
+    # Halves, so that a few bad rules among many take few attempts.
+    items = list(rules.items())
+    middle = len(items) // 2
+    return {**_usable(logs, dict(items[:middle])), **_usable(logs, dict(items[middle:]))}
 
 
 class Conditions(NamedTuple):
@@ -68,8 +75,10 @@ class Conditions(NamedTuple):
 
     def guarded(self) -> list[Column]:
         """Conditions behind a cheap test of the application, where not every application uses them."""
+        application = F.col("application")
+        of = lambda u: application == next(iter(u)) if len(u) == 1 else application.isin(sorted(u))
         return [
-            c if len(u) == len(self.applications) else F.col("application").isin(sorted(u)) & c
+            c if len(u) == len(self.applications) else of(u) & c
             for c, u in zip(self.columns, self.users, strict=True)
         ]
 
@@ -80,18 +89,14 @@ class Conditions(NamedTuple):
 
 
 def index_conditions(logs: DataFrame, applications: list[Application]) -> Conditions:
-    usable: dict[tuple, bool] = {}
-    users: dict[tuple, set[str]] = {}
-    by_key: dict[tuple, AlertRule] = {}
-    kept = []
+    rules: dict[tuple, tuple[str, AlertRule]] = {}
     for application, rule in search_rules(applications):
-        key = rule.condition_key
-        if key not in usable:
-            usable[key] = _usable(logs, rule, application)
-        if usable[key]:
-            by_key.setdefault(key, rule)
-            users.setdefault(key, set()).add(application)
-            kept.append((application, rule))
+        rules.setdefault(rule.condition_key, (application, rule))
+    by_key = _usable(logs, rules) if rules else {}
+    kept = [(a, r) for a, r in search_rules(applications) if r.condition_key in by_key]
+    users: dict[tuple, set[str]] = {}
+    for application, rule in kept:
+        users.setdefault(rule.condition_key, set()).add(application)
     index = {key: i for i, key in enumerate(by_key)}
     rows = [
         {
@@ -107,7 +112,7 @@ def index_conditions(logs: DataFrame, applications: list[Application]) -> Condit
         for application, rule in kept
     ]
     return Conditions(
-        [rule.condition() for rule in by_key.values()],
+        list(by_key.values()),
         [frozenset(users[key]) for key in by_key],
         local_frame(logs.sparkSession, rows, _INDEXED_RULES),
         sorted({a for a, _ in kept}),
@@ -158,8 +163,10 @@ def condition_counts(logs: DataFrame, found: Conditions) -> DataFrame:
         if len(part) <= FILTERING_CONDITIONS:
             scoped = scoped.filter(reduce(lambda a, b: a | b, [guarded[i] for i in part]))
         counted = scoped.groupBy("application").agg(*[F.count_if(guarded[i]).alias(f"c{i}") for i in part])
-        cells = [F.struct(F.lit(i).alias("condition"), F.col(f"c{i}").alias("total_num_found")) for i in part]
-        parts.append(counted.select("application", F.inline(F.array(*cells))))
+        cells = ", ".join(f"{i}, c{i}" for i in part)
+        parts.append(
+            counted.selectExpr("application", f"stack({len(part)}, {cells}) AS (condition, total_num_found)")
+        )
     return reduce(DataFrame.unionByName, parts)
 
 
