@@ -37,6 +37,18 @@ def small_or_same(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
     return df.sparkSession.createDataFrame(table, df.schema)
 
 
+def keep_values(df: DataFrame, column: str, values: DataFrame, max_values: int = 5_000) -> DataFrame:
+    """Rows of ``df`` whose ``column`` is among the values of the one-column frame ``values``.
+
+    Up to ``max_values`` become a plain condition, which prunes partitions when ``column`` is one; beyond that the
+    frame is semi-joined.
+    """
+    found = values.limit(max_values + 1).toArrow()
+    if found.num_rows > max_values:
+        return df.join(values.toDF(column), column, "left_semi")
+    return df.filter(F.col(column).isin(found.column(0).to_pylist()))
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the session's shared ``spark.checkpoint.dir``; a local one only when it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loglake.frames import small_or_same
+from loglake.frames import keep_values, small_or_same
 from loglake.functions.naming import alias_name, collection_name
 from loglake.schema import DEFAULT_NUM_COLLECTIONS, DEFAULT_ROLL_PERIOD_DAYS
 from loglake.sources.config import with_policy_defaults
@@ -89,9 +89,25 @@ def get_alias(aliases: DataFrame, alias: str) -> list[str] | None:
 
 
 def resolve_alias(logs: DataFrame, aliases: DataFrame, alias: Column | str) -> DataFrame:
-    """Rows of the collections behind an alias; the semi join is on a partition column."""
-    members = aliases.filter(F.col("alias") == alias).select("collection")
-    return logs.join(small_or_same(members), "collection", "left_semi")
+    """Rows of the collections behind an alias; only their partitions are opened."""
+    return keep_values(logs, "collection", aliases.filter(F.col("alias") == alias).select("collection"))
+
+
+def collections_since(collections: DataFrame, since: Column) -> DataFrame:
+    """Collections that took rows at or after ``since``: those whose successor did not open before it."""
+    later = Window.partitionBy("application").orderBy("created_epoch")
+    closed = F.lead("created_epoch").over(later)
+    return (
+        collections.withColumn("_closed", closed)
+        .filter(F.col("_closed").isNull() | (F.col("_closed") > F.unix_seconds(since)))
+        .drop("_closed")
+    )
+
+
+def read_since(logs: DataFrame, collections: DataFrame, since: Column) -> DataFrame:
+    """Rows at or after ``since``, read from the collections that can hold some; the others are not opened."""
+    open_ones = collections_since(collections, since).select("collection")
+    return keep_values(logs.filter(F.col("ts") >= since), "collection", open_ones)
 
 
 def due_applications(collections: DataFrame, policies: DataFrame, now: datetime) -> DataFrame:

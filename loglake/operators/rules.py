@@ -12,7 +12,7 @@ from functools import reduce
 from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -183,15 +183,20 @@ def evaluate_rules(logs: DataFrame, applications: list[Application], now: dateti
     )
 
 
-def evaluate_sql_rules(spark, applications: list[Application], now: datetime) -> DataFrame:
-    """Rows found by every SQL rule; each is a query of its own. ``:eval_ts`` in its text is the evaluation time."""
+def evaluate_sql_rules(
+    spark: SparkSession, applications: list[Application], now: datetime, options: dict[str, str] | None = None
+) -> DataFrame:
+    """Rows found by every SQL rule; each is a query of its own.
+
+    ``:eval_ts`` in its text is the evaluation time. With JDBC ``options`` the texts go to that database as they are.
+    """
     parts = []
     for a in applications:
         for r in a.alert_rules:
             if r.alert_type != "sql":
                 continue
             try:
-                found = read_sql_rule(spark, r.query, max_rows=None, args={"eval_ts": now})
+                found = read_sql_rule(spark, r.query, options, max_rows=None, args={"eval_ts": now})
             except AnalysisException as error:
                 log.error("SQL rule %r of %s is left out: %s", r.query, a.name, error)
                 continue

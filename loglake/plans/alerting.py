@@ -64,7 +64,11 @@ def notifications(alerts: DataFrame, applications: list[Application]) -> tuple[D
 
 
 def run_round(
-    logs: DataFrame, applications: list[Application], now: datetime, history: DataFrame | None = None
+    logs: DataFrame,
+    applications: list[Application],
+    now: datetime,
+    history: DataFrame | None = None,
+    sql_options: dict[str, str] | None = None,
 ) -> DataFrame:
     """Alerts of this round, materialised.
 
@@ -73,21 +77,25 @@ def run_round(
     run one by one and the others are kept.
     """
     try:
-        return _attempt(logs, applications, now, history)
+        return _attempt(logs, applications, now, history, sql_options)
     except PySparkException as error:
         log.error("a rule failed, running them one by one: %s", error)
     parts = []
     for a in applications:
         for r in a.alert_rules:
             try:
-                parts.append(_attempt(logs, [replace(a, alert_rules=(r,))], now, history))
+                parts.append(_attempt(logs, [replace(a, alert_rules=(r,))], now, history, sql_options))
             except PySparkException as error:
                 log.error("rule %r of %s failed: %s", r.query, a.name, error)
-    return reduce(DataFrame.unionByName, parts) if parts else _attempt(logs, [], now, history)
+    return reduce(DataFrame.unionByName, parts) if parts else _attempt(logs, [], now, history, sql_options)
 
 
 def _attempt(
-    logs: DataFrame, applications: list[Application], now: datetime, history: DataFrame | None
+    logs: DataFrame,
+    applications: list[Application],
+    now: datetime,
+    history: DataFrame | None,
+    sql_options: dict[str, str] | None,
 ) -> DataFrame:
     spark = logs.sparkSession
 
@@ -103,5 +111,5 @@ def _attempt(
     documents = rule_documents(logs, firing, now, DOCUMENT_FIELDS)
     documents = spark.createDataFrame(documents.toArrow(), documents.schema)
     alerts = found.join(documents, ["application", "rule_id"], "left")
-    alerts = alerts.unionByName(here(evaluate_sql_rules(spark, applications, now)))
+    alerts = alerts.unionByName(here(evaluate_sql_rules(spark, applications, now, sql_options)))
     return alerts.withColumn("documents", F.coalesce("documents", F.array().cast("array<map<string,string>>")))

@@ -76,6 +76,17 @@ def prune(spark, sf):
     return recent.groupBy("application").agg(F.count("*").alias("n"))
 
 
+@query(
+    "s08_read_since",
+    f"WITH {LOGS} SELECT id, application FROM logs WHERE ts >= {SQL_NOW} - INTERVAL 36 HOUR",
+)
+def read_since(spark, sf):
+    path = scratch_dir(spark, "logs")
+    write_logs(with_collections(spark, sf), path)
+    since = F.lit(NOW).cast("timestamp") - F.expr("INTERVAL 36 HOURS")
+    return Co.read_since(spark.read.parquet(path), collections(spark, sf), since).select("id", "application")
+
+
 @query(
     "s11_policies",
     f"{CATALOGUE} SELECT application, CAST(coalesce(num_collections, 7) AS INT) AS num_collections, "

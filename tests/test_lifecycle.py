@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loglake.functions import naming as N
-from loglake.frames import small_or_same
+from loglake.frames import keep_values, small_or_same
 from loglake.operators import collections as Co
 from loglake.plans import retention as M
 from loglake.schema import COLLECTIONS, POLICIES
@@ -133,6 +133,29 @@ def test_expire_and_prune(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(" in plan or "PartitionFilters: [(" in plan
 
 
+def test_read_since_opens_no_older_collection(spark, tmp_path):
+    rows = [("a", T0 + d * DAY + timedelta(hours=h), f"{d}-{h}") for d in range(4) for h in (0, 23)]
+    df = spark.createDataFrame(rows, "application string, ts timestamp, id string")
+    placed = Co.assign_collection(df, policies(spark, ("a", 7, 1)))
+    write_logs(placed.drop("created_epoch"), str(tmp_path / "logs"))
+    catalogue_now = small_or_same(Co.collections_of(placed))
+    since = F.lit(T0 + 2 * DAY + timedelta(hours=1)).cast("timestamp")
+    assert Co.collections_since(catalogue_now, since).count() == 2
+    found = Co.read_since(spark.read.parquet(str(tmp_path / "logs")), catalogue_now, since)
+    assert sorted(r["id"] for r in found.collect()) == ["2-23", "3-0", "3-23"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    filters = plan.split("PartitionFilters: [")[1]
+    assert filters.startswith("collection#") or "collection#" in filters.split("]")[0]
+
+
+def test_many_values_are_joined(spark):
+    df, values = spark.range(100), spark.range(10, 20)
+    assert keep_values(df, "id", values, 5).count() == 10
+    assert "Join" in keep_values(df, "id", values, 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert keep_values(df, "id", values, 10).count() == 10
+    assert keep_values(df, "id", values.filter("id < 0")).count() == 0
+
+
 def test_assign_collection(spark):
     rows = [("a", T0), ("a", T0 + DAY), ("a", T0 + 3 * DAY - timedelta(seconds=1)), ("b", T0 + DAY)]
     logs = spark.createDataFrame(rows, "application string, ts timestamp")
