@@ -166,12 +166,12 @@ def application_names(spark, sf):
 @query(
     "u02_union_collections",
     f"""WITH {LOGS} SELECT application, id, CASE WHEN application = 'app-0' THEN hostname END AS hostname,
-        CASE WHEN application <> 'app-0' THEN level END AS level FROM logs WHERE application IN ('app-0', 'app-1', 'app-2')""",
+        CASE WHEN application <> 'app-0' THEN level END AS level FROM logs""",
 )
 def union(spark, sf):
     df = logs(spark, sf)
     first = df.filter("application = 'app-0'").select("application", "id", "hostname")
-    others = [df.filter(F.col("application") == a).select("application", "id", "level") for a in ("app-1", "app-2")]
+    others = [df.filter(F.col("application") == a).select("application", "id", "level") for a in ("app-1", "app-2", "app-3", "app-4")]
     return union_collections([first, *others])
 
 

@@ -14,8 +14,7 @@ from loglake.registry.base import metrics_from_events, query, table
 from loglake.sinks.metrics import write_metrics
 from loglake.sources.metrics import read_metric_table, read_metrics
 
-METRICS = """metrics AS (SELECT epoch_us(ts) AS ts_us, CAST(user_id AS VARCHAR) AS key, event_type AS tag, value,
-                         event_id, ts FROM events)"""
+METRICS = """metrics AS (SELECT epoch_us(ts) AS ts_us, CAST(user_id AS VARCHAR) AS key, event_type AS tag, value, ts FROM events)"""
 
 
 def metrics(spark, sf):
@@ -62,22 +61,22 @@ def metric_rows(spark, sf):
     return by_time.unionByName(m.select(*metric_row(F.col("key"), F.col("tag"), F.lit(1), text, DEFAULT_STRFTIME)))
 
 
-# A batch that repeats a third of its readings (same key, higher value) and meets a table holding every other one.
-BATCH = f"""{METRICS}, batch AS (SELECT ts_us, key, tag, value, event_id FROM metrics
-      UNION ALL SELECT ts_us, key, tag, value + 1, event_id FROM metrics WHERE event_id % 3 = 0),
-  stored AS (SELECT * FROM metrics WHERE event_id % 2 = 0)"""
+# A batch that sends the readings of errors twice (same key, higher value) and meets a table that already holds the
+# first half of the month.
+BATCH = f"""{METRICS}, batch AS (SELECT ts_us, key, tag, value FROM metrics
+      UNION ALL SELECT ts_us, key, tag, value + 1 FROM metrics WHERE tag = 'error'),
+  stored AS (SELECT * FROM metrics WHERE ts < TIMESTAMP '2024-01-16')"""
 
 
 def batch_and_stored(spark, sf):
-    events = table(spark, sf, "events")
-    again = events.filter("event_id % 3 = 0").withColumn("value", F.col("value") + 1)
-    batch = metrics_from_events(events).unionByName(metrics_from_events(again))
-    return batch, metrics_from_events(events.filter("event_id % 2 = 0"))
+    readings = metrics(spark, sf)
+    again = readings.filter("tag = 'error'").withColumn("value", F.col("value") + 1)
+    return readings.unionByName(again), readings.filter("ts < TIMESTAMP '2024-01-16'")
 
 
 @query(
     "k04_write_metrics",
-    f"""WITH {METRICS} SELECT ts_us, key, tag, value + CASE WHEN event_id % 2 = 0 THEN 0.5 ELSE 0 END AS value
+    f"""WITH {METRICS} SELECT ts_us, key, tag, value + CASE WHEN ts < TIMESTAMP '2024-01-16' THEN 0.5 ELSE 0 END AS value
         FROM metrics""",
 )
 def write_twice(spark, sf):
