@@ -249,6 +249,16 @@ TICKS = f"""{LOGS}, panes AS (
   ticks AS (SELECT application, pane + b AS tick, CAST(sum(n) AS BIGINT) AS n FROM panes, range(1, 11) AS r(b) GROUP BY ALL)"""
 
 
+def greedy_sql(ticks: str, wait: int) -> str:
+    """The ticks sent: the first one, then always the first more than ``wait`` minutes after the one before."""
+    return f"""following AS MATERIALIZED (
+          SELECT t.application, t.tick, n.tick AS next FROM {ticks} t
+          ASOF JOIN {ticks} n ON t.application = n.application AND t.tick + {wait} < n.tick),
+        sent AS (
+          SELECT application, min(tick) AS tick FROM {ticks} GROUP BY application
+          UNION ALL SELECT application, next FROM sent JOIN following USING (application, tick))"""
+
+
 @query(
     "rule_sweep",
     f"WITH {TICKS} SELECT application, tick * 60 AS eval_epoch, n AS total_num_found FROM ticks",
@@ -260,13 +270,8 @@ def rule_sweep(spark, sf):
 
 @query(
     "w03_suppress_repeats",
-    f"""WITH RECURSIVE {TICKS}, sent AS (
-          SELECT application, min(tick) AS tick FROM ticks GROUP BY application
-          UNION ALL
-          SELECT s.application, (SELECT min(t.tick) FROM ticks t WHERE t.application = s.application
-                                 AND t.tick - s.tick > 10) AS tick
-          FROM sent s WHERE s.tick IS NOT NULL)
-        SELECT application, tick * 60 AS eval_epoch FROM sent WHERE tick IS NOT NULL""",
+    f"""WITH RECURSIVE {TICKS}, {greedy_sql('ticks', 10)}
+        SELECT application, tick * 60 AS eval_epoch FROM sent""",
 )
 def suppress_ticks(spark, sf):
     firings = J.triggered(T.rule_counts_by_tick(logs(spark, sf), error_rule(), 10))
@@ -276,13 +281,9 @@ def suppress_ticks(spark, sf):
 
 @query(
     "w03_suppress_event_ticks",
-    f"""WITH RECURSIVE {LOGS}, e AS (SELECT DISTINCT application, CAST(floor(epoch(ts) / 60) AS BIGINT) + 1 AS t
-          FROM logs WHERE level = 'ERROR'), sent AS (
-          SELECT application, min(t) AS t FROM e GROUP BY application
-          UNION ALL
-          SELECT s.application, (SELECT min(e.t) FROM e WHERE e.application = s.application AND e.t - s.t > 600) AS t
-          FROM sent s WHERE s.t IS NOT NULL)
-        SELECT application, t * 60 AS eval_epoch FROM sent WHERE t IS NOT NULL""",
+    f"""WITH RECURSIVE {LOGS}, e AS (SELECT DISTINCT application, CAST(floor(epoch(ts) / 60) AS BIGINT) + 1 AS tick
+          FROM logs WHERE level = 'ERROR'), {greedy_sql('e', 600)}
+        SELECT application, tick * 60 AS eval_epoch FROM sent""",
 )
 def suppress_event_ticks(spark, sf):
     firings = logs(spark, sf).filter("level = 'ERROR'").select(

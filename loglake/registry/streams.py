@@ -10,7 +10,7 @@ from loglake.frames import scratch_dir
 from loglake.functions.timestamps import timestamp_to_iso
 from loglake.operators.rules import triggered
 from loglake.operators.windows import rule_counts_by_tick, sliding_counts
-from loglake.registry.alerts import TICKS, error_rule
+from loglake.registry.alerts import TICKS, error_rule, greedy_sql
 from loglake.registry.base import LOGS, ORACLES, POLICIES, logs_from_events, policies, query, table
 from loglake.streaming.alerts import alert_stream, suppress_stream
 from loglake.streaming.ingest import ingest_stream
@@ -58,12 +58,7 @@ CLOSED = "(SELECT epoch(max(ts)) - 600 FROM logs)"
     "t02_alert_stream",
     f"""WITH RECURSIVE {TICKS}, closed AS (SELECT * FROM ticks WHERE tick * 60 <= (
             SELECT floor((epoch_ms(max(ts)) - 600000) / 1000) FROM logs WHERE level = 'ERROR')),
-        sent AS (
-          SELECT application, min(tick) AS tick FROM closed GROUP BY application
-          UNION ALL
-          SELECT s.application, (SELECT min(t.tick) FROM closed t WHERE t.application = s.application
-                                 AND t.tick - s.tick > 10) AS tick
-          FROM sent s WHERE s.tick IS NOT NULL)
+        {greedy_sql('closed', 10)}
         SELECT application, tick * 60 AS eval_epoch, n AS total_num_found FROM sent JOIN closed USING (application, tick)""",
 )
 def alerts(spark, sf):
