@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,6 +39,30 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the executors this package, once an application, whether or not it is installed there."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    here = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="llm-code-")) / "loglake_llm.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        out.write(here.parent / "__init__.py", "loglake/__init__.py")
+        for source in sorted(here.glob("*.py")):
+            out.write(source, f"loglake/llm/{source.name}")
+    context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)
+
+
+def map_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """``df.mapInArrow`` with this package on the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 def body(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
@@ -66,11 +92,14 @@ def spread_join(rows: DataFrame, table: DataFrame, key: str, spread_by: list[str
     return salted.join(pairs, [key, "_salt"], "left").drop("_salt")
 
 
-def ranked(df: DataFrame, keys: list[str], order: list[str], rows: int, name: str = "rank") -> DataFrame:
-    """Adds each row's place, from 0, among the rows with equal ``keys``; ``rows`` is the total.
+def ranked(
+    df: DataFrame, keys: list[str], order: list[str], rows: int, table: DataFrame, name: str = "rank"
+) -> DataFrame:
+    """Rows of ``df`` joined with ``table``, which has one row for ``keys``, and their place, from 0, among equal keys.
 
-    Slices by hash are ranked on their own and start where the slices before them end, so a key with a third of all
-    rows is ranked by many tasks. Rows that are equal in ``order`` get places in any order.
+    ``rows`` is the total of ``df``. Slices by hash are ranked on their own and start where the slices before them
+    end, so a key with a third of all rows is ranked by many tasks; rows move once. Rows that are equal in ``order``
+    get places in any order.
     """
     slices = max(16, rows // 20_000)
     sliced = df.withColumn("_slice", salt(*order, salts=slices))
@@ -78,5 +107,5 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], rows: int, name: st
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     within = Window.partitionBy(*keys, "_slice").orderBy(*order)
-    joined = sliced.join(starts, [*keys, "_slice"])
+    joined = sliced.join(starts.join(table, keys), [*keys, "_slice"])
     return joined.withColumn(name, F.col("_start") + F.row_number().over(within) - 1).drop("_slice", "_start")

@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglake.llm.common import documents
+from loglake.llm import quality_classifier, secrets
+from loglake.llm.common import documents, shared_dir, stored
 from loglake.llm.exact_dedup import exact_dedup
+from loglake.llm.lm_score import lm_score
+from loglake.llm.mixing import mix
+from loglake.llm.near_dedup import near_dedup
+from loglake.llm.packing import pack, pieces
 from loglake.llm.quality_rules import quality_rules
+from loglake.llm.surrogates import replace_personal_data
+from loglake.llm.training_order import training_order
+
+#: Keys of the permutation and of the surrogates; a user passes secret ones.
+ORDER_KEY, SURROGATE_KEY = 20_240_229, "example key"
+
+
+def tokenizer() -> str:
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,11 +33,88 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = secrets.findings(docs, secrets.scan_into(docs, shared_dir(spark)))
+    of = lambda i: F.filter("spans", lambda x: x["kind"] == i)
+    base = F.filter("spans", lambda x: x["kind"] < len(secrets.BASE))
+    return found.select(
+        "doc_id",
+        *(F.size(of(i)).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(secrets.BASE)),
+        F.sha2(secrets.as_text(base), 256).alias("base_sha256"),
+        secrets.as_text(F.col("spans")).alias("spans"),
+    )
+
+
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "copies", "taken")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_quality_rules)}
+def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = pieces(documents(spark, sf_dir), tokenizer()).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return pack(stored(parts))
+
+
+def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order(documents(spark, sf_dir), tokenizer(), ORDER_KEY)
+
+
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(documents(spark, sf_dir))
+
+
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score(documents(spark, sf_dir))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held = quality_classifier.held_out(F.col("doc_id"), 5)
+    model = quality_classifier.fit(docs.where(~held), labels(spark, sf_dir).where(~held))
+    scored = quality_classifier.classify(docs, model)
+    return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    replaced = replace_personal_data(documents(spark, sf_dir), SURROGATE_KEY)
+    kinds = F.transform("entities", lambda x: F.concat_ws(":", x["type"], x["replacement"]))
+    return replaced.withColumn("entities", F.array_join(kinds, ","))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_exact_dedup,
+        op2_secret_scan,
+        op3_mix_sources,
+        op4_quality_rules,
+        op5_pack,
+        op6_training_order,
+        op7_near_dedup,
+        op8_lm_score,
+        op9_quality_classifier,
+        op10_surrogates,
+    )
+}
+
+
+def _spans_sql() -> str:
+    """Matches of every rule: gaps and matches take turns, so their lengths add up to places."""
+    parts = []
+    for number, rule in enumerate(secrets.RULES):
+        pattern = rule.pattern.replace("'", "''")
+        parts.append(f"""
+            SELECT doc_id, {number} AS kind, '{rule.kind}' AS name, {rule.least} AS least,
+                   list_transform(regexp_split_to_array(body, '{pattern}'), lambda x: length(x)) AS gaps,
+                   list_transform(regexp_extract_all(body, '{pattern}', 0), lambda x: length(x)) AS hits,
+                   list_transform(regexp_extract_all(body, '{pattern}', {rule.group}), lambda x: length(x)) AS parts
+            FROM d WHERE regexp_matches(body, '{pattern}')""")
+    return " UNION ALL ".join(parts)
+
 
 ORACLES = {
     "op1_exact_dedup": """
@@ -31,4 +123,23 @@ ORACLES = {
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256
         FROM d JOIN g USING (body)
     """,
+    "op2_secret_scan": f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
+             m AS ({_spans_sql()}),
+             e AS (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM m),
+             s AS (SELECT doc_id, kind, name, parts[i] AS part, least,
+                          list_sum(gaps[1:i]) + coalesce(list_sum(hits[1:i - 1]), 0) AS start, hits[i] AS size
+                   FROM e),
+             t AS (SELECT doc_id, kind, CAST(start AS BIGINT) AS start,
+                          name || ':' || CAST(start AS BIGINT) || ':' || CAST(start + size AS BIGINT) AS span
+                   FROM s WHERE part >= least),
+             a AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access,
+                          count(*) FILTER (kind = 2) AS n_hex,
+                          string_agg(span, ',' ORDER BY start, kind) FILTER (kind < 3) AS base,
+                          string_agg(span, ',' ORDER BY start, kind) AS spans
+                   FROM t GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access,
+               coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM d LEFT JOIN a USING (doc_id)
+    """,
 }
