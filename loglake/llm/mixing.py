@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loglake.llm.common import body, ranked, ship, stored, words
 
@@ -135,7 +136,7 @@ def mix(docs: DataFrame, carry: tuple[str, ...] = (), weights: tuple[int, ...] =
         group = group.sort_values("size", ascending=False)
         return group.assign(copies=_rounded(group, cap))
 
-    kind = cells.schema.add("copies", "long")
+    kind = T.StructType([*cells.schema.fields, T.StructField("copies", T.LongType())])
     ship(docs.sparkSession)
     cells = stored(cells.groupBy("source").applyInPandas(rounded, kind))
     marked = docs.select(
