@@ -93,12 +93,28 @@ def solve(lengths: DataFrame, goal: dict, cap: int = CAP) -> dict:
 
 
 def _rounded(lengths: pd.DataFrame, cap: int) -> list[int]:
-    """Whole copies of each length of a source, longest first, each taking over the error of those before."""
-    out, error = [], float((lengths["target"] - (lengths["size"] * lengths["n"] * lengths["rate"]).sum()).iloc[0])
+    """Whole copies of each length of a source, longest first, each taking over the error of those before.
+
+    As long as it can be done, copies leave neither more to the shorter lengths than they can give nor less than none,
+    so the target is missed by less than the shortest document; else by as little as whole copies allow.
+    """
+    need = float(lengths["target"].iloc[0])
+    rest = cap * float((lengths["size"] * lengths["n"]).sum())
+    error = need - float((lengths["size"] * lengths["n"] * lengths["rate"]).sum())
+    out = []
     for size, n, rate in zip(lengths["size"], lengths["n"], lengths["rate"], strict=True):
-        want = n * rate + (error / size if size else 0.0)
-        copies = min(max(round(want), 0), cap * n)
-        error = (want - copies) * size
+        if not size:
+            out.append(int(n))
+            continue
+        rest -= cap * n * size
+        least, most = math.ceil((need - rest) / size), math.floor(need / size)
+        if least <= most:
+            copies = min(max(round(n * rate + error / size), least), most)
+        else:
+            copies = most if need - most * size - rest <= least * size - need else least
+        copies = int(min(max(copies, 0), cap * n))
+        error += (n * rate - copies) * size
+        need -= copies * size
         out.append(copies)
     return out
 
@@ -108,7 +124,7 @@ def mix(docs: DataFrame, carry: tuple[str, ...] = (), weights: tuple[int, ...] =
 
     Size counts words. Entropy balancing gives every document of a source the rate ``min(cap, exp(dual * size))``; the
     rates are rounded into copies over the source's histogram of lengths, longest first with the error carried on, so
-    a source's tokens miss their target by about its shortest document. Copies go to the documents of a length by
+    a source's tokens miss their target by less than its shortest document where whole copies allow it. Copies go to the documents of a length by
     rank of a hash, spread over slices. The histogram has a row for each length of a source, which longer documents
     and not more documents add to; the driver sees one number a source.
 

@@ -197,8 +197,14 @@ def replace_personal_data(docs: DataFrame, key: str) -> DataFrame:
     gaps = F.split("text", PATTERN, -1)
     filled = F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get("entities", i)["replacement"], F.lit(""))))
     new = rows.select("doc_id", F.array_join(filled, "").alias("text"), "entities")
-    counts = [F.size(F.filter("entities", lambda x, t=t: x["type"] == t)).cast("long").alias(f"n_{t}") for t in TYPES]
+
+    def number(t: str) -> Column:
+        return F.size(F.filter("entities", lambda x: x["type"] == t)).cast("long")
+
     pair = lambda x: F.struct(x["type"], x["original"], x["replacement"])
     return plain.unionByName(new).select(
-        "doc_id", "text", F.transform("entities", lambda x: pair(x)).alias("entities"), *counts
+        "doc_id",
+        "text",
+        F.transform("entities", lambda x: pair(x)).alias("entities"),
+        *(number(t).alias(f"n_{t}") for t in TYPES),
     )

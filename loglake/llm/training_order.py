@@ -135,9 +135,9 @@ def materialise(
         """Pieces in order of slot and offset, joined into records."""
         slot, parts = None, []
 
-        def flush() -> pa.RecordBatch:
-            value = b"".join(parts).ljust(2 * sequence, END.to_bytes(2, "little"))
-            return value
+        def flush() -> bytes:
+            value = b"".join(parts)
+            return value + END.to_bytes(2, "little") * (sequence - len(value) // 2)
 
         for batch in batches:
             out = []
