@@ -18,17 +18,20 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new path in the folder of ``spark.checkpoint.dir``, which driver and executors share.
 
     Where the setting is missing, a session on one machine gets a temporary folder; a cluster session is refused.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL.get(context.applicationId)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="llm-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="llm-")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -63,6 +66,13 @@ def map_arrow(df: DataFrame, function, schema) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
+def slices(batches, rows: int = 256):
+    """The Arrow batches in parts of ``rows``, so that a worker holds what it makes of few texts at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def body(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 

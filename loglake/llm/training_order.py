@@ -13,7 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loglake.llm.common import map_arrow, shared_dir, stored
+from loglake.llm.common import map_arrow, shared_dir, slices, stored
 from loglake.llm.tokens import loaded, token_ids
 
 SEQUENCE = 1024
@@ -67,7 +67,7 @@ def _lengths(rows: DataFrame, tokenizer: str) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen = loaded(tokenizer), defaultdict(int)
-        for batch in batches:
+        for batch in slices(batches):
             at, n = [], []
             for text, *split in zip(*(batch.column(c).to_pylist() for c in ("text", "file", "block")), strict=True):
                 at.append(seen[tuple(split)])
@@ -108,7 +108,7 @@ def materialise(
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, position = loaded(tokenizer), dict(starts)
-        for batch in batches:
+        for batch in slices(batches):
             numbers, offsets, ids = [], [], []
             for text, *split in zip(*(batch.column(c).to_pylist() for c in ("text", "file", "block")), strict=True):
                 found = token_ids(text or "", known)
