@@ -9,6 +9,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -22,6 +23,7 @@ HEADLINE = [
     "j01_1_rules",
     "j01_10_rules",
     "j01_100_rules",
+    "j01_2000_rules",
     "a02_rule_documents",
     "k06_mail_notifications",
     "f02_match",
@@ -52,6 +54,7 @@ def main() -> None:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="loglake-bench-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

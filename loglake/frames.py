@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pyarrow as pa
@@ -25,38 +24,22 @@ def local_frame(spark: SparkSession, rows: list[dict], schema: T.StructType) ->
     return spark.createDataFrame(table, schema)
 
 
-def small_or_same(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
-    """``df`` as a local relation when it holds at most ``max_rows`` rows, else ``df`` itself.
-
-    Reads at most ``max_rows + 1`` rows. Meant for aggregated sides (one row per application) whose size the
-    planner cannot estimate: under the bound they join by broadcast, beyond it the ordinary shuffle join runs.
-    """
-    table = df.limit(max_rows + 1).toArrow()
-    if table.num_rows > max_rows:
-        return df
-    return df.sparkSession.createDataFrame(table, df.schema)
-
-
-def keep_values(df: DataFrame, column: str, values: DataFrame, max_values: int = 5_000) -> DataFrame:
-    """Rows of ``df`` whose ``column`` is among the values of the one-column frame ``values``.
-
-    Up to ``max_values`` become a plain condition, which prunes partitions when ``column`` is one; beyond that the
-    frame is semi-joined.
-    """
-    found = values.limit(max_values + 1).toArrow()
-    if found.num_rows > max_values:
-        return df.join(values.toDF(column), column, "left_semi")
-    return df.filter(F.col(column).isin(found.column(0).to_pylist()))
-
-
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the session's shared ``spark.checkpoint.dir``; a local one only when it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that driver and executors share: ``spark.checkpoint.dir``, or what
+    ``SparkContext.setCheckpointDir`` was given."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        return tempfile.mkdtemp(prefix=f"loglake-{name}-")
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: computed once, and not again when an executor is lost."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def empty_map():
     return F.create_map().cast("map<string,string>")
 

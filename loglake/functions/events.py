@@ -23,26 +23,36 @@ def flatten_event(df: DataFrame) -> DataFrame:
     """Lift ``properties`` next to the core fields in one string map column ``fields``.
 
     A property that carries the name of a core field replaces it. Missing ``throwable`` and ``application``
-    become empty text. ``id`` stays a column of its own.
+    become empty text. ``id`` stays a column of its own. Rows that come as a ``fields`` map are flat already.
     """
     defaults = {"throwable", "application"}
     pairs = []
     for name in CORE_FIELDS:
         value = F.coalesce(F.col(name), F.lit("")) if name in defaults else F.col(name)
         pairs += [F.lit(name), value]
+    if "fields" in df.columns and "timestamp" not in df.columns:  # free-form maps and Kafka values are flat
+        return df if "id" in df.columns else df.withColumn("id", F.lit(None).cast("string"))
     return df.withColumn("fields", merge_maps(F.create_map(*pairs), F.col("properties"))).drop("properties")
 
 
 def log_rows(df: DataFrame) -> DataFrame:
-    """Flattened events as wide log rows: known names become columns, the rest stays in ``fields``."""
+    """Flattened events as wide log rows: known names become columns, the rest stays in ``fields``.
+
+    A row belongs to the application that its request or message names. A property ``application`` that says
+    otherwise stays in ``fields``; it names the target only where nothing else does.
+    """
     known = CORE_FIELDS[:-1] + ["hostname", "application_id", "container_id"]
+    target = F.coalesce(F.nullif(F.col("application"), F.lit("")), F.nullif(F.col("fields")["application"], F.lit("")))
     get = lambda name: F.col("fields")[name]
     return df.select(
-        F.coalesce(F.nullif(get("application"), F.lit("")), F.col("application")).alias("application"),
+        target.alias("application"),
         F.coalesce(F.col("id"), get("id")).alias("id"),
         parse_iso(get("timestamp")).alias("ts"),
         *[get(n).alias(n) for n in known if n != "timestamp"],
-        F.map_filter("fields", lambda k, _: ~k.isin(known + ["id", "application"])).alias("fields"),
+        F.map_filter(
+            "fields",
+            lambda k, v: ~k.isin(known + ["id", "application"]) | ((k == "application") & (v != "") & (v != target)),
+        ).alias("fields"),
     )
 
 

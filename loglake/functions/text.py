@@ -26,6 +26,10 @@ def query_terms(text: str) -> list[str]:
     return spaced.split()
 
 
+# A word that nobody writes, between two fields: a phrase does not reach from one into the next.
+FIELD_BREAK = "\ua7f7"
+
+
 def catch_all_text(columns: list[str] | None = None) -> Column:
     """One searchable text per row; missing columns are skipped."""
-    return F.concat_ws(" ", *[F.col(c) for c in (columns or CATCH_ALL_FIELDS)])
+    return F.concat_ws(f" {FIELD_BREAK} ", *[F.col(c) for c in (columns or CATCH_ALL_FIELDS)])

@@ -7,7 +7,6 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loglake.frames import keep_values, small_or_same
 from loglake.functions.naming import alias_name, collection_name
 from loglake.schema import DEFAULT_NUM_COLLECTIONS, DEFAULT_ROLL_PERIOD_DAYS
 from loglake.sources.config import with_policy_defaults
@@ -18,15 +17,15 @@ SECONDS_PER_DAY = 86_400
 def assign_collection(logs: DataFrame, policies: DataFrame, origin: datetime | None = None) -> DataFrame:
     """Put every row into the collection that was open at its time.
 
-    An application's first collection opens with its first row (or at ``origin``, which also serves streams), and a
-    new one opens every roll period. First times are one aggregated row per application; together with the policies
-    they are read ahead, so that the logs are not shuffled for this join unless there are very many applications.
+    For logs that no catalogue knows yet: an application's first collection opens with its first row (or at
+    ``origin``), and a new one opens every roll period. Rows that arrive go to the collection that the catalogue has
+    open: see ``place_in_open`` and ``place_by_time``.
     """
     settings = policies.select("application", "roll_period_days")
     if origin is None:
         first = logs.groupBy("application").agg(F.unix_seconds(F.min("ts")).alias("_first"))
         settings = first.join(settings, "application", "left")
-    joined = logs.join(small_or_same(settings), "application", "left")
+    joined = logs.join(settings, "application", "left")
     start = F.lit(origin).cast("timestamp").cast("bigint") if origin else F.col("_first")
     period = F.coalesce("roll_period_days", F.lit(DEFAULT_ROLL_PERIOD_DAYS)).cast("bigint") * SECONDS_PER_DAY
     rolls = F.floor((F.unix_seconds("ts") - start) / period).cast("bigint")
@@ -37,6 +36,30 @@ def assign_collection(logs: DataFrame, policies: DataFrame, origin: datetime | N
     )
 
 
+def place_in_open(rows: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """Rows that arrive, in the newest collection of their application: the target of its write alias.
+
+    An application that the catalogue does not have keeps its rows, with a NULL collection; ``open_missing`` opens
+    one for it first.
+    """
+    return rows.join(newest_collection(catalogue), "application", "left")
+
+
+def place_by_time(rows: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """Rows of the past, each in the collection that was open at its ``ts``; older rows go to the first one.
+
+    A collection is open until its successor opens, however late that is. An application has a handful of
+    collections, kept as one array, so each row is placed without a range join.
+    """
+    opened = catalogue.groupBy("application").agg(
+        F.array_sort(F.collect_set(F.struct("created_epoch", "collection"))).alias("_opened")
+    )
+    joined = rows.join(opened, "application", "left")
+    before = F.filter("_opened", lambda c: c["created_epoch"] <= F.unix_seconds("ts"))
+    target = F.coalesce(F.try_element_at(before, F.lit(-1)), F.get("_opened", F.lit(0)))
+    return joined.withColumns({"created_epoch": target["created_epoch"], "collection": target["collection"]}).drop("_opened")
+
+
 def collections_of(logs: DataFrame) -> DataFrame:
     """The catalogue of collections that hold rows."""
     return logs.select("application", "collection", "created_epoch").distinct()
@@ -89,8 +112,8 @@ def get_alias(aliases: DataFrame, alias: str) -> list[str] | None:
 
 
 def resolve_alias(logs: DataFrame, aliases: DataFrame, alias: Column | str) -> DataFrame:
-    """Rows of the collections behind an alias; only their partitions are opened."""
-    return keep_values(logs, "collection", aliases.filter(F.col("alias") == alias).select("collection"))
+    """Rows of the collections behind an alias. ``collection`` is a partition column, which a join can prune."""
+    return logs.join(aliases.filter(F.col("alias") == alias).select("collection"), "collection", "left_semi")
 
 
 def collections_since(collections: DataFrame, since: Column) -> DataFrame:
@@ -107,7 +130,7 @@ def collections_since(collections: DataFrame, since: Column) -> DataFrame:
 def read_since(logs: DataFrame, collections: DataFrame, since: Column) -> DataFrame:
     """Rows at or after ``since``, read from the collections that can hold some; the others are not opened."""
     open_ones = collections_since(collections, since).select("collection")
-    return keep_values(logs.filter(F.col("ts") >= since), "collection", open_ones)
+    return logs.filter(F.col("ts") >= since).join(open_ones, "collection", "left_semi")
 
 
 def due_applications(collections: DataFrame, policies: DataFrame, now: datetime) -> DataFrame:

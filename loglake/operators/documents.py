@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loglake.functions.timestamps import parse_iso
 from loglake.schema import REQUIRED_EVENT_FIELDS
 
 
@@ -37,16 +38,24 @@ def get_by_id(df: DataFrame, ids: list[str] | DataFrame) -> DataFrame:
     return df.filter(F.col("id").isin(ids))
 
 
-def _complete(fields: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [F.col(f).isNotNull() for f in fields])
+def _complete(df: DataFrame, required: list[str] | None) -> Column:
+    """All required fields are there, and the time is one. Free-form rows have their fields in a map."""
+    get = (lambda f: F.col(f)) if "timestamp" in df.columns else (lambda f: F.col("fields")[f])
+    names = required or REQUIRED_EVENT_FIELDS
+    checks = [get(f).isNotNull() for f in names]
+    if "timestamp" in names:
+        checks.append(parse_iso(get("timestamp")).isNotNull())
+    return F.coalesce(reduce(lambda a, b: a & b, checks), F.lit(False))
 
 
 def valid_events(df: DataFrame, required: list[str] | None = None) -> DataFrame:
-    return df.filter(_complete(required or REQUIRED_EVENT_FIELDS))
+    """Events with every required field and a time that can be read."""
+    return df.filter(_complete(df, required))
 
 
 def rejected_events(df: DataFrame, required: list[str] | None = None) -> DataFrame:
-    return df.filter(~_complete(required or REQUIRED_EVENT_FIELDS))
+    """The others, as they came: the text of an unreadable time is still there."""
+    return df.filter(~_complete(df, required))
 
 
 def rejected_messages(decoded: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ newest few per rule there.
 from __future__ import annotations
 
 import logging
+from dataclasses import replace
 from datetime import datetime
 from functools import reduce
 from typing import NamedTuple
@@ -26,10 +27,8 @@ from loglake.sources.stored import read_sql_rule
 
 log = logging.getLogger(__name__)
 
-# Up to this many conditions are also applied as a filter, which can skip row groups.
-FILTERING_CONDITIONS = 4
-# Counters in one aggregate; more conditions take further scans.
-COUNTERS_PER_SCAN = 256
+# Conditions in one expression.
+CONDITIONS_PER_SCAN = 200
 
 _INDEXED_RULES = T.StructType([*RULES.fields, T.StructField("condition", T.IntegerType())])
 
@@ -72,6 +71,7 @@ class Conditions(NamedTuple):
     users: list[frozenset[str]]
     rules: DataFrame  # the rules frame, with the index of each rule's condition
     applications: list[str]
+    lookbacks: list[int | None]  # of each condition, in minutes
 
     def guarded(self) -> list[Column]:
         """Conditions behind a cheap test of the application, where not every application uses them."""
@@ -82,11 +82,6 @@ class Conditions(NamedTuple):
             for c, u in zip(self.columns, self.users, strict=True)
         ]
 
-    def parts(self, size: int) -> list[list[int]]:
-        """Conditions in parts of at most ``size``, those of an application next to each other."""
-        order = sorted(range(len(self.columns)), key=lambda i: (-len(self.users[i]), sorted(self.users[i])))
-        return [order[i : i + size] for i in range(0, len(order), size)]
-
 
 def index_conditions(logs: DataFrame, applications: list[Application]) -> Conditions:
     rules: dict[tuple, tuple[str, AlertRule]] = {}
@@ -116,70 +111,76 @@ def index_conditions(logs: DataFrame, applications: list[Application]) -> Condit
         [frozenset(users[key]) for key in by_key],
         local_frame(logs.sparkSession, rows, _INDEXED_RULES),
         sorted({a for a, _ in kept}),
+        [rules[key][1].lookback for key in by_key],
     )
 
 
 def recent(logs: DataFrame, applications: list[Application]) -> DataFrame:
-    """Rows inside the longest look-back, when every search rule has one: a condition that reaches the scan."""
+    """Rows inside a look-back of a rule, when every search rule has one: a bound that reaches the scan."""
     lookbacks = [r.lookback for _, r in search_rules(applications)]
     if not lookbacks or None in lookbacks:
         return logs
     return logs.filter(since(max(lookbacks)) & (F.col("ts") <= F.col("eval_ts")))
 
 
-def condition_hits(logs: DataFrame, found: Conditions, *columns) -> DataFrame:
-    """One row per (log row, satisfied condition) with the columns asked for."""
-    conditions = found.guarded()
-    if not conditions:
-        return logs.filter(F.lit(False)).select(*columns, F.lit(0).alias("condition"))
-    scoped = logs.filter(F.col("application").isin(found.applications))
-    scoped = scoped.filter(reduce(lambda a, b: a | b, conditions))
-    if len(conditions) == 1:
-        return scoped.select(*columns, F.lit(0).alias("condition"))
-    satisfied = F.array_compact(F.array(*[F.when(c, F.lit(i)) for i, c in enumerate(conditions)]))
-    return scoped.select(*columns, F.explode(satisfied).alias("condition"))
-
+def by_lookback(applications: list[Application]) -> list[list[Application]]:
+    """The applications once with the rules that look back, and once with the rules that do not.
 
-def rule_counts(hits: DataFrame) -> DataFrame:
-    return hits.groupBy("application", "condition").agg(F.count("*").alias("total_num_found"))
+    A rule without a look-back reads all logs; the others keep their bound on the scan.
+    """
+    parts = []
+    for bounded in (True, False):
+        part = [
+            replace(a, alert_rules=tuple(r for r in a.alert_rules if (r.lookback is not None) == bounded))
+            for a in applications
+        ]
+        parts.append([a for a in part if a.alert_rules])
+    return [p for p in parts if p] or [[]]
 
 
-def condition_counts(logs: DataFrame, found: Conditions) -> DataFrame:
-    """Rows per (application, condition).
+def condition_hits(logs: DataFrame, found: Conditions, *columns) -> DataFrame:
+    """One row per (log row, satisfied condition) with the columns asked for.
 
-    Rows are never copied: each is tested and added to counters, and each map task sends one row per application. Few
-    conditions also filter the scan. Beyond ``COUNTERS_PER_SCAN`` there are several scans, each of the applications
-    whose conditions it counts, which are partitions of stored logs.
+    Applications and look-backs reach the scan as filters. The conditions of a scan are tested once a row, in one
+    array; the outer explode keeps the optimizer from testing them once more for a filter on the array's size. Very
+    many conditions are tested in several scans, each of the applications (partitions of stored logs) that use its
+    conditions: the time to plan one expression grows faster than its length.
     """
-    if not found.columns:
-        return logs.select(
-            "application", F.lit(0).alias("condition"), F.lit(0).cast("bigint").alias("total_num_found")
-        ).limit(0)
     guarded = found.guarded()
+    if not guarded:
+        return logs.filter(F.lit(False)).select(*columns, F.lit(0).alias("condition"))
+    order = sorted(range(len(guarded)), key=lambda i: (-len(found.users[i]), sorted(found.users[i])))
     parts = []
-    for part in found.parts(COUNTERS_PER_SCAN):
+    for at in range(0, len(order), CONDITIONS_PER_SCAN):
+        part = order[at : at + CONDITIONS_PER_SCAN]
         names = sorted(set().union(*[found.users[i] for i in part]))
+        satisfied = F.array_compact(F.array(*[F.when(guarded[i], F.lit(i)) for i in part]))
         scoped = logs.filter(F.col("application").isin(names))
-        if len(part) <= FILTERING_CONDITIONS:
-            scoped = scoped.filter(reduce(lambda a, b: a | b, [guarded[i] for i in part]))
-        counted = scoped.groupBy("application").agg(*[F.count_if(guarded[i]).alias(f"c{i}") for i in part])
-        cells = ", ".join(f"{i}, c{i}" for i in part)
-        parts.append(
-            counted.selectExpr("application", f"stack({len(part)}, {cells}) AS (condition, total_num_found)")
-        )
-    return reduce(DataFrame.unionByName, parts)
+        parts.append(scoped.select(*columns, F.explode_outer(satisfied).alias("condition")))
+    return reduce(DataFrame.unionByName, parts).filter("condition IS NOT NULL")
+
+
+def rule_counts(hits: DataFrame) -> DataFrame:
+    return hits.groupBy("application", "condition").agg(F.count("*").alias("total_num_found"))
 
 
 def evaluate_rules(logs: DataFrame, applications: list[Application], now: datetime) -> DataFrame:
-    """Rows found by every search rule at ``now``; rules without a hit come back with 0."""
-    timed = at_time(logs, now)
-    found = index_conditions(timed, applications)
-    counts = condition_counts(recent(timed, applications), found)
+    """Rows found by every search rule at ``now``; rules without a hit come back with 0.
+
+    Rules that look back share one bounded scan, the others one full scan. Every condition is tested once a row; a row
+    becomes one small (application, condition) pair per condition that it satisfies, and the pairs are counted in the
+    map tasks. The plan is the same for any number of rules.
+    """
+    parts = []
+    for part in by_lookback(applications):
+        timed = at_time(logs, now)
+        found = index_conditions(timed, part)
+        counts = rule_counts(condition_hits(recent(timed, part), found, "application"))
+        parts.append(found.rules.join(counts, ["application", "condition"], "left").drop("condition"))
     return (
-        found.rules.join(counts, ["application", "condition"], "left")
+        reduce(DataFrame.unionByName, parts)
         .withColumn("total_num_found", F.coalesce("total_num_found", F.lit(0)))
         .withColumn("eval_ts", F.lit(now).cast("timestamp"))
-        .drop("condition")
     )
 
 
@@ -209,17 +210,17 @@ def evaluate_sql_rules(
                 "alert_profiles": F.array(*[F.lit(p) for p in r.alert_profiles]),
                 "alert_type": F.lit(r.alert_type),
             }
-            # The rows themselves are capped; the count is not.
-            counted = found.agg(F.count("*").alias("total_num_found"))
-            counted = counted.withColumn("documents", F.lit(None).cast("array<map<string,string>>"))
-            shown = found.limit(MAX_DOCUMENTS).select(row_as_map(found.columns).alias("d"))
-            shown = shown.agg(F.lit(None).cast("bigint").alias("total_num_found"), F.collect_list("d").alias("documents"))
+            # One run of the query: its rows are counted, and the first of each partition offered as documents.
+            by_number = lambda a, b: F.when(a["_n"] < b["_n"], -1).otherwise(1)
+            number = F.col("_n").bitwiseAND(F.lit((1 << 33) - 1))
+            offered = F.when(number < MAX_DOCUMENTS, F.struct("_n", row_as_map(found.columns).alias("d")))
+            counted = found.withColumn("_n", F.monotonically_increasing_id()).agg(
+                F.count("*").alias("total_num_found"), F.array_sort(F.collect_list(offered), by_number).alias("_shown")
+            )
+            documents = F.transform(F.slice("_shown", 1, MAX_DOCUMENTS), lambda x: x["d"]).alias("documents")
             parts.append(
-                counted.unionByName(shown)
-                .agg(F.max("total_num_found").alias("total_num_found"),
-                     F.first("documents", ignorenulls=True).alias("documents"))
-                .select(*[c.alias(n) for n, c in rule.items()], "total_num_found",
-                        F.lit(now).cast("timestamp").alias("eval_ts"), "documents")
+                counted.select(*[c.alias(n) for n, c in rule.items()], "total_num_found",
+                               F.lit(now).cast("timestamp").alias("eval_ts"), documents)
             )
     if not parts:
         extra = "total_num_found bigint, eval_ts timestamp, documents array<map<string,string>>"
@@ -245,17 +246,22 @@ def rule_documents(
     logs: DataFrame, applications: list[Application], now: datetime, fields: list[str], n: int = MAX_DOCUMENTS
 ) -> DataFrame:
     """Up to ``n`` newest matching rows per rule as an array of name -> text maps."""
-    timed = at_time(logs, now)
-    found = index_conditions(timed, applications)
-    document = row_as_map(document_columns(logs, fields)).alias("document")
-    hits = condition_hits(recent(timed, applications), found, "application", "id", "ts", document)
-    ranked = cap_documents(hits, n).groupBy("application", "condition").agg(
-        F.map_from_entries(F.collect_list(F.struct("rank", "document"))).alias("by_rank")
-    )
-    documents = F.transform(F.sequence(F.lit(1), F.size("by_rank")), lambda i: F.col("by_rank")[i])
-    return found.rules.join(ranked, ["application", "condition"]).select(
-        "application", "rule_id", documents.alias("documents")
-    )
+    parts = []
+    for part in by_lookback(applications):
+        timed = at_time(logs, now)
+        found = index_conditions(timed, part)
+        document = row_as_map(document_columns(logs, fields)).alias("document")
+        hits = condition_hits(recent(timed, part), found, "application", "id", "ts", document)
+        ranked = cap_documents(hits, n).groupBy("application", "condition").agg(
+            F.map_from_entries(F.collect_list(F.struct("rank", "document"))).alias("by_rank")
+        )
+        documents = F.transform(F.sequence(F.lit(1), F.size("by_rank")), lambda i: F.col("by_rank")[i])
+        parts.append(
+            found.rules.join(ranked, ["application", "condition"]).select(
+                "application", "rule_id", documents.alias("documents")
+            )
+        )
+    return reduce(DataFrame.unionByName, parts)
 
 
 def triggered(evaluated: DataFrame, strict_reference: bool = False) -> DataFrame:

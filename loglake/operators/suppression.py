@@ -19,13 +19,16 @@ def suppress_repeats(firings: DataFrame, history: DataFrame | None = None, block
 
     ``firings`` has application, rule_id, retry_interval and eval_ts: evaluation instants, of which a rule has at most
     one per tick (``evaluation_tick`` gives the one for a log row). ``history`` may give ``last_triggered`` per
-    (application, rule_id).
+    (application, rule_id): firings inside that wait are dropped first, and the rest is settled as if there had been
+    none before.
 
     Whether a firing is sent depends on the last one sent, back to the first. To keep one busy rule from becoming
     one task, its time line is cut into blocks. Per block the operator works out, for every firing that can be the
     first one sent in it, which is the last one sent in it. These short tables alone are chained per rule; the
     first firing they fix for every block then settles the block's own list in parallel.
     """
+    if history is not None:
+        firings = not_waiting(firings, history)
     block_us = block_minutes * MICROS_PER_MINUTE
     wait = (F.col("retry_interval").cast("bigint") + 1) * MICROS_PER_MINUTE
     t = F.unix_micros("eval_ts")
@@ -48,16 +51,8 @@ def suppress_repeats(firings: DataFrame, history: DataFrame | None = None, block
     )
 
     chains = tables.groupBy(*_GROUP).agg(F.array_sort(F.collect_list(F.struct("block", "table"))).alias("chain"))
-    if history is None:
-        chains = chains.withColumn("since", F.lit(_NEVER))
-    else:
-        since = history.select("application", "rule_id", F.unix_micros("last_triggered").alias("since"))
-        chains = chains.join(since, ["application", "rule_id"], "left").withColumn(
-            "since", F.coalesce("since", F.lit(_NEVER))
-        )
-
     start = F.struct(
-        F.col("since").alias("last"), F.array().cast("array<struct<block:bigint,first:bigint>>").alias("firsts")
+        F.lit(_NEVER).cast("bigint").alias("last"), F.array().cast("array<struct<block:bigint,first:bigint>>").alias("firsts")
     )
 
     def step(state: Column, b: Column) -> Column:

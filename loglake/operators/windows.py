@@ -7,25 +7,23 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loglake.frames import scratch_dir, small_or_same
 from loglake.operators.rules import at_time, condition_hits, index_conditions
 from loglake.sources.config import Application
 
 MICROS_PER_MINUTE = 60_000_000
 SLOTS = 1000
-PREFIX = 2
-SHARES = 16
-HOT_ROWS = 1_000_000
+PREFIX = 3
 
 
 def _pane(ts: Column | str, pane_us: int) -> Column:
     return F.floor(F.unix_micros(ts) / F.lit(pane_us)).cast("bigint")
 
 
-def _spread(panes: DataFrame, keys: list[str], count: str, per_window: int) -> DataFrame:
-    """Add every pane to each of the ``per_window`` windows that cover it."""
+def _spread(panes: DataFrame, keys: list[str], count: str, per_window: int | Column) -> DataFrame:
+    """Add every pane to each of the ``per_window`` windows that cover it; ``_first`` is a window's first pane."""
+    width = F.lit(per_window) if isinstance(per_window, int) else per_window
     return (
-        panes.select(*keys, count, F.explode(F.sequence(F.lit(0), F.lit(per_window - 1))).alias("_back"), "_pane")
+        panes.select(*keys, count, F.explode(F.sequence(F.lit(0), width - 1)).alias("_back"), "_pane")
         .groupBy(*keys, (F.col("_pane") - F.col("_back")).alias("_first"))
         .agg(F.sum(count).alias(count))
     )
@@ -58,10 +56,10 @@ def evaluation_tick(ts: Column | str, tick_minutes: int = 1) -> Column:
 def rule_counts_by_tick(
     logs: DataFrame, applications: list[Application], lookback_minutes: int = 10, tick_minutes: int = 1
 ) -> DataFrame:
-    """What the search rules would have found at every evaluation tick, each looking back ``lookback_minutes``.
+    """What the search rules would have found at every evaluation tick.
 
-    One scan for the whole sweep. Ticks without a hit are not listed: see ``absence``. Conditions carry no time
-    range of their own here.
+    A rule looks back as far as it says itself (``lookback``), else ``lookback_minutes``. One scan for the whole
+    sweep. Ticks without a hit are not listed: see ``absence``.
     """
     timed = at_time(logs, F.col("ts"))
     conditions = index_conditions(timed, applications)
@@ -69,89 +67,76 @@ def rule_counts_by_tick(
     hits = condition_hits(timed, conditions, "application", _pane("ts", tick_us).alias("_pane"))
     keys = ["application", "condition"]
     panes = hits.groupBy(*keys, "_pane").agg(F.count("*").alias("total_num_found"))
-    per_window = lookback_minutes // tick_minutes
-    found = _spread(panes, keys, "total_num_found", per_window).select(
-        *keys, F.timestamp_micros((F.col("_first") + per_window) * tick_us).alias("eval_ts"), "total_num_found"
-    )
+    lookbacks = [lookback_minutes if b is None else b for b in conditions.lookbacks]
+    per_window = F.get(F.array(*[F.lit(-(-b // tick_minutes)) for b in lookbacks] or [F.lit(1)]), F.col("condition"))
+    found = _spread(panes.withColumn("_width", per_window), [*keys, "_width"], "total_num_found", F.col("_width"))
+    end = F.timestamp_micros((F.col("_first") + F.col("_width")) * tick_us)
+    found = found.select(*keys, end.alias("eval_ts"), "total_num_found")
     return conditions.rules.join(found, keys).drop("condition")
 
 
-def tick_spine(rules: DataFrame, start: datetime, end: datetime, tick_minutes: int = 1) -> DataFrame:
-    """Every (rule, evaluation tick) in ``[start, end]``, built day by day so that the work spreads over tasks."""
-    lo, hi = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
-    day = F.explode(F.sequence(lo, hi, F.expr("INTERVAL 1 DAY"))).alias("_day")
-    days = rules.select("application", "rule_id", "result_threshold", day).repartition(
-        "application", "rule_id", "_day"
-    )
-    last = F.least(hi, F.col("_day") + F.expr("INTERVAL '0 23:59:59.999999' DAY TO SECOND"))
-    ticks = F.explode(F.sequence(F.col("_day"), last, F.expr(f"INTERVAL {tick_minutes} MINUTES")))
-    return days.select("application", "rule_id", "result_threshold", ticks.alias("eval_ts"))
+def silent_stretches(
+    counts_by_tick: DataFrame, rules: DataFrame, start: datetime, end: datetime, tick_minutes: int = 1
+) -> DataFrame:
+    """Stretches of ticks in ``[start, end]`` at which an absence rule (threshold -1) found nothing.
+
+    One row (``first_tick``, ``last_tick``) per stretch, from the gaps between successive ticks with a hit: work and
+    result grow with the hits and not with rules times ticks.
+    """
+    keys = ["application", "rule_id"]
+    tick = tick_minutes * MICROS_PER_MINUTE
+    lo, hi = (F.unix_micros(F.lit(t).cast("timestamp")) for t in (start, end))
+    quiet = rules.filter("result_threshold = -1").select(*keys)
+    step = F.floor((F.unix_micros("eval_ts") - lo) / tick).cast("bigint")
+    last = F.floor((hi - lo) / tick).cast("bigint")
+    on_grid = (F.unix_micros("eval_ts") - lo) % tick == 0
+    hits = counts_by_tick.filter(on_grid).select(*keys, step.alias("step")).filter((F.col("step") >= 0) & (F.col("step") <= last))
+    hits = hits.join(quiet, keys, "left_semi")
+    borders = quiet.select(*keys, F.explode(F.array(F.lit(-1).cast("bigint"), last + 1)).alias("step"))
+    next_hit = F.lead("step").over(Window.partitionBy(*keys).orderBy("step"))
+    gaps = hits.unionByName(borders).withColumn("next", next_hit).filter(F.col("next") > F.col("step") + 1)
+    at = lambda n: F.timestamp_micros(lo + n * tick)
+    return gaps.select(*keys, at(F.col("step") + 1).alias("first_tick"), at(F.col("next") - 1).alias("last_tick"))
 
 
 def absence(counts_by_tick: DataFrame, rules: DataFrame, start: datetime, end: datetime, tick_minutes: int = 1):
-    """Ticks at which an absence rule (threshold -1) found nothing."""
-    spine = tick_spine(rules.filter("result_threshold = -1"), start, end, tick_minutes)
-    return spine.join(counts_by_tick, ["application", "rule_id", "eval_ts"], "left_anti").drop("result_threshold")
+    """Ticks at which an absence rule found nothing: the silent stretches, tick by tick."""
+    stretches = silent_stretches(counts_by_tick, rules, start, end, tick_minutes)
+    ticks = F.sequence("first_tick", "last_tick", F.expr(f"INTERVAL {tick_minutes} MINUTES"))
+    return stretches.select("application", "rule_id", F.explode(ticks).alias("eval_ts"))
 
 
-def micro_batches(
-    df: DataFrame, seconds: int = 1, size: int = 1000, key: str = "application", hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def micro_batches(df: DataFrame, seconds: int = 1, size: int = 1000, key: str = "application") -> DataFrame:
     """Number the batches of each key: a batch closes after ``seconds`` or ``size`` rows, whichever comes first.
 
-    Rows are taken by arrival slot (a thousandth of the batch time), then by hash of the id. Rows are counted per
-    key and batch time first. Where there are more than ``hot_rows`` they are numbered in slices: slot, hash prefix
-    and, because copies share a hash, a random share. Slices are counted in the map tasks, their running total is
-    taken over at most ``SLOTS * 16 ** PREFIX * SHARES`` counts, and only within a slice are rows ranked. The shares
-    are fixed by writing those rows to the shared scratch folder, as they are read twice.
+    Rows are taken by arrival slot (a thousandth of the batch time), then by hash of the id, then by hash of the
+    content, so a row's batch depends on the rows alone. They are ranked in slices of slot and hash prefix; a slice
+    starts after the slots before its own and the slices before it in its slot. Both running totals are over counts
+    that the map tasks have combined: at most ``SLOTS`` slots, at most ``16 ** PREFIX`` slices of a slot.
     """
     batch_us = seconds * 1_000_000
     at = F.unix_micros("ts")
-    group = [key, "batch_second"]
-    timed = df.withColumn("batch_second", F.floor(at / F.lit(batch_us)).cast("bigint") * F.lit(seconds))
-    cut = timed.withColumns(
+    content = F.md5(F.to_json(F.struct(*df.columns)))
+    cut = df.withColumns(
         {
+            "batch_second": F.floor(at / F.lit(batch_us)).cast("bigint") * F.lit(seconds),
             "_slot": F.floor(F.pmod(at, F.lit(batch_us)) / F.lit(batch_us // SLOTS)).cast("int"),
-            "_hash": F.md5(F.coalesce("id", F.to_json(F.struct(*df.columns)))),
+            "_hash": F.coalesce(F.md5("id"), content),
+            "_content": content,
         }
+    ).withColumn("_prefix", F.substring("_hash", 1, PREFIX))
+    group = [key, "batch_second"]
+    slices = cut.groupBy(*group, "_slot", "_prefix").agg(F.count("*").alias("_n"))
+    running = lambda w: F.coalesce(
+        F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
     )
-    sizes = timed.groupBy(*group).agg(F.count("*").alias("_n"))
-    hot = small_or_same(sizes.filter(F.col("_n") > hot_rows).select(*group))
-    if hot.isEmpty():
-        numbered = _ranked(cut, group)
-    else:
-        whole = _ranked(cut.join(hot, group, "left_anti"), group)
-        numbered = whole.unionByName(_ranked_in_slices(cut.join(hot, group, "left_semi"), group))
-    return numbered.withColumn("batch_no", F.floor(F.col("_position") / F.lit(size)).cast("bigint")).drop(
-        "_position", "_slot", "_hash"
-    )
-
-
-def _ranked(cut: DataFrame, group: list[str]) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy("_slot", "_hash", "id"))
-    return cut.withColumn("_position", (rank - 1).cast("bigint"))
-
-
-def _ranked_in_slices(hot: DataFrame, group: list[str]) -> DataFrame:
-    path = scratch_dir(hot.sparkSession, "batches")
-    shared = hot.withColumns(
-        {"_prefix": F.substring("_hash", 1, PREFIX), "_share": (F.rand(SHARES) * SHARES).cast("int")}
-    )
-    shared.write.parquet(path)
-    cut = hot.sparkSession.read.schema(shared.schema).parquet(path)
-    order = ["_slot", "_prefix", "_share"]
-    slices = [*group, *order]
-    before = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        cut.groupBy(*slices)
-        .agg(F.count("*").alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .drop("_n")
-    )
-    rank = F.row_number().over(Window.partitionBy(*slices).orderBy("_hash", "id"))
-    return (
-        cut.withColumn("_rank", rank)
-        .join(offsets, slices)
-        .withColumn("_position", F.col("_before") + F.col("_rank") - 1)
-        .drop("_rank", "_before", "_prefix", "_share")
-    )
+    slots = slices.groupBy(*group, "_slot").agg(F.sum("_n").alias("_n"))
+    slots = slots.withColumn("_before", running(Window.partitionBy(*group).orderBy("_slot"))).drop("_n")
+    within = running(Window.partitionBy(*group, "_slot").orderBy("_prefix"))
+    starts = slices.withColumn("_within", within).drop("_n").join(slots, [*group, "_slot"])
+    starts = starts.withColumn("_start", F.col("_before") + F.col("_within")).drop("_before", "_within")
+    place = [*group, "_slot", "_prefix"]
+    rank = F.row_number().over(Window.partitionBy(*place).orderBy("_hash", "_content"))
+    position = F.col("_start") + rank - 1
+    numbered = cut.join(starts, place).withColumn("batch_no", F.floor(position / F.lit(size)).cast("bigint"))
+    return numbered.drop("_slot", "_prefix", "_hash", "_content", "_start")

@@ -7,14 +7,17 @@ from dataclasses import replace
 from datetime import datetime
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loglake.frames import stored
 from loglake.operators.routing import mail_notifications, route_alerts, slack_notifications, unroutable_alerts
 from loglake.operators.rules import evaluate_rules, evaluate_sql_rules, rule_documents, triggered
 from loglake.operators.suppression import not_waiting
-from loglake.sources.config import Application, profiles_frame
+from loglake.operators.windows import MICROS_PER_MINUTE
+from loglake.sources.config import AlertRule, Application, profiles_frame
 
 log = logging.getLogger(__name__)
 
@@ -70,46 +73,70 @@ def run_round(
     history: DataFrame | None = None,
     sql_options: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Alerts of this round, materialised.
+    """Alerts of this round, written to the shared folder (``spark.checkpoint.dir``) and read from there.
 
-    The counting scan comes first. Its outcome is one small row per rule and comes to the driver; the document scan
-    then runs for the rules that fired only, and not at all when none did. If a rule fails on the data, the rules
-    run one by one and the others are kept.
+    Rules that still wait are left out before any scan. The counting scan comes first; the document scan then runs for
+    the rules that fired only. If a rule fails on the data, the rules are halved until it is alone, and the others are
+    kept.
     """
+    due = applications if history is None else without_waiting(applications, now, history)
+    return reduce(DataFrame.unionByName, _rounds(logs, due, now, sql_options))
+
+
+def without_waiting(applications: list[Application], now: datetime, history: DataFrame) -> list[Application]:
+    """The applications with the rules that may fire at ``now``. History has a row per rule, as the applications do."""
+    waiting = {(r["application"], r["rule_id"]): r["last_triggered"] for r in _since_epoch(history)}
+
+    def waits(application: str, rule: AlertRule) -> bool:
+        last = waiting.get((application, rule.rule_id))
+        minutes = None if last is None else (int(now.timestamp() * 1_000_000) - last) // MICROS_PER_MINUTE
+        return minutes is not None and minutes <= rule.retry_interval
+
+    return [replace(a, alert_rules=tuple(r for r in a.alert_rules if not waits(a.name, r))) for a in applications]
+
+
+def _since_epoch(history: DataFrame) -> list:
+    last = F.unix_micros("last_triggered").alias("last_triggered")
+    return history.select("application", "rule_id", last).collect()
+
+
+def _rounds(
+    logs: DataFrame, applications: list[Application], now: datetime, sql_options: dict[str, str] | None
+) -> list[DataFrame]:
     try:
-        return _attempt(logs, applications, now, history, sql_options)
-    except PySparkException as error:
-        log.error("a rule failed, running them one by one: %s", error)
-    parts = []
-    for a in applications:
-        for r in a.alert_rules:
-            try:
-                parts.append(_attempt(logs, [replace(a, alert_rules=(r,))], now, history, sql_options))
-            except PySparkException as error:
+        return [_attempt(logs, applications, now, sql_options)]
+    except (PySparkException, Py4JJavaError) as error:
+        rules = [(a, r) for a in applications for r in a.alert_rules]
+        if len(rules) <= 1:
+            for a, r in rules:
                 log.error("rule %r of %s failed: %s", r.query, a.name, error)
-    return reduce(DataFrame.unionByName, parts) if parts else _attempt(logs, [], now, history, sql_options)
+            return [_attempt(logs, [], now, sql_options)] if rules else _raise(error)
+    middle = len(rules) // 2
+    halves = []
+    for half in (rules[:middle], rules[middle:]):
+        kept = {id(r) for _, r in half}
+        names = {a.name for a, _ in half}
+        halves.append(
+            [replace(a, alert_rules=tuple(r for r in a.alert_rules if id(r) in kept)) for a in applications if a.name in names]
+        )
+    return [df for half in halves for df in _rounds(logs, half, now, sql_options)]
+
+
+def _raise(error: Exception):
+    raise error
 
 
 def _attempt(
-    logs: DataFrame,
-    applications: list[Application],
-    now: datetime,
-    history: DataFrame | None,
-    sql_options: dict[str, str] | None,
+    logs: DataFrame, applications: list[Application], now: datetime, sql_options: dict[str, str] | None
 ) -> DataFrame:
     spark = logs.sparkSession
-
-    def here(df: DataFrame) -> DataFrame:
-        due = triggered(df) if history is None else not_waiting(triggered(df), history)
-        return spark.createDataFrame(due.toArrow(), due.schema)
-
-    found = here(evaluate_rules(logs, applications, now))
+    found = stored(triggered(evaluate_rules(logs, applications, now)), "fired")
     fired = {(r["application"], r["rule_id"]) for r in found.select("application", "rule_id").collect()}
     firing = [
         replace(a, alert_rules=tuple(r for r in a.alert_rules if (a.name, r.rule_id) in fired)) for a in applications
     ]
     documents = rule_documents(logs, firing, now, DOCUMENT_FIELDS)
-    documents = spark.createDataFrame(documents.toArrow(), documents.schema)
     alerts = found.join(documents, ["application", "rule_id"], "left")
-    alerts = alerts.unionByName(here(evaluate_sql_rules(spark, applications, now, sql_options)))
-    return alerts.withColumn("documents", F.coalesce("documents", F.array().cast("array<map<string,string>>")))
+    alerts = alerts.unionByName(triggered(evaluate_sql_rules(spark, applications, now, sql_options)))
+    alerts = alerts.withColumn("documents", F.coalesce("documents", F.array().cast("array<map<string,string>>")))
+    return stored(alerts, "alerts")

@@ -2,27 +2,39 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+import time
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from loglake.functions.events import flatten_event, log_rows
-from loglake.operators.collections import assign_collection
+from loglake.operators.collections import place_by_time, place_in_open
 from loglake.operators.documents import assign_id, valid_events
 from loglake.schema import REQUIRED_EVENT_FIELDS
 
 
 def normalise(events: DataFrame) -> DataFrame:
-    """Typed events as wide log rows; incomplete ones are left out (``rejected_events`` lists them)."""
+    """Events as wide log rows; incomplete ones are left out (``rejected_events`` lists them).
+
+    Events have typed columns (``read_log_events``) or a ``fields`` map (``read_json_maps``, ``decode_kafka_value``).
+    """
     return log_rows(flatten_event(valid_events(events, REQUIRED_EVENT_FIELDS)))
 
 
 def place(
-    rows: DataFrame, policies: DataFrame, origin: datetime | None = None, deterministic_id: bool = False
+    rows: DataFrame,
+    catalogue: DataFrame,
+    by_time: bool = False,
+    deterministic_id: bool = False,
+    version: int | None = None,
 ) -> DataFrame:
-    """Log rows with an id and the collection they belong to.
+    """Log rows with id, version and the collection they belong to.
 
-    Rows sent without an id get a random one each; ``deterministic_id`` takes a content hash, by which equal rows
-    count as one document.
+    Rows that arrive go to the open collection of their application, rows of the past (``by_time``) to the one that
+    was open then. Rows sent without an id get a random one each; ``deterministic_id`` takes a content hash, by which
+    equal rows count as one document. ``version`` orders writes, so that of rows with one id the newest write is read
+    (``read_latest``); by default it is the time of the call in microseconds.
     """
-    return assign_collection(assign_id(rows, deterministic_id), policies, origin)
+    identified = assign_id(rows, deterministic_id)
+    numbered = identified.withColumn("version", F.lit(version or time.time_ns() // 1000).cast("bigint"))
+    return (place_by_time if by_time else place_in_open)(numbered, catalogue)

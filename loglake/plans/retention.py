@@ -35,6 +35,11 @@ def initialize_applications(policies: DataFrame, collections: DataFrame, now: da
     return collections.unionByName(_open(new, now))
 
 
+def open_missing(collections: DataFrame, applications: DataFrame, now: datetime) -> DataFrame:
+    """The catalogue with a first collection for every application with rows that has none."""
+    return initialize_applications(applications.select("application").distinct(), collections, now)
+
+
 def roll(policies: DataFrame, collections: DataFrame, now: datetime) -> Roll:
     """Open a collection for every due application, then retire its collections beyond the newest N.
 

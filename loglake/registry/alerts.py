@@ -6,7 +6,7 @@ from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import functions as F
 
-from loglake.frames import scratch_dir
+from loglake.frames import shared_dir
 from loglake.functions import predicates as P
 from loglake.operators import routing as R
 from loglake.operators import rules as J
@@ -98,14 +98,18 @@ def _shape(i: int) -> str:
     )[i % 3] + f" AND version >= {i} AND application = 'app-{i % 5}'"
 
 
+def _many_hits(n: int) -> str:
+    cases = ", ".join(f"CASE WHEN {_shape(i)} THEN {i} END" for i in range(n))
+    return f"""{LOGS}, many AS (SELECT application, id, ts,
+                 unnest(list_filter([{cases}], lambda x: x IS NOT NULL)) AS rule FROM logs)"""
+
+
 def _many_sql(n: int) -> str:
-    columns = ", ".join(f"count(*) FILTER ({_shape(i)}) AS c{i}" for i in range(n))
-    rows = " UNION ALL ".join(
-        f"SELECT 'app-{i % 5}' AS application, {i % 7} AS threshold, c{i} AS n FROM t" for i in range(n)
-    )
-    return f"""WITH {LOGS}, t AS (SELECT {columns} FROM logs), r AS ({rows})
-               SELECT application, CAST(threshold AS INT) AS result_threshold, count(*) AS rules,
-               CAST(sum(n) AS BIGINT) AS total, count(*) FILTER (n > threshold) AS firing FROM r GROUP BY ALL"""
+    return f"""WITH {_many_hits(n)}, c AS (SELECT rule, count(*) AS n FROM many GROUP BY rule),
+                 r AS (SELECT 'app-' || (i % 5) AS application, CAST(i % 7 AS INT) AS result_threshold, coalesce(n, 0) AS n
+                       FROM range({n}) AS t(i) LEFT JOIN c ON c.rule = i)
+               SELECT application, result_threshold, count(*) AS rules, CAST(sum(n) AS BIGINT) AS total,
+               count(*) FILTER (n > result_threshold) AS firing FROM r GROUP BY ALL"""
 
 
 def _many(n: int):
@@ -119,7 +123,7 @@ def _many(n: int):
     return run
 
 
-for _n in (1, 10, 100):
+for _n in (1, 10, 100, 2000):
     query(f"j01_{_n}_rules", _many_sql(_n))(_many(_n))
 
 
@@ -148,6 +152,21 @@ def rule_documents(spark, sf):
     return docs.select("application", "query", F.size("documents").cast("bigint").alias("n"), ids.alias("ids"))
 
 
+def _many_documents_sql(n: int) -> str:
+    return f"""WITH {_many_hits(n)}, r AS (SELECT application, rule, row_number() OVER
+                 (PARTITION BY application, rule ORDER BY ts DESC, id) AS r FROM many)
+               SELECT application, count(DISTINCT rule) AS rules, count(*) AS documents FROM r WHERE r <= 10
+               GROUP BY application"""
+
+
+@query("a02_2000_rules", _many_documents_sql(2000))
+def many_rule_documents(spark, sf):
+    docs = J.rule_documents(logs(spark, sf), many_rules(2000), NOW, ["id"])
+    return docs.groupBy("application").agg(
+        F.count("*").alias("rules"), F.sum(F.size("documents")).alias("documents")
+    )
+
+
 @query(
     "l01_cap_documents",
     f"""WITH {LOGS} SELECT application, id, row_number() OVER (PARTITION BY application ORDER BY ts DESC, id) AS rank
@@ -279,6 +298,41 @@ def suppress_ticks(spark, sf):
     return sent.select("application", F.unix_seconds("eval_ts").alias("eval_epoch"))
 
 
+# The last alert of every application was sent at 06:05 of the second day, amid its firings.
+HISTORY_TICK = 28_402_925
+
+
+@query(
+    "w03_suppress_with_history",
+    f"""WITH RECURSIVE {TICKS}, later AS (SELECT * FROM ticks WHERE tick > {HISTORY_TICK} + 10), {greedy_sql('later', 10)}
+        SELECT application, tick * 60 AS eval_epoch FROM sent""",
+)
+def suppress_with_history(spark, sf):
+    firings = J.triggered(T.rule_counts_by_tick(logs(spark, sf), error_rule(), 10))
+    since = F.timestamp_seconds(F.lit(HISTORY_TICK * 60))
+    firings = firings.filter(F.col("eval_ts") > since)
+    history = C.rules_frame(spark, error_rule()).select("application", "rule_id", since.alias("last_triggered"))
+    return W.suppress_repeats(firings, history).select("application", F.unix_seconds("eval_ts").alias("eval_epoch"))
+
+
+@query(
+    "t03_lookback_per_rule",
+    f"""WITH {LOGS}, panes AS (SELECT application, CAST(floor(epoch(ts) / 60) AS BIGINT) AS pane, count(*) AS n
+          FROM logs WHERE level = 'ERROR' GROUP BY ALL)
+        SELECT application, w AS minutes, (pane + b) * 60 AS eval_epoch, CAST(sum(n) AS BIGINT) AS total_num_found
+        FROM panes, (SELECT unnest([1, 10, 60]) AS w), range(1, 61) AS r(b) WHERE b <= w GROUP BY ALL""",
+)
+def lookback_per_rule(spark, sf):
+    rules = tuple(C.AlertRule("level = 'ERROR'", 10, ("ops",), 0, lookback=m) for m in (1, 10, 60))
+    apps = [C.Application(f"app-{i}", rules) for i in range(5)]
+    minutes = F.create_map(*[F.lit(x) for r in rules for x in (r.rule_id, r.lookback)])
+    found = T.rule_counts_by_tick(logs(spark, sf), apps)
+    return found.select(
+        "application", minutes[F.col("rule_id")].alias("minutes"), F.unix_seconds("eval_ts").alias("eval_epoch"),
+        "total_num_found",
+    )
+
+
 @query(
     "w03_suppress_event_ticks",
     f"""WITH RECURSIVE {LOGS}, e AS (SELECT DISTINCT application, CAST(floor(epoch(ts) / 60) AS BIGINT) + 1 AS tick
@@ -402,7 +456,7 @@ def told(spark, sf):
 def drop_silenced(spark, sf):
     df = logs(spark, sf)
     errors = df.groupBy("application").agg(F.count_if(F.col("level") == "ERROR").alias("errors"))
-    path = scratch_dir(spark, "silenced")
+    path = shared_dir(spark, "silenced")
     errors.filter("errors % 2 = 0").select("application").write.mode("overwrite").text(path)
     return R.drop_silenced(errors.select("application"), C.read_silenced(spark, path))
 
@@ -412,7 +466,7 @@ def drop_silenced(spark, sf):
     "SELECT c_name AS application FROM customer WHERE c_acctbal < 0",
 )
 def read_silenced(spark, sf):
-    path = scratch_dir(spark, "silenced")
+    path = shared_dir(spark, "silenced")
     negative = table(spark, sf, "customer").filter("c_acctbal < 0")
     # Stray blanks and empty lines are not names.
     negative.select(F.concat("c_name", F.lit(" \n"))).write.mode("overwrite").text(path)
@@ -499,15 +553,19 @@ def slack_notifications(spark, sf):
 
 @query(
     "k08_alert_history",
-    f"""WITH {NAMED} SELECT application, query, total AS total_num_found, epoch({SQL_NOW})::BIGINT AS eval_epoch FROM fired""",
+    f"""WITH {NAMED} SELECT application, query, total AS total_num_found, epoch({SQL_NOW})::BIGINT AS eval_epoch,
+        CASE WHEN query = 'errors' THEN 'first' ELSE 'second' END AS round FROM fired""",
 )
 def alert_history(spark, sf):
-    path = scratch_dir(spark, "alerts")
+    """Two rounds of one instant both stay; the second is replayed and leaves one copy."""
+    path = shared_dir(spark, "alerts")
     found = alerts(spark, sf)
-    write_alert_history(found, path)
-    write_alert_history(found, path)  # a replayed round leaves one copy
-    stored = spark.read.parquet(path)
-    return stored.select("application", "query", "total_num_found", F.col("eval_epoch").cast("bigint").alias("eval_epoch"))
+    write_alert_history(found.filter("query = 'errors'"), path, "first")
+    write_alert_history(found.filter("query <> 'errors'"), path, "second")
+    write_alert_history(found.filter("query <> 'errors'"), path, "second")
+    return spark.read.parquet(path).select(
+        "application", "query", "total_num_found", F.col("eval_epoch").cast("bigint").alias("eval_epoch"), "round"
+    )
 
 
 @query(

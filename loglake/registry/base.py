@@ -12,7 +12,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglake.frames import small_or_same
+from loglake.frames import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -20,15 +20,24 @@ ORACLES: dict[str, str] = {}
 # Fixed evaluation time: just after the newest event of the test tables.
 NOW = datetime(2024, 1, 31, tzinfo=timezone.utc)
 SQL_NOW = "TIMESTAMP '2024-01-31 00:00:00'"
+# Where a session on one machine keeps stage data; nothing is read from a run before.
+LOCAL_SHARED = "/tmp/loglake-shared"
 WEEK_AGO = datetime(2024, 1, 24, tzinfo=timezone.utc)
 
 
 def query(name: str, sql: str | None = None):
-    """Register ``run`` under ``name``; the session is put on UTC, the time zone of the log model."""
+    """Register ``run`` under ``name``; the session is put on UTC, the time zone of the log model.
+
+    A session on one machine without a ``spark.checkpoint.dir`` gets one; a cluster names its own.
+    """
 
     def register(run):
         def in_utc(spark: SparkSession, sf_dir: str) -> DataFrame:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
+            context = spark.sparkContext
+            known = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+            if not known and context.master.startswith("local["):
+                context.setCheckpointDir(LOCAL_SHARED)
             return run(spark, sf_dir)
 
         in_utc.__name__ = run.__name__
@@ -103,16 +112,16 @@ def with_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def collections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The catalogue those collections make up; it is materialised, as a stored catalogue would be."""
+    """The catalogue those collections make up, as a stored table."""
     from loglake.operators.collections import collections_of
 
-    return small_or_same(collections_of(with_collections(spark, sf_dir)))
+    return stored(collections_of(with_collections(spark, sf_dir)), "catalogue")
 
 
 def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A retention policy for most applications seen: some settings left to the defaults, one kept for two days."""
     number = F.substring("application", 5, 9).cast("int")
-    return small_or_same(
+    return (
         logs(spark, sf_dir)
         .select("application")
         .distinct()

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loglake.frames import scratch_dir
+from loglake.frames import shared_dir
 from loglake.functions import events as E
 from loglake.functions import timestamps as Tm
 from loglake.operators import documents as D
 from loglake.plans.ingest import normalise, place
-from loglake.registry.base import LOGS, POLICIES, logs, policies, query, table
+from loglake.registry.base import LOGS, PLACED, POLICIES, collections, logs, query, table
 from loglake.sinks.logs import write_logs
 from loglake.sinks.wire import WIRE_FIELDS, event_json, export_event_arrays, kafka_messages
 from loglake.sources import events as S
@@ -47,7 +47,7 @@ WIRE = f"""{LOGS}, wire AS (
         FROM wire""",
 )
 def read_log_events(spark, sf):
-    path = scratch_dir(spark, "events-json")
+    path = shared_dir(spark, "events-json")
     wire_events(spark, sf).select(F.to_json(F.struct("id", *WIRE_FIELDS[:6], "properties")).alias("value")).write.mode(
         "overwrite"
     ).text(path)
@@ -125,11 +125,15 @@ def parse_log_lines(spark, sf):
 
 @query(
     "f13_valid_events",
-    f"WITH {WIRE} SELECT wire_level IS NOT NULL AS valid, count(*) AS n FROM wire GROUP BY ALL",
+    f"""WITH {WIRE} SELECT wire_level IS NOT NULL AND version % 11 <> 0 AS valid, count(*) AS n,
+        count(*) FILTER (version % 11 = 0) AS unreadable FROM wire GROUP BY ALL""",
 )
 def valid_events(spark, sf):
-    df = wire_events(spark, sf)
-    count = lambda part, ok: part.agg(F.count("*").alias("n")).select(F.lit(ok).alias("valid"), "n")
+    """Every seventh event lacks its level, every eleventh has a time that is none."""
+    no_time = F.col("version") % 11 == 0
+    df = wire_events(spark, sf).withColumn("timestamp", F.when(no_time, "not a date").otherwise(F.col("timestamp")))
+    unreadable = F.count_if(F.col("timestamp") == "not a date").alias("unreadable")
+    count = lambda part, ok: part.agg(F.count("*").alias("n"), unreadable).select(F.lit(ok).alias("valid"), "n", "unreadable")
     return count(D.valid_events(df), True).unionByName(count(D.rejected_events(df), False))
 
 
@@ -311,19 +315,30 @@ def record_to_event(spark, sf):
 
 @query(
     "k01_write_logs",
-    f"""WITH {WIRE}, kept AS (SELECT application, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM wire
-                         WHERE wire_level IS NOT NULL),
-        {POLICIES}, firsts AS (SELECT application, min(t) AS first_t FROM kept GROUP BY application)
-        SELECT application, application || '_' || CAST(first_t + (t - first_t)
-                 // (coalesce(roll_period_days, 1) * 86400) * coalesce(roll_period_days, 1) * 86400 AS BIGINT)
-                 AS collection, count(*) AS n
-        FROM kept JOIN firsts USING (application) LEFT JOIN policies USING (application) GROUP BY ALL""",
+    f"""WITH {WIRE}, {POLICIES}, {PLACED}, newest AS (SELECT application, max(created_epoch) AS e FROM collections
+          GROUP BY application)
+        SELECT application, application || '_' || e AS collection, count(*) AS n, count(DISTINCT id) AS ids
+        FROM wire JOIN newest USING (application) WHERE wire_level IS NOT NULL GROUP BY ALL""",
 )
 def write_and_read(spark, sf):
-    path = scratch_dir(spark, "logs")
-    write_logs(place(normalise(wire_events(spark, sf)), policies(spark, sf)), path)
+    """Rows that arrive go to the open collection of the stored catalogue."""
+    path = shared_dir(spark, "logs")
+    write_logs(place(normalise(wire_events(spark, sf)), collections(spark, sf)), path)
     df = spark.read.parquet(path)
-    return df.groupBy("application", "collection").agg(F.count("*").alias("n"))
+    return df.groupBy("application", "collection").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"))
+
+
+@query(
+    "p01_routed_by_request",
+    f"""WITH {LOGS} SELECT application, CASE WHEN version % 4 = 0 THEN 'elsewhere' END AS said, count(*) AS n FROM logs
+        GROUP BY ALL""",
+)
+def routed_by_request(spark, sf):
+    """Every fourth event has a property ``application`` that names another one: it stays where it was sent."""
+    other = F.when(F.col("version") % 4 == 0, F.create_map(F.lit("application"), F.lit("elsewhere")))
+    df = logs(spark, sf).withColumns({"timestamp": Tm.timestamp_to_iso("ts"), "properties": other})
+    rows = normalise(df.drop("fields"))
+    return rows.groupBy("application", F.col("fields")["application"].alias("said")).agg(F.count("*").alias("n"))
 
 
 @query(

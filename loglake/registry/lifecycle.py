@@ -6,15 +6,28 @@ from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
-from loglake.frames import scratch_dir
+from loglake.frames import shared_dir, stored
 from loglake.functions import naming as N
 from loglake.operators import collections as Co
 from loglake.operators.documents import union_collections
 from loglake.plans import retention as M
-from loglake.registry.base import CATALOGUE, LOGS, SQL_NOW, NOW, collections, logs, policies, query, with_collections
+from loglake.plans.ingest import place
+from loglake.registry.base import (
+    CATALOGUE,
+    LOGS,
+    NOW,
+    POLICIES,
+    SQL_NOW,
+    collections,
+    logs,
+    policies,
+    query,
+    with_collections,
+)
+from loglake.schema import COLLECTIONS
 from loglake.sinks.logs import write_logs
 from loglake.sources.config import with_policy_defaults
-from loglake.sources.stored import prune_collections, read_application
+from loglake.sources.stored import read_application, read_latest
 
 NOW_EPOCH = 1706659200  # NOW in seconds
 EARLIER = datetime(2024, 1, 30, 20, tzinfo=timezone.utc)
@@ -53,27 +66,98 @@ def names(spark, sf):
 
 @query(
     "s08_read_application",
-    f"{CATALOGUE} SELECT id, level FROM placed WHERE application = 'app-1' AND created_epoch IN "
-    "(SELECT created_epoch FROM collections WHERE application = 'app-1' ORDER BY created_epoch DESC LIMIT 3)",
+    f"WITH {LOGS} SELECT id, level FROM logs WHERE application = 'app-1'",
 )
 def read_one_application(spark, sf):
-    path = scratch_dir(spark, "logs")
+    path = shared_dir(spark, "logs")
     write_logs(with_collections(spark, sf), path)
-    retained = Co.collections_by_age(collections(spark, sf).filter("application = 'app-1'")).limit(3).collect()
-    stored = spark.read.parquet(path)
-    return read_application(stored, "app-1", [r["collection"] for r in retained]).select("id", "level")
+    return read_application(spark.read.parquet(path), "app-1").select("id", "level")
+
+
+# The roller ran late: collections opened half a day after they were due, so each was open longer than its period.
+LATE = f"""{CATALOGUE}, late AS (SELECT application, created_epoch + 43200 AS created_epoch FROM collections),
+  target AS (SELECT l.id, l.application, l.ts, coalesce(
+      (SELECT max(created_epoch) FROM late c WHERE c.application = l.application
+         AND c.created_epoch <= CAST(floor(epoch(l.ts)) AS BIGINT)),
+      (SELECT min(created_epoch) FROM late c WHERE c.application = l.application)) AS created_epoch FROM logs l)"""
+
+
+def late_catalogue(spark, sf):
+    opened = F.col("created_epoch") + 43_200
+    return stored(
+        collections(spark, sf).select(
+            "application", N.collection_name("application", opened).alias("collection"), opened.alias("created_epoch")
+        ),
+        "late",
+    )
+
+
+@query("w02_place_by_time", f"{LATE} SELECT id, application || '_' || created_epoch AS collection FROM target")
+def place_by_time(spark, sf):
+    return Co.place_by_time(logs(spark, sf), late_catalogue(spark, sf)).select("id", "collection")
 
 
 @query(
-    "s08_prune_collections",
+    "s08_read_since_late_roll",
     f"WITH {LOGS} SELECT application, count(*) AS n FROM logs WHERE ts >= {SQL_NOW} - INTERVAL 2 DAY GROUP BY application",
 )
-def prune(spark, sf):
-    path = scratch_dir(spark, "logs")
-    write_logs(with_collections(spark, sf), path)
+def read_since_late_roll(spark, sf):
+    path = shared_dir(spark, "logs")
+    catalogue = late_catalogue(spark, sf)
+    write_logs(Co.place_by_time(logs(spark, sf), catalogue), path)
     since = F.lit(NOW).cast("timestamp") - F.expr("INTERVAL 2 DAYS")
-    recent = prune_collections(spark.read.parquet(path), since, 2).filter(F.col("ts") >= since)
-    return recent.groupBy("application").agg(F.count("*").alias("n"))
+    return Co.read_since(spark.read.parquet(path), catalogue, since).groupBy("application").agg(F.count("*").alias("n"))
+
+
+@query(
+    "s08_read_latest",
+    f"WITH {LOGS} SELECT id, CASE WHEN version % 3 = 0 THEN 'corrected' ELSE level END AS level FROM logs",
+)
+def latest_versions(spark, sf):
+    """A third of the rows are sent again with another level: the later write is read."""
+    path = shared_dir(spark, "logs")
+    catalogue = collections(spark, sf)
+    first = logs(spark, sf)
+    again = first.filter("version % 3 = 0").withColumn("level", F.lit("corrected"))
+    write_logs(place(first.drop("version"), catalogue, version=1), path)
+    write_logs(place(again.drop("version"), catalogue, version=2), path)
+    return read_latest(spark.read.parquet(path)).select("id", "level")
+
+
+# Half of the logs arrive, the roller opens new collections, the others arrive, old collections go.
+MIDDLE, ROLL_EPOCH = "TIMESTAMP '2024-01-16'", 1705363200
+ROLL_TIME = datetime(2024, 1, 16, tzinfo=timezone.utc)
+
+
+@query(
+    "k01_ingest_roll_expire",
+    f"""WITH {LOGS}, {POLICIES}, first_half AS (SELECT application, count(*) AS n FROM logs WHERE ts < {MIDDLE} GROUP BY ALL),
+        second AS (SELECT application, count(*) AS n FROM logs WHERE ts >= {MIDDLE} GROUP BY ALL),
+        halves AS (SELECT l.application, coalesce(f.n, 0) AS before, coalesce(s.n, 0) AS later,
+                   p.application IS NOT NULL AS rolls, coalesce(p.num_collections, 7) AS keep
+                 FROM (SELECT DISTINCT application FROM logs) l LEFT JOIN first_half f USING (application)
+                 LEFT JOIN second s USING (application) LEFT JOIN policies p USING (application))
+        SELECT application, before + later AS all_rows, CASE WHEN rolls THEN later ELSE before + later END AS latest_rows
+        FROM halves""",
+)
+def ingest_roll_expire(spark, sf):
+    path = shared_dir(spark, "logs")
+    rows, keep = logs(spark, sf), policies(spark, sf)
+    start = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    empty = spark.createDataFrame([], COLLECTIONS)
+    catalogue = stored(M.open_missing(M.initialize_applications(keep, empty, start), rows, start), "catalogue")
+    middle = F.lit(ROLL_TIME).cast("timestamp")
+    write_logs(place(rows.filter(F.col("ts") < middle), catalogue), path)
+    rolled = M.roll(keep, catalogue, ROLL_TIME)
+    catalogue = stored(rolled.collections, "catalogue")
+    write_logs(place(rows.filter(F.col("ts") >= middle), catalogue), path)
+    M.expire(spark, path, rolled.retired, confirm=True)
+    written = spark.read.parquet(path)
+    in_alias = written.join(Co.alias_members(catalogue), "collection").groupBy("application").agg(
+        F.count_if(F.col("alias").endswith("_all")).alias("all_rows"),
+        F.count_if(F.col("alias").endswith("_latest")).alias("latest_rows"),
+    )
+    return in_alias.select("application", "all_rows", "latest_rows")
 
 
 @query(
@@ -81,7 +165,7 @@ def prune(spark, sf):
     f"WITH {LOGS} SELECT id, application FROM logs WHERE ts >= {SQL_NOW} - INTERVAL 36 HOUR",
 )
 def read_since(spark, sf):
-    path = scratch_dir(spark, "logs")
+    path = shared_dir(spark, "logs")
     write_logs(with_collections(spark, sf), path)
     since = F.lit(NOW).cast("timestamp") - F.expr("INTERVAL 36 HOURS")
     return Co.read_since(spark.read.parquet(path), collections(spark, sf), since).select("id", "application")
@@ -188,21 +272,19 @@ def resolve_alias(spark, sf):
 @query(
     "f18_lookups",
     f"""{ALIASES} SELECT application, EXISTS (SELECT 1 FROM aliases a WHERE a.alias = p.application || '_latest') AS has_alias,
-        EXISTS (SELECT 1 FROM collections c WHERE c.collection = p.application) AS has_collection
+        EXISTS (SELECT 1 FROM collections c WHERE c.collection = p.application) AS has_collection,
+        (SELECT count(*) FROM aliases a WHERE a.alias = p.application || '_all') AS members
         FROM (SELECT DISTINCT application FROM logs) p""",
 )
 def lookups(spark, sf):
     catalogue = collections(spark, sf)
-    aliases = Co.alias_members(catalogue)
-    apps = catalogue.select("application").distinct()
-    wanted = N.alias_name("application", "latest")
-    have = apps.withColumn("alias", wanted).join(aliases.select("alias", F.lit(True).alias("a")), "alias", "left")
-    both = have.join(
-        catalogue.select(F.col("collection").alias("application"), F.lit(True).alias("c")), "application", "left"
-    )
-    return both.select(
-        "application", F.coalesce("a", F.lit(False)).alias("has_alias"), F.coalesce("c", F.lit(False)).alias("has_collection")
-    )
+    aliases = stored(Co.alias_members(catalogue), "aliases")
+    names = sorted(r["application"] for r in Co.list_applications(catalogue).collect())
+    found = [
+        (a, Co.alias_exists(aliases, f"{a}_latest"), Co.collection_exists(catalogue, a), len(Co.get_alias(aliases, f"{a}_all") or []))
+        for a in names
+    ]
+    return spark.createDataFrame(found, "application string, has_alias boolean, has_collection boolean, members bigint")
 
 
 # Retention starts from the collections of all applications but one, so that one has to be initialised.
@@ -244,10 +326,15 @@ def roll(spark, sf):
     return kept.unionByName(r.retired.select("application", "collection", F.lit("retired").alias("fate")))
 
 
-@query("m03_expire", f"{ROLL} SELECT application, collection FROM marked WHERE NOT retired AND created_epoch <> {EARLIER_EPOCH}")
+@query(
+    "m03_expire",
+    f"""{ROLL} SELECT application, collection FROM marked WHERE NOT retired AND created_epoch <> {EARLIER_EPOCH}
+        UNION ALL SELECT application, collection FROM collections WHERE application = 'app-1'""",
+)
 def expire(spark, sf):
-    path = scratch_dir(spark, "logs")
-    write_logs(with_collections(spark, sf).filter("application <> 'app-1'"), path)
+    """Logs of all applications are stored; the roll knows all but one, whose folders stay."""
+    path = shared_dir(spark, "logs")
+    write_logs(with_collections(spark, sf), path)
     M.expire(spark, path, M.roll(policies(spark, sf), known(spark, sf), EARLIER).retired, confirm=True)
     return spark.read.parquet(path).select("application", "collection").distinct()
 

@@ -6,7 +6,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from loglake.frames import scratch_dir
+from loglake.frames import shared_dir
 from loglake.functions.events import metric_row
 from loglake.functions.timestamps import DEFAULT_STRFTIME
 from loglake.operators.metrics import conflicting_metrics, first_metrics, new_metrics
@@ -33,7 +33,7 @@ def read_requests(spark, sf):
     count = F.struct((at + 1).alias("ts"), "key", F.lit("count").alias("tag"), F.lit(1.0).alias("value"))
     request = F.struct(F.concat(F.lit("load_"), "tag").alias("table_name"), F.array(reading, count).alias("payload"))
     requests = metrics(spark, sf).select(F.to_json(request).alias("body"))
-    return read_metrics(requests, "body").withColumnRenamed("ts", "ts_us")
+    return read_metrics(requests, "body").withColumn("ts_us", F.unix_micros("ts")).drop("ts")
 
 
 @query(
@@ -42,7 +42,7 @@ def read_requests(spark, sf):
         WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-21' GROUP BY key, tag""",
 )
 def read_table(spark, sf):
-    path = scratch_dir(spark, "metrics")
+    path = shared_dir(spark, "metrics")
     write_metrics(metrics(spark, sf), path)
     stored = read_metric_table(spark, path, date(2024, 1, 10), date(2024, 1, 20))
     return stored.groupBy("key", "tag").agg(
@@ -50,6 +50,24 @@ def read_table(spark, sf):
     )
 
 
+@query(
+    "k04_two_tables",
+    f"""WITH {METRICS} SELECT 'cpu' AS table_name, ts_us, key, tag, value FROM metrics
+        UNION ALL SELECT 'mem', ts_us, key, tag, value * 2 FROM metrics""",
+)
+def two_tables(spark, sf):
+    """Requests for two tables with the same keys, written as they are read, and each table read back."""
+    path = shared_dir(spark, "metrics")
+    for name, factor in (("cpu", 1), ("mem", 2)):
+        reading = F.struct(F.unix_micros("ts").alias("ts"), "key", "tag", (F.col("value") * factor).alias("value"))
+        request = F.struct(F.lit(name).alias("table_name"), F.array(reading).alias("payload"))
+        write_metrics(read_metrics(metrics(spark, sf).select(F.to_json(request).alias("body")), "body"), path)
+    tables = [read_metric_table(spark, path, table=n).withColumn("table_name", F.lit(n)) for n in ("cpu", "mem")]
+    return tables[0].unionByName(tables[1]).select(
+        "table_name", F.unix_micros("ts").alias("ts_us"), "key", "tag", "value"
+    )
+
+
 @query(
     "p19_metric_row",
     f"WITH {METRICS} SELECT key, tag, value, ts_us AS ts FROM metrics UNION ALL SELECT key, tag, 1.0, ts_us FROM metrics",
@@ -80,7 +98,7 @@ def batch_and_stored(spark, sf):
         FROM metrics""",
 )
 def write_twice(spark, sf):
-    path = scratch_dir(spark, "metrics")
+    path = shared_dir(spark, "metrics")
     batch, stored = batch_and_stored(spark, sf)
     write_metrics(stored.withColumn("value", F.col("value") + 0.5), path)
     write_metrics(batch, path)

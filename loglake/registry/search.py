@@ -121,7 +121,7 @@ def level_at_least(spark, sf):
 
 @query(
     "p03_catch_all_text",
-    f"""WITH {LOGS} SELECT id, concat_ws(' ', category, level, message, "threadName", throwable, hostname) AS text
+    f"""WITH {LOGS} SELECT id, concat_ws(' \ua7f7 ', category, level, message, "threadName", throwable, hostname) AS text
         FROM logs""",
 )
 def catch_all(spark, sf):

@@ -35,7 +35,9 @@ METRIC_REQUEST = T.StructType(
         T.StructField("payload", T.ArrayType(METRIC_EVENT)),
     ]
 )
+# A reading is named by its table as well, where it has one.
 METRIC_KEY = ["ts", "key", "tag"]
+DEFAULT_METRIC_TABLE = "metrics"
 
 RULES = T.StructType(
     [

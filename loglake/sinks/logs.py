@@ -20,13 +20,14 @@ def write_logs(df: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def stream_logs(
-    df: DataFrame, path: str, checkpoint: str, interval: str | None = "1 second", spread: int = 8
+    df: DataFrame, path: str, checkpoint: str, interval: str | None = "1 second"
 ) -> StreamingQuery:
     """Append a stream to its collections, exactly once; ``interval`` None takes what is there and stops.
 
-    Rows are gathered by collection, so that a micro-batch writes at most ``spread`` files per collection instead of
-    one per task; a busy collection is still written by ``spread`` tasks.
+    Rows are gathered by collection in as many random shares as the session has shuffle partitions, so a busy
+    collection is written by all tasks.
     """
+    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     trigger = {"processingTime": interval} if interval else {"availableNow": True}
     # Drawn per row: a hash of the content would keep copies together.
     share = (F.rand(spread) * spread).cast("int")
@@ -42,7 +43,15 @@ def stream_logs(
     )
 
 
-def write_alert_history(alerts: DataFrame, path: str) -> None:
-    """Append triggered alerts, one folder per evaluation instant; writing an instant again replaces it."""
-    out = alerts.withColumn("eval_epoch", F.unix_seconds("eval_ts"))
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("eval_epoch").parquet(path)
+def write_alert_history(alerts: DataFrame, path: str, round_id: str) -> None:
+    """Append the alerts of one round, a folder a round; writing a round again replaces it and no other."""
+    out = alerts.withColumns({"eval_epoch": F.unix_seconds("eval_ts"), "round": F.lit(round_id)})
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("round").parquet(path)
+
+
+def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
+    """Append one micro-batch to its collections; a replayed batch replaces what it wrote before."""
+    parts = [*PARTITIONS, "batch"]
+    out = df.withColumn("batch", F.lit(batch_id).cast("bigint"))
+    clustered = out.hint("rebalance", *PARTITIONS).sortWithinPartitions(*parts, "ts")
+    clustered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)

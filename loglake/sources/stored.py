@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglake.functions.events import lower_columns
-from loglake.functions.naming import collection_epoch
+from loglake.operators.documents import upsert_latest
 from loglake.schema import MAX_DOCUMENTS
 
 
@@ -36,10 +36,6 @@ def read_application(logs: DataFrame, application: str, collections: list[str] |
     return found if collections is None else found.filter(F.col("collection").isin(collections))
 
 
-def prune_collections(logs: DataFrame, since: Column, roll_period_days: int) -> DataFrame:
-    """Leave out collections closed before ``since``: a partition condition implied by a time range.
-
-    A collection takes rows for one roll period after its creation second.
-    """
-    horizon = F.unix_seconds(since) - F.lit(roll_period_days * 86_400)
-    return logs.filter(collection_epoch("collection") >= horizon)
+def read_latest(logs: DataFrame) -> DataFrame:
+    """Stored rows with the newest version of each id: rows that were sent or written again count once."""
+    return upsert_latest(logs)

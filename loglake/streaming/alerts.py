@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from loglake.operators.suppression import active_suppressions, mark_triggered, s
 from loglake.operators.windows import MICROS_PER_MINUTE
 from loglake.plans.alerting import run_round
 from loglake.sources.config import Application
-from loglake.streaming.windows import with_lateness
+from loglake.streaming.windows import pane_counts, with_lateness
 
 SENT = "application string, rule_id string, eval_us bigint"
 STATE = "application string, rule_id string, retry_interval int, last_triggered timestamp"
@@ -61,29 +62,42 @@ def alert_stream(
 ) -> StreamingQuery:
     """Rules evaluated at every tick of event time, repeats suppressed.
 
-    Rows become counts per (application, condition, window) in the map tasks. Each micro-batch then handles only the
-    windows it closes: threshold, suppression against the state of the batch before, alerts and state written to
-    folders of its own under ``path``. A replayed batch reads the same state and overwrites the same folders.
+    A rule looks back as far as it says itself, else ``lookback``. Rows become counts per (application, condition,
+    tick) in the map tasks; only those are copied to the windows. Each micro-batch then handles only the windows it
+    closes: threshold, suppression against the state of the batch before, alerts and state written to folders of its
+    own under ``path``. A replayed batch reads the same state and overwrites the same folders; state that no rule
+    waits for any more is dropped, and so are the folders of batches that cannot be replayed.
+
+    Absence rules (threshold -1) fire where no window is, so they are refused: use ``alert_rounds``.
     """
+    if any(r.result_threshold == -1 for a in applications for r in a.alert_rules):
+        raise ValueError("alert_stream sees only windows with rows: run absence rules with alert_rounds")
     spark = logs.sparkSession
     timed = at_time(logs, F.col("ts"))
     found = index_conditions(timed, applications)
     hits = condition_hits(with_lateness(timed, delay), found, "application", "ts")
-    counts = (
-        hits.groupBy("application", "condition", F.window("ts", lookback, tick).alias("w"))
-        .agg(F.count("*").alias("total_num_found"))
-        .select("application", "condition", F.col("w.end").alias("eval_ts"), "total_num_found")
-    )
+    keys = ["application", "condition"]
+    spans: dict[str, list[int]] = {}
+    for i, minutes in enumerate(found.lookbacks):
+        spans.setdefault(lookback if minutes is None else f"{minutes} minutes", []).append(i)
+    counted = [
+        pane_counts(hits if len(spans) == 1 else hits.filter(F.col("condition").isin(of)), keys, span, tick, "total_num_found")
+        for span, of in spans.items()
+    ] or [pane_counts(hits, keys, lookback, tick, "total_num_found")]
+    counts = reduce(DataFrame.unionByName, counted).select(*keys, F.col("w.end").alias("eval_ts"), "total_num_found")
 
     def close_windows(batch: DataFrame, batch_id: int) -> None:
         fired = triggered(batch.join(found.rules, ["application", "condition"])).persist()
         state = read_state(spark, path, batch_id - 1)
+        oldest = fired.agg(F.min("eval_ts").alias("t")).first()["t"]
+        state = state if oldest is None else active_suppressions(state, oldest)
         sent = suppress_repeats(fired, state).select("application", "rule_id", "eval_ts")
         alerts = fired.join(sent, ["application", "rule_id", "eval_ts"]).drop("condition")
         alerts.write.mode("overwrite").parquet(f"{path}/alerts/batch={batch_id}")
         written = spark.read.schema(alerts.schema).parquet(f"{path}/alerts/batch={batch_id}")
         write_state(mark_triggered(state, written), path, batch_id)
         fired.unpersist()
+        forget_state(spark, path, batch_id - 2)
 
     return start_batches(counts, close_windows, checkpoint, interval)
 
@@ -99,6 +113,12 @@ def write_state(state: DataFrame, path: str, batch_id: int) -> None:
     state.write.mode("overwrite").parquet(f"{path}/state/batch={batch_id}")
 
 
+def forget_state(spark: SparkSession, path: str, batch_id: int) -> None:
+    """Remove the state after a batch that is never read again."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/state/batch={batch_id}")
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def start_batches(
     df: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, interval: str | None
 ) -> StreamingQuery:
@@ -127,6 +147,7 @@ def alert_rounds(
         state = read_state(spark, path, batch_id - 1)
         alerts = run_round(read_logs(), applications, now, state)
         write_state(mark_triggered(active_suppressions(state, now), alerts), path, batch_id)
+        forget_state(spark, path, batch_id - 2)
         send(alerts)
 
     return start_batches(ticks, one_round, checkpoint, interval)

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 import sys
+import tempfile
 import time
 from datetime import datetime
 from decimal import Decimal
@@ -32,6 +33,7 @@ def session(cores: int = 8) -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="loglake-tests-"))
         .getOrCreate()
     )
 

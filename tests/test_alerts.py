@@ -29,8 +29,8 @@ def minutes_ago(n):
 
 @pytest.fixture(scope="module")
 def logs(spark):
-    rows = [(str(i), "a", minutes_ago(i), "ERROR", f"sad {i}") for i in range(25)]
-    rows += [("x", "b", minutes_ago(5), "INFO", "happy"), ("y", "b", minutes_ago(90), "ERROR", "very sad")]
+    rows = [(str(i), "a", minutes_ago(i), "ERROR", f"slow {i}") for i in range(25)]
+    rows += [("x", "b", minutes_ago(5), "INFO", "fast"), ("y", "b", minutes_ago(90), "ERROR", "very slow")]
     return spark.createDataFrame(rows, LOG)
 
 
@@ -71,29 +71,26 @@ def test_rule_failing_on_the_data_costs_only_itself(logs):
     assert [r["query"] for r in run_round(logs, apps, NOW).collect()] == ["level = 'ERROR'"]
 
 
-def test_many_conditions_take_several_scans(logs, monkeypatch):
-    monkeypatch.setattr(J, "COUNTERS_PER_SCAN", 7)
-    apps = [C.Application("a", tuple(rule(f"message = 'sad {i}'", i % 2) for i in range(20)))]
-    rows = J.evaluate_rules(logs, apps, NOW).collect()
-    assert len(rows) == 20 and all(r["total_num_found"] == 1 for r in rows)
-
-
-@pytest.mark.parametrize("counters", [256, 4, 1])
-def test_counts_equal_one_query_per_rule(logs, monkeypatch, counters):
-    """Random rule sets, some conditions shared between applications, in one scan or several."""
-    monkeypatch.setattr(J, "COUNTERS_PER_SCAN", counters)
+def test_counts_equal_one_query_per_rule(logs):
+    """Random rule sets, some conditions shared between applications, with and without a look-back."""
     draw = random.Random(3)
     names = ["a", "b", "c"]
-    pool = [f"message = 'sad {i}'" for i in range(6)] + ["level = 'INFO'", "level = 'ERROR'", "message LIKE '%sad%'"]
-    apps = [C.Application(n, tuple(rule(q) for q in draw.sample(pool, 5))) for n in names]
+    pool = [f"message = 'slow {i}'" for i in range(6)] + ["level = 'INFO'", "level = 'ERROR'", "message LIKE '%slow%'"]
+    apps = [C.Application(n, tuple(rule(q, lookback=draw.choice([None, 10_000_000])) for q in draw.sample(pool, 5))) for n in names]
     rows = J.evaluate_rules(logs, apps, NOW).collect()
     assert len(rows) == 15
     for r in rows:
         assert r["total_num_found"] == logs.filter(f"application = '{r['application']}' AND {r['query']}").count(), r
 
 
+def test_a_thousand_conditions(logs):
+    apps = [C.Application("a", tuple(rule(f"message = 'slow {i}'") for i in range(1200)))]
+    rows = J.evaluate_rules(logs, apps, NOW).collect()
+    assert len(rows) == 1200 and sum(r["total_num_found"] for r in rows) == logs.filter("application = 'a' AND message LIKE 'slow %'").count()
+
+
 def test_predicate_builder_as_rule(logs):
-    built = rule("sad", predicate=lambda now: P.match("message", "SAD") & P.time_range("ts", "NOW-2HOURS", "NOW", now))
+    built = rule("slow", predicate=lambda now: P.match("message", "SLOW") & P.time_range("ts", "NOW-2HOURS", "NOW", now))
     rows = J.evaluate_rules(logs, [C.Application("b", (built,))], NOW).collect()
     assert rows[0]["total_num_found"] == 1
 
@@ -112,7 +109,7 @@ def test_round_with_history(spark, logs):
 
 
 def test_sql_rules(spark):
-    rows = [(1, True, "sad"), (3, True, "very sad"), (2, False, "happy")]
+    rows = [(1, True, "slow"), (3, True, "very slow"), (2, False, "fast")]
     spark.createDataFrame(rows, "ID int, error boolean, MESSAGE string").createOrReplaceTempView("sql_rule")
     text = "SELECT * FROM sql_rule WHERE error = true ORDER BY id"
     out = read_sql_rule(spark, text)
@@ -121,7 +118,7 @@ def test_sql_rules(spark):
                                 rule("SELECT * FROM sql_rule WHERE id > 5", -1, alert_type="sql")))]
     alerts = {r["query"]: r for r in J.triggered(J.evaluate_sql_rules(spark, apps, NOW)).collect()}
     assert len(alerts) == 2 and alerts[text]["total_num_found"] == 2
-    assert alerts[text]["documents"][0] == {"id": "1", "error": "true", "message": "sad"}
+    assert alerts[text]["documents"][0] == {"id": "1", "error": "true", "message": "slow"}
     assert alerts["SELECT * FROM sql_rule WHERE id > 5"]["documents"] == []
 
 
@@ -159,6 +156,38 @@ def test_suppression_starts_from_history(spark):
     assert sorted(sent) == [base + timedelta(minutes=8), base + timedelta(minutes=20)]
 
 
+@pytest.mark.parametrize("retry", [0, 10, 60, 1440, 3000])
+def test_suppression_in_parts_equals_greedy(spark, retry):
+    """Firings cut at random places; each part starts from the state the parts before it left."""
+    draw = random.Random(retry)
+    base, span = datetime(2024, 1, 1), 6_000
+    minutes = sorted(draw.sample(range(span), 1500))
+    schema = "application string, rule_id string, retry_interval int, eval_ts timestamp"
+    state = spark.createDataFrame([], "application string, rule_id string, retry_interval int, last_triggered timestamp")
+    cuts = [0, *sorted(draw.sample(range(span), 3)), span]
+    sent = []
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        part = [("app", "r", retry, base + timedelta(minutes=m)) for m in minutes if lo <= m < hi]
+        found = W.suppress_repeats(spark.createDataFrame(part, schema), state)
+        sent += [r["eval_ts"] for r in found.collect()]
+        state = spark.createDataFrame(W.mark_triggered(state, found).groupBy("application", "rule_id").agg(
+            F.max("retry_interval").alias("retry_interval"), F.max("last_triggered").alias("last_triggered")).collect(), state.schema)
+    newest = W.mark_triggered  # the newest alert of a part is its state
+    assert sorted(sent) == [base + timedelta(minutes=m) for m in greedy(minutes, retry)] and newest
+
+
+def test_silent_stretches(spark):
+    base = datetime(2024, 1, 1)
+    at = lambda m: base + timedelta(minutes=m)
+    apps = [C.Application("a", (rule("level = 'FATAL'", -1),)), C.Application("b", (rule("level = 'FATAL'", -1),))]
+    rules = C.rules_frame(spark, apps)
+    hits = rules.filter("application = 'a'").select("application", "rule_id", F.explode(F.array(*[F.lit(at(m)) for m in (0, 3, 4, 20)])).alias("eval_ts"))
+    found = T.silent_stretches(hits, rules, at(0), at(10)).collect()
+    got = sorted((r["application"], r["first_tick"], r["last_tick"]) for r in found)
+    assert got == [("a", at(1), at(2)), ("a", at(5), at(10)), ("b", at(0), at(10))]
+    assert T.absence(hits, rules, at(0), at(10)).count() == 8 + 11
+
+
 def test_mark_triggered(spark):
     at = datetime(2024, 1, 1)
     schema = "application string, rule_id string, retry_interval int, last_triggered timestamp"
@@ -171,15 +200,14 @@ def test_mark_triggered(spark):
     assert marked == {("a", "r1"): at - timedelta(hours=1), ("a", "r2"): at, ("b", "r1"): at}
 
 
-@pytest.mark.parametrize("hot_rows", [1_000_000, 50])
-def test_micro_batches_of_a_hot_second(spark, hot_rows):
+def test_micro_batches_of_a_hot_second(spark):
     """A third of all rows in one millisecond of one application: still whole batches of at most `size`."""
     df = spark.range(30_000).select(
         F.col("id").cast("string").alias("id"),
         F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("a"), (F.col("id") % 7).cast("string"))).alias("application"),
         F.timestamp_millis(F.when(F.col("id") % 3 == 0, 1_000_500).otherwise(F.col("id") * 37)).alias("ts"),
     )
-    numbered = T.micro_batches(df, 1, 1000, hot_rows=hot_rows)
+    numbered = T.micro_batches(df, 1, 1000)
     assert numbered.select("id").distinct().count() == 30_000
     batches = numbered.groupBy("application", "batch_second", "batch_no").count().collect()
     assert sum(b["count"] for b in batches) == 30_000
@@ -188,10 +216,21 @@ def test_micro_batches_of_a_hot_second(spark, hot_rows):
     assert max(b["count"] for b in batches) <= 1000
 
 
+def test_batches_do_not_depend_on_the_layout(spark):
+    df = spark.range(5_000).select(
+        (F.col("id") % 4_000).cast("string").alias("id"), F.lit("a").alias("application"), F.col("id").alias("n"),
+        F.timestamp_millis(F.lit(7_000) + F.col("id") % 3).alias("ts"),
+    )
+    number = lambda x: {r["n"]: r["batch_no"] for r in T.micro_batches(x, 1, 100).collect()}
+    first = number(df)
+    assert number(df.repartition(7)) == first and number(df.orderBy(F.desc("n")).coalesce(1)) == first
+    assert sorted(first.values()) == [i // 100 for i in range(5_000)]
+
+
 def test_micro_batches_of_copies(spark):
     """All rows are copies of one event."""
     df = spark.range(5000).select(F.lit("same").alias("id"), F.lit("a").alias("application"), F.timestamp_seconds(F.lit(7)).alias("ts"))
-    batches = T.micro_batches(df, 1, 1000, hot_rows=100).groupBy("batch_second", "batch_no").count().collect()
+    batches = T.micro_batches(df, 1, 1000).groupBy("batch_second", "batch_no").count().collect()
     assert sorted(tuple(b) for b in batches) == [(7, i, 1000) for i in range(5)]
 
 

@@ -11,7 +11,7 @@ from loglake.functions import timestamps as Tm
 from loglake.operators import documents as D
 from loglake.operators.metrics import first_metrics, new_metrics
 from loglake.plans.ingest import normalise, place
-from loglake.schema import LOG_EVENT
+from loglake.schema import COLLECTIONS, LOG_EVENT
 from loglake.sinks.logs import write_logs
 from loglake.sinks.metrics import write_metrics
 from loglake.sinks.wire import to_event_json
@@ -19,8 +19,8 @@ from loglake.sources import events as S
 from loglake.sources.metrics import read_metric_table, read_metrics
 
 EVENT = {
-    "category": "ERROR", "timestamp": "1970-01-01T00:00:00Z", "level": "ERROR", "message": "message 1",
-    "threadName": "thread oxb", "throwable": "Exception in thread main",
+    "category": "ERROR", "timestamp": "1970-01-01T00:00:00Z", "level": "ERROR", "message": "disk nearly full",
+    "threadName": "worker-7", "throwable": "java.io.IOException: no space left",
 }
 
 
@@ -55,7 +55,7 @@ def test_event_array(spark):
     bodies = [(json.dumps([EVENT, EVENT]), "a"), ("[]", "b"), ("nothing", "c")]
     df = spark.createDataFrame(bodies, "body string, app string")
     rows = S.explode_event_array(df, "body", F.col("app")).collect()
-    assert [(r["application"], r["message"]) for r in rows] == [("a", "message 1")] * 2
+    assert [(r["application"], r["message"]) for r in rows] == [("a", "disk nearly full")] * 2
 
 
 def test_json_maps(spark):
@@ -114,9 +114,9 @@ def test_typed_fields(spark):
 
 
 def test_gauge(spark):
-    rows = [(datetime(2024, 1, 1), "app", m) for m in ("metric: long_measure_i=10", "metric: s=up", "x metric: a=1")]
+    rows = [(datetime(2024, 1, 1), "app", m) for m in ("metric: queue_length_i=10", "metric: s=up", "x metric: a=1")]
     out = E.extract_gauge(spark.createDataFrame(rows, "ts timestamp, application string, message string")).collect()
-    assert [(r["key"], r["tag"], r["value"]) for r in out] == [("app", "long_measure_i", 10.0)]
+    assert [(r["key"], r["tag"], r["value"]) for r in out] == [("app", "queue_length_i", 10.0)]
 
 
 def test_mdc_and_stack(spark):
@@ -154,8 +154,9 @@ def test_write_logs_and_read_back(spark, tmp_path):
         {"application": "b", "timestamp": "2024-01-05T00:00:00Z"},
         {"level": None},
     )
-    policies = spark.createDataFrame([("a", None, 1)], "application string, num_collections int, roll_period_days int")
-    write_logs(place(normalise(df), policies), str(tmp_path / "logs"))
+    known = [("a", "a_1704067200", 1704067200), ("a", "a_1704153600", 1704153600), ("b", "b_1704412800", 1704412800)]
+    catalogue = spark.createDataFrame(known, COLLECTIONS)
+    write_logs(place(normalise(df), catalogue, by_time=True), str(tmp_path / "logs"))
     rows = spark.read.parquet(str(tmp_path / "logs")).orderBy("ts").collect()
     assert [r["collection"] for r in rows] == ["a_1704067200", "a_1704153600", "b_1704412800"]
     assert rows[0]["hostname"] == "host1.com" and rows[0]["fields"] == {"n_i": "4"}
@@ -165,7 +166,7 @@ def test_write_logs_and_read_back(spark, tmp_path):
 def test_metric_request(spark):
     body = {"table_name": "metrics", "payload": [{"ts": 1, "key": "key", "tag": "tag", "value": 1.4}]}
     rows = read_metrics(spark.createDataFrame([(json.dumps(body),), ("x",)], "b string"), "b").collect()
-    assert [tuple(r) for r in rows] == [("metrics", 1, "key", "tag", 1.4)]
+    assert [tuple(r) for r in rows] == [("metrics", datetime(1970, 1, 1, 0, 0, 0, 1), "key", "tag", 1.4)]
 
 
 def metric_rows(spark, *rows):
@@ -188,6 +189,33 @@ def test_metrics_table(spark, tmp_path):
     assert len(stored) == 1002 and stored[5] == 1.5 and stored[5000] == 2.0
 
 
+def test_a_wrong_folder_is_an_error(spark, tmp_path):
+    (tmp_path / "metrics").mkdir()
+    (tmp_path / "metrics" / "part.parquet").write_text("no parquet")
+    with pytest.raises(Exception, match="(?i)parquet|schema"):
+        write_metrics(metric_rows(spark, (1, "k", "t", 1.0)), str(tmp_path / "metrics"))
+
+
+def test_unreadable_time_is_rejected_with_its_text(spark):
+    df = events(spark, {"timestamp": "not a date"}, {"timestamp": None}, {})
+    assert normalise(df.withColumn("application", F.lit("a"))).count() == 1
+    assert {r["timestamp"] for r in D.rejected_events(df).collect()} == {"not a date", None}
+
+
+def test_a_property_does_not_move_a_row(spark):
+    df = events(spark, {"application": "a", "properties": {"application": "other"}}, {"application": None, "properties": {"application": "b"}})
+    rows = normalise(df).collect()
+    assert [(r["application"], r["fields"].get("application")) for r in rows] == [("a", "other"), ("b", None)]
+
+
+def test_free_form_rows_are_stored(spark):
+    body = json.dumps([{**EVENT, "id": "9", "extra_i": "4"}, {"level": "INFO"}])
+    maps = S.read_json_maps(spark.createDataFrame([(body,)], "body string"), "body", F.lit("app"))
+    rows = normalise(maps).collect()
+    assert [(r["id"], r["application"], r["fields"]) for r in rows] == [("9", "app", {"extra_i": "4"})]
+    assert D.rejected_events(maps).count() == 1
+
+
 def test_new_metrics_keep_order_of_arrival(spark):
     rows = [(1, "k", "t", 5.0, 2), (1, "k", "t", 7.0, 1)]
     df = spark.createDataFrame(rows, "ts bigint, key string, tag string, value double, seq int")

@@ -6,13 +6,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from loglake.functions import naming as N
-from loglake.frames import keep_values, small_or_same
+from loglake.frames import shared_dir, stored
 from loglake.operators import collections as Co
 from loglake.plans import retention as M
 from loglake.schema import COLLECTIONS, POLICIES
 from loglake.sinks.logs import write_logs
 from loglake.sources.config import policies_frame
-from loglake.sources.stored import prune_collections, read_application
+from loglake.sources.stored import read_application
 
 T0 = datetime(2018, 6, 26, 20, 47, 57, tzinfo=timezone.utc)
 DAY = timedelta(days=1)
@@ -50,7 +50,7 @@ def test_keeps_the_newest(spark):
     p = policies(spark, ("app", 2, 1))
     state = spark.createDataFrame([], COLLECTIONS)
     for day in range(5):
-        state = small_or_same(run(p, state, T0 + day * DAY).collections)
+        state = stored(run(p, state, T0 + day * DAY).collections, "catalogue")
     expected = [f"app_{int((T0 + d * DAY).timestamp())}" for d in (3, 4)]
     assert names(state) == expected
     assert Co.get_alias(Co.alias_members(state), "app_all") == expected
@@ -59,7 +59,7 @@ def test_keeps_the_newest(spark):
 
 def test_rolls_when_due(spark):
     p = policies(spark, ("app", 7, 1))
-    first = small_or_same(run(p, spark.createDataFrame([], COLLECTIONS), T0).collections)
+    first = stored(run(p, spark.createDataFrame([], COLLECTIONS), T0).collections, "catalogue")
     assert run(p, first, T0 + timedelta(hours=1)).opened.count() == 0
     assert run(p, first, T0 + DAY - timedelta(seconds=1)).opened.count() == 0
     later = run(p, first, T0 + 2 * DAY)
@@ -69,7 +69,7 @@ def test_rolls_when_due(spark):
 
 def test_delete_and_create_again(spark):
     p = policies(spark, ("a", 2, 1), ("b", 2, 1))
-    state = small_or_same(run(p, spark.createDataFrame([], COLLECTIONS), T0).collections)
+    state = stored(run(p, spark.createDataFrame([], COLLECTIONS), T0).collections, "catalogue")
     gone = M.delete_applications(state, p)
     assert gone.count() == 0 and not Co.alias_exists(Co.alias_members(gone), "a_all")
     assert run(p, gone, T0 + DAY).collections.count() == 2
@@ -116,21 +116,15 @@ def test_expire_and_prune(spark, tmp_path):
     df = spark.createDataFrame(rows, "application string, collection string, ts timestamp, id string")
     path = str(tmp_path / "logs")
     write_logs(df, path)
-    c = small_or_same(catalogue(spark, *[r[1] for r in rows]))
+    c = stored(catalogue(spark, *[r[1] for r in rows]), "catalogue")
     retired = Co.retired_collections(c, policies(spark, ("a", 2, 1)))
     assert len(M.expire(spark, path, retired)) == 2 and spark.read.parquet(path).count() == 4
     M.expire(spark, path, retired, confirm=True)
-    stored = spark.read.parquet(path)
-    assert sorted(r["id"] for r in stored.collect()) == ["2", "3"]
+    left = spark.read.parquet(path)
+    assert sorted(r["id"] for r in left.collect()) == ["2", "3"]
     assert M.expire(spark, path, retired, confirm=True) == []
 
-    assert [r["id"] for r in read_application(stored, "a", [rows[3][1]]).collect()] == ["3"]
-    recent = prune_collections(stored, F.lit(T0 + 3 * DAY + timedelta(hours=1)).cast("timestamp"), 0)
-    assert recent.count() == 0
-    near = prune_collections(stored, F.lit(T0 + 3 * DAY).cast("timestamp"), 0)
-    assert [r["id"] for r in near.collect()] == ["3"]
-    plan = near._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(" in plan or "PartitionFilters: [(" in plan
+    assert [r["id"] for r in read_application(left, "a", [rows[3][1]]).collect()] == ["3"]
 
 
 def test_read_since_opens_no_older_collection(spark, tmp_path):
@@ -138,22 +132,11 @@ def test_read_since_opens_no_older_collection(spark, tmp_path):
     df = spark.createDataFrame(rows, "application string, ts timestamp, id string")
     placed = Co.assign_collection(df, policies(spark, ("a", 7, 1)))
     write_logs(placed.drop("created_epoch"), str(tmp_path / "logs"))
-    catalogue_now = small_or_same(Co.collections_of(placed))
+    catalogue_now = stored(Co.collections_of(placed), "catalogue")
     since = F.lit(T0 + 2 * DAY + timedelta(hours=1)).cast("timestamp")
     assert Co.collections_since(catalogue_now, since).count() == 2
     found = Co.read_since(spark.read.parquet(str(tmp_path / "logs")), catalogue_now, since)
     assert sorted(r["id"] for r in found.collect()) == ["2-23", "3-0", "3-23"]
-    plan = found._jdf.queryExecution().executedPlan().toString()
-    filters = plan.split("PartitionFilters: [")[1]
-    assert filters.startswith("collection#") or "collection#" in filters.split("]")[0]
-
-
-def test_many_values_are_joined(spark):
-    df, values = spark.range(100), spark.range(10, 20)
-    assert keep_values(df, "id", values, 5).count() == 10
-    assert "Join" in keep_values(df, "id", values, 5)._jdf.queryExecution().optimizedPlan().toString()
-    assert keep_values(df, "id", values, 10).count() == 10
-    assert keep_values(df, "id", values.filter("id < 0")).count() == 0
 
 
 def test_assign_collection(spark):
@@ -167,7 +150,31 @@ def test_assign_collection(spark):
     assert fixed[0]["collection"] == f"a_{epoch - 86400}" and fixed[1]["collection"] == f"a_{epoch + 86400}"
 
 
-def test_large_side_is_not_made_local(spark):
-    df = spark.range(100)
-    assert small_or_same(df, 10) is df
-    assert small_or_same(df, 100) is not df and small_or_same(df, 100).count() == 100
+def test_late_roll_loses_no_rows(spark, tmp_path):
+    """The second collection opened 12 hours late: the first took rows for 36 hours, and they are found."""
+    c = catalogue(spark, f"a_{int(T0.timestamp())}", f"a_{int((T0 + timedelta(hours=36)).timestamp())}")
+    rows = [("a", T0 + timedelta(hours=h), str(h)) for h in (-1, 0, 30, 35, 36, 50)] + [("new", T0, "n")]
+    placed = Co.place_by_time(spark.createDataFrame(rows, "application string, ts timestamp, id string"), c)
+    got = {r["id"]: r["created_epoch"] for r in placed.collect()}
+    first, second = int(T0.timestamp()), int((T0 + timedelta(hours=36)).timestamp())
+    assert got == {"-1": first, "0": first, "30": first, "35": first, "36": second, "50": second, "n": None}
+    write_logs(placed.filter("collection IS NOT NULL"), str(tmp_path / "logs"))
+    since = F.lit(T0 + timedelta(hours=30)).cast("timestamp")
+    found = Co.read_since(spark.read.parquet(str(tmp_path / "logs")), c, since)
+    assert sorted(r["id"] for r in found.collect()) == ["30", "35", "36", "50"]
+
+
+def test_rows_go_to_the_open_collection(spark):
+    c = M.open_missing(catalogue(spark, "a_100", "a_200"), spark.createDataFrame([("b",)], "application string"), T0)
+    rows = spark.createDataFrame([("a", T0, "1"), ("b", T0, "2")], "application string, ts timestamp, id string")
+    got = {r["id"]: r["collection"] for r in Co.place_in_open(rows, c).collect()}
+    assert got == {"1": "a_200", "2": f"b_{int(T0.timestamp())}"}
+
+
+def test_no_shared_folder_is_an_error():
+    class Session:
+        conf = {}
+        sparkContext = type("Context", (), {"getCheckpointDir": staticmethod(lambda: None)})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session, "x")

@@ -13,7 +13,7 @@ NOW = datetime(2024, 3, 1, 12, tzinfo=timezone.utc)
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    rows = [("1", "ERROR", "sad"), ("2", "INFO", "happy"), ("3", "ERROR", "very sad")]
+    rows = [("1", "ERROR", "slow"), ("2", "INFO", "fast"), ("3", "ERROR", "very slow")]
     return spark.createDataFrame(rows, "id string, level string, message string")
 
 
@@ -28,17 +28,17 @@ def test_term(docs):
 
 
 def test_match_and_phrase(docs):
-    assert ids(docs.filter(P.match("message", "sad"))) == ["1", "3"]
-    assert ids(docs.filter(P.match("message", "SAD"))) == ["1", "3"]
-    assert ids(docs.filter(P.match("message", "happy sad"))) == ["1", "2", "3"]
+    assert ids(docs.filter(P.match("message", "slow"))) == ["1", "3"]
+    assert ids(docs.filter(P.match("message", "SLOW"))) == ["1", "3"]
+    assert ids(docs.filter(P.match("message", "fast slow"))) == ["1", "2", "3"]
     assert ids(docs.filter(P.match("message", "sa"))) == []
     assert ids(docs.filter(P.match("message", "!?"))) == []
-    assert ids(docs.filter(P.phrase("message", "very sad"))) == ["3"]
-    assert ids(docs.filter(P.phrase("message", "sad very"))) == []
+    assert ids(docs.filter(P.phrase("message", "very slow"))) == ["3"]
+    assert ids(docs.filter(P.phrase("message", "slow very"))) == []
 
 
 def test_search_over_all_fields(docs):
-    hit = P.search("error happy", ["id", "level", "message"])
+    hit = P.search("error fast", ["id", "level", "message"])
     assert ids(docs.filter(hit)) == ["1", "2", "3"]
 
 
@@ -64,7 +64,7 @@ def test_match_equals_tokenising(spark, words):
 
 
 def test_query_terms():
-    assert query_terms("Very-Sad, 1.5 foo_bar") == ["very", "sad", "1", "5", "foo", "bar"]
+    assert query_terms("Very-Slow, 1.5 foo_bar") == ["very", "slow", "1", "5", "foo", "bar"]
 
 
 @pytest.mark.parametrize(

@@ -3,11 +3,13 @@
 import json
 from datetime import datetime, timedelta, timezone
 
+import pytest
 from pyspark.sql import functions as F
 
 from loglake.operators import suppression as W
 from loglake.operators import windows as T
 from loglake.operators.rules import triggered
+from loglake.schema import COLLECTIONS
 from loglake.sinks.wire import kafka_messages
 from loglake.sources import config as C
 from loglake.sources.events import decode_kafka_value, read_log_events
@@ -17,7 +19,6 @@ from loglake.streaming.windows import sliding_count_stream, unique_events
 
 BASE = datetime(2024, 1, 1, tzinfo=timezone.utc)
 LOG = "id string, application string, ts timestamp, level string"
-POLICY = "application string, num_collections int, roll_period_days int"
 
 
 def put(path, name, events):
@@ -41,11 +42,13 @@ def wire(n, app):
 
 def test_ingest_resumes_without_loss_or_repeats(spark, tmp_path):
     source, out, checkpoint = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "cp")
-    policies = spark.createDataFrame([("a", 7, 1)], POLICY)
+    catalogues = [spark.createDataFrame([], COLLECTIONS)]
 
     def run():
         events = read_log_events(spark, str(source), streaming=True)
-        ingest_stream(events, policies, out, checkpoint, BASE, None).awaitTermination()
+        ingest_stream(
+            events, lambda: catalogues[-1], catalogues.append, out, checkpoint, None, clock=lambda: BASE
+        ).awaitTermination()
         return sorted(int(r["id"]) for r in spark.read.parquet(out).collect())
 
     put(source, "1.json", [wire(n, "a") for n in range(4)] + [{"a": "b"}])
@@ -81,6 +84,27 @@ def test_alert_stream_across_batches(spark, tmp_path):
     assert len(sent) > 5
 
 
+@pytest.mark.parametrize("retry", [10, 60, 1440])
+def test_dense_alert_stream_across_batches(spark, tmp_path, retry):
+    """An error every minute for five hours: the waits reach over the ends of the batches."""
+    source, path = tmp_path / "in", str(tmp_path / "out")
+    for i in range(3):
+        put(source, f"{i}.json", [log_event(1000 * i + m, 100 * i + m) for m in range(100)])
+        alert_stream(stream_of(spark, source), error_apps(retry=retry), path, str(tmp_path / "cp"), interval=None).awaitTermination()
+    sent = sorted(r["eval_ts"] for r in spark.read.parquet(f"{path}/alerts").collect())
+    closed = BASE.replace(tzinfo=None) + timedelta(minutes=289)
+    at, expected = BASE.replace(tzinfo=None) + timedelta(minutes=1), []
+    while at <= closed:
+        expected.append(at)
+        at += timedelta(minutes=retry + 1)
+    assert sent == expected
+
+
+def test_absence_rules_are_refused(spark, tmp_path):
+    with pytest.raises(ValueError, match="alert_rounds"):
+        alert_stream(stream_of(spark, tmp_path), error_apps(-1), str(tmp_path), str(tmp_path / "cp"))
+
+
 def test_threshold_counts_rows_not_files(spark, tmp_path):
     source, path = tmp_path / "in", str(tmp_path / "out")
     put(source, "1.json", [log_event(i, 1) for i in range(3)])
