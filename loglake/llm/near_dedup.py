@@ -7,12 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loglake.llm.common import map_arrow, spread_join, stored
+from loglake.llm.common import map_arrow, slices, spread_join, stored
 from loglake.llm.components import connected_components
-from loglake.llm.shingles import BANDS, REGISTERS, ROWS, estimate, overlap, registers, shingle_set
+from loglake.llm.shingles import BANDS, REGISTERS, ROWS, estimate, low_bits, overlap, registers, shingle_set
 
 #: Sets are linked when 100 * intersection >= PERCENT * union.
 PERCENT = 80
@@ -21,20 +21,21 @@ ERRORS = 5
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sizes, digests, sketches = [], [], []
+    for batch in slices(batches):
+        sizes, digests, sketches, bits = [], [], [], []
         for text in batch.column("text").to_pylist():
             found = shingle_set(text)
             sizes.append(len(found))
             digests.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
             sketches.append(registers(found) if len(found) else None)
+            bits.append(low_bits(sketches[-1]) if len(found) else None)
         columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
-                   pa.array(sketches, pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "digest", "sketch"])
+                   pa.array(sketches, pa.binary()), pa.array(bits, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "digest", "sketch", "bits"])
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         found = [shingle_set(text).tobytes() for text in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.binary())], names=["id", "full"])
 
@@ -74,6 +75,21 @@ def _linked(pairs: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
     return stored(map_arrow(_sides(likely, sets, {"full": "f"}), _confirmed, kind))
 
 
+def _may_link() -> Column:
+    """Of rows ``a`` and ``b``: sizes allow a link, and so do the last bits of registers.
+
+    Two last bits differ in half of the registers that differ, so at PERCENT in a tenth of all, give or take ERRORS
+    standard errors.
+    """
+    n, m = F.col("a.n"), F.col("b.n")
+    differ = sum(
+        (F.bit_count(F.get("a.bits", F.lit(i)).bitwiseXOR(F.get("b.bits", F.lit(i)))) for i in range(4)), F.lit(0)
+    )
+    share = (1 - PERCENT / 100) / 2
+    error = F.sqrt(F.lit(share * (1 - share)) / F.least(F.lit(REGISTERS), F.greatest(n, m)))
+    return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & (differ <= REGISTERS * (share + ERRORS * error))
+
+
 def _labelled(bands: DataFrame, links: DataFrame) -> DataFrame:
     """Rows of ``bands`` with their component by ``links``."""
     found = connected_components(links)
@@ -84,15 +100,18 @@ def _labelled(bands: DataFrame, links: DataFrame) -> DataFrame:
 def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Sketches of all rows, classes of equal sets, and confirmed links that join all linked classes.
 
-    Classes meet where a band of registers is equal. Each first meets the least of its bucket; links join into
-    components. Where a bucket still holds several components, its rows outside the largest are compared with all rows
-    of other components in it. So of two classes that share a band either a path of confirmed links joins them, or
-    their own pair was tested. A large group of copies costs a pair a member and not all pairs.
+    Classes meet where a band of registers is equal. Each first meets the one of its bucket that meets most others
+    over all bands, the likely origin of a group of copies; links join into components. Where a bucket still holds
+    several components, its rows outside the largest are compared with all rows of other components in it, unless
+    their sizes or the last bits of their registers rule a link out. So of two classes that share a band either a path
+    of confirmed links joins them, or their own pair was tested. A large group of copies costs a pair a member and not
+    all pairs.
     """
-    kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, digest binary, sketch binary"
+    kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, digest binary, sketch binary, bits array<long>"
     sketches = stored(map_arrow(docs.select("doc_id", "text"), _sketch, kinds))
     classes = sketches.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(
-        F.min("doc_id").alias("id"), F.min_by("sketch", "doc_id").alias("sketch"), F.max("n").alias("n")
+        F.min("doc_id").alias("id"), F.min_by("sketch", "doc_id").alias("sketch"), F.max("n").alias("n"),
+        F.min_by("bits", "doc_id").alias("bits"),
     )
     classes = stored(classes)
     reps = classes.select("id", "sketch", "n")
@@ -100,26 +119,33 @@ def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")
     piece = F.expr(f"substring(sketch, band * {width} + 1, {width})")
     bands = reps.select("id", "sketch", band).select(F.xxhash64("band", piece).alias("key"), "id")
-    shared = bands.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("rows")).where("rows > 1")
-    bands = stored(bands.join(shared, "key").select("key", "id", "leader"))
+    shared = bands.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1")
+    bands = stored(bands.join(shared, "key").select("key", "id", "rows"))
+    degree = bands.groupBy("id").agg(F.sum("rows").alias("degree"))
+    first = F.min(F.struct((-F.col("degree")).alias("degree"), "id"))["id"]
+    leaders = bands.join(degree, "id").groupBy("key").agg(first.alias("leader"))
+    bands = stored(bands.join(leaders, "key").select("key", "id", "leader"))
 
     needed = bands.select("id").distinct()
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(needed, "id", "left_semi")
     kind = f"id {docs.schema['doc_id'].dataType.simpleString()}, full binary"
     sets = stored(map_arrow(texts, _full_sets, kind))
 
-    starred = bands.where("id <> leader").select(F.col("id").alias("u"), F.col("leader").alias("v")).distinct()
+    starred = bands.where("id <> leader").select(
+        F.greatest("id", "leader").alias("u"), F.least("id", "leader").alias("v")
+    ).distinct()
     links = _linked(starred, reps, sets)
     labelled = stored(_labelled(bands, links))
     parts = labelled.groupBy("key", "component").agg(F.count("*").alias("rows"))
     split = parts.groupBy("key").agg(
         F.count("*").alias("parts"), F.max(F.struct("rows", "component"))["component"].alias("main")
     )
-    mixed = stored(labelled.join(split.where("parts > 1").select("key", "main"), "key"))
+    mixed = labelled.join(split.where("parts > 1").select("key", "main"), "key")
+    mixed = stored(mixed.join(classes.select("id", "n", "bits"), "id"))
     out, all_ = mixed.where("component <> main").alias("a"), mixed.alias("b")
     cross = out.join(all_, F.col("a.key") == F.col("b.key")).where(
         "a.component <> b.component AND (b.component = b.main OR a.id > b.id)"
-    )
+    ).where(_may_link())
     cross = cross.select(F.greatest("a.id", "b.id").alias("u"), F.least("a.id", "b.id").alias("v")).distinct()
     more = _linked(cross.join(starred, ["u", "v"], "left_anti"), reps, sets)
     return sketches, classes.select("digest", "id"), links.union(more)

@@ -65,6 +65,12 @@ def registers(shingles: np.ndarray) -> bytes:
     return packed[at].reshape(ROWS, BANDS).T.tobytes()
 
 
+def low_bits(sketch: bytes) -> list[int]:
+    """The last bit of every register, in four signed 64-bit numbers: a summary small enough to carry along."""
+    bits = np.packbits((np.frombuffer(sketch, np.uint16) & 1).astype(np.uint8))
+    return np.pad(bits, (0, 32 - len(bits))).view(np.int64).tolist()
+
+
 def estimate(a: bytes, b: bytes) -> float:
     """Jaccard estimate of two register strings, less the matches that short registers give by chance."""
     equal = np.count_nonzero(np.frombuffer(a, np.uint16) == np.frombuffer(b, np.uint16)) / REGISTERS
