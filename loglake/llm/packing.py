@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loglake.llm.common import map_arrow, ranked, stored
+from loglake.llm.common import map_arrow, ranked, slices, stored
 from loglake.llm.tokens import loaded, token_ids
 
 SEQUENCE = 1024
@@ -29,10 +29,11 @@ def pieces(docs: DataFrame, tokenizer: str, limit: int = SEQUENCE) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = loaded(tokenizer)
         end = END.to_bytes(4, "little")
-        for batch in batches:
+        for batch in slices(batches):
             row, start, length, ids, total = [], [], [], [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                found = token_ids(text or "", known).tobytes() + end
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            for i, found in enumerate(token_ids(texts, known)):
+                found = found.tobytes() + end
                 for at in range(0, len(found), 4 * limit):
                     part = found[at : at + 4 * limit]
                     row.append(i)

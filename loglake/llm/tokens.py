@@ -8,8 +8,8 @@ import re
 
 import numpy as np
 
-#: Text pieces whose ids a worker remembers; the memory is emptied when it is full.
-REMEMBERED = 300_000
+#: Text pieces whose ids a worker remembers: the first to come, which frequent ones are among.
+REMEMBERED = 400_000
 
 # A single space between two other characters always begins a token, so texts can be cut before it.
 _CUT = re.compile(r" (?<=\S )(?=\S)")
@@ -22,7 +22,7 @@ _LOADED: dict[str, PieceIds] = {}
 
 
 class PieceIds(dict):
-    """Ids, as little-endian unsigned 32-bit numbers, of a piece that follows a space."""
+    """Ids, as little-endian unsigned 32-bit numbers, of pieces that follow a space."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -32,15 +32,9 @@ class PieceIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
 
-    def encode(self, piece: str) -> bytes:
-        ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        value = self[piece] = self.encode(" " + piece)
-        return value
+    def encode(self, pieces: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
 
 
 def loaded(path: str) -> PieceIds:
@@ -50,14 +44,21 @@ def loaded(path: str) -> PieceIds:
     return _LOADED[path]
 
 
-def token_ids(text: str, pieces: PieceIds) -> np.ndarray:
-    """Ids of a whole text, as the tokenizer gives them for it in one call.
+def token_ids(texts: list[str], known: PieceIds) -> list[np.ndarray]:
+    """Ids of whole texts, as the tokenizer gives them for each in one call.
 
     Byte-level BPE splits a text into words before merging, and a word takes the one space before it along; so ids of
-    the pieces between such spaces, most of which are known already, make the ids of the text.
+    the pieces between such spaces, most of which are known already, make the ids of the text. New pieces are
+    tokenised together; those beyond ``REMEMBERED`` are forgotten again.
     """
-    if not text:
-        return np.empty(0, "<u4")
-    first, *rest = _CUT.split(text) if _UNEVEN.search(text) else text.split(" ")
-    begin = pieces.encode(first) if first else b""
-    return np.frombuffer(b"".join(itertools.chain((begin,), map(pieces.__getitem__, rest))), "<u4")
+    cut = [_CUT.split(t) if _UNEVEN.search(t) else t.split(" ") for t in texts]
+    new = list({p for pieces in cut for p in pieces[1:] if p not in known})
+    known.update(zip(new, known.encode([" " + p for p in new]), strict=True))
+    firsts = known.encode([pieces[0] for pieces in cut])
+    out = [
+        np.frombuffer(b"".join(itertools.chain((first,), map(known.__getitem__, pieces[1:]))), "<u4")
+        for first, pieces in zip(firsts, cut, strict=True)
+    ]
+    for p in new if len(known) > REMEMBERED else ():
+        del known[p]
+    return out

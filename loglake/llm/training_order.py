@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loglake.llm.common import map_arrow, shared_dir, slices, stored
-from loglake.llm.tokens import loaded, token_ids
+from loglake.llm.tokens import PieceIds, loaded, token_ids
 
 SEQUENCE = 1024
 #: Slots of a shard; a shard is written and read by one task.
@@ -62,6 +62,12 @@ def _rows(docs: DataFrame) -> DataFrame:
         return stored(docs.select("doc_id", "text")).select("doc_id", "text", *split)
 
 
+def _tokenised(batch: pa.RecordBatch, known: PieceIds) -> Iterator[tuple]:
+    """Ids, file and block of each row."""
+    found = token_ids([t or "" for t in batch.column("text").to_pylist()], known)
+    return zip(found, batch.column("file").to_pylist(), batch.column("block").to_pylist(), strict=True)
+
+
 def _lengths(rows: DataFrame, tokenizer: str) -> DataFrame:
     """``file, block, at, doc_id, n``: tokens of every row with its end, and its place in its split."""
 
@@ -69,10 +75,10 @@ def _lengths(rows: DataFrame, tokenizer: str) -> DataFrame:
         known, seen = loaded(tokenizer), defaultdict(int)
         for batch in slices(batches):
             at, n = [], []
-            for text, *split in zip(*(batch.column(c).to_pylist() for c in ("text", "file", "block")), strict=True):
+            for found, *split in _tokenised(batch, known):
                 at.append(seen[tuple(split)])
                 seen[tuple(split)] += 1
-                n.append(len(token_ids(text or "", known)) + 1)
+                n.append(len(found) + 1)
             columns = [batch.column("file"), batch.column("block"), pa.array(at, pa.int64()), batch.column("doc_id"),
                        pa.array(n, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["file", "block", "at", "doc_id", "n"])
@@ -110,8 +116,7 @@ def materialise(
         known, position = loaded(tokenizer), dict(starts)
         for batch in slices(batches):
             numbers, offsets, ids = [], [], []
-            for text, *split in zip(*(batch.column(c).to_pylist() for c in ("text", "file", "block")), strict=True):
-                found = token_ids(text or "", known)
+            for found, *split in _tokenised(batch, known):
                 if len(found) and found.max() > 0xFFFF:
                     raise ValueError("a token id does not fit 16 bits")
                 found = np.append(found, END).astype("<u2").tobytes()
