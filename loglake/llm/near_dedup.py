@@ -76,16 +76,20 @@ def _linked(pairs: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _may_link() -> Column:
-    """Of rows ``a`` and ``b``: sizes allow a link, and so do the last bits of registers.
+    """Of rows ``a`` and ``b``: sizes allow a link, and so do the last four bits of registers.
 
-    Two last bits differ in half of the registers that differ, so at PERCENT in a tenth of all, give or take ERRORS
-    standard errors.
+    They differ in fifteen of sixteen registers that differ, and an estimate may be ERRORS standard errors off.
     """
     n, m = F.col("a.n"), F.col("b.n")
-    differ = sum(
-        (F.bit_count(F.get("a.bits", F.lit(i)).bitwiseXOR(F.get("b.bits", F.lit(i)))) for i in range(4)), F.lit(0)
-    )
-    share = (1 - PERCENT / 100) / 2
+    each = F.lit(0x1111111111111111)
+
+    def differing(i: int) -> Column:
+        x = F.get("a.bits", F.lit(i)).bitwiseXOR(F.get("b.bits", F.lit(i)))
+        x = x.bitwiseOR(F.shiftright(x, 1))
+        return F.bit_count(x.bitwiseOR(F.shiftright(x, 2)).bitwiseAND(each))
+
+    differ = sum((differing(i) for i in range(16)), F.lit(0))
+    share = (1 - PERCENT / 100) * 15 / 16
     error = F.sqrt(F.lit(share * (1 - share)) / F.least(F.lit(REGISTERS), F.greatest(n, m)))
     return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & (differ <= REGISTERS * (share + ERRORS * error))
 
@@ -94,14 +98,15 @@ def _labelled(bands: DataFrame, links: DataFrame) -> DataFrame:
     """Rows of ``bands`` with their component by ``links``."""
     found = connected_components(links)
     named = bands.join(found, bands["id"] == found["node"], "left")
-    return named.select("key", "id", F.coalesce("component", "id").alias("component"))
+    return named.select("key", "id", "leader", F.coalesce("component", "id").alias("component"))
 
 
 def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Sketches of all rows, classes of equal sets, and confirmed links that join all linked classes.
 
-    Classes meet where a band of registers is equal. Each first meets the one of its bucket that meets most others
-    over all bands, the likely origin of a group of copies; links join into components. Where a bucket still holds
+    Classes meet where a band of registers is equal. A bucket's leader is the class in it that meets most others over
+    all bands, the likely origin of a group of copies. Each class first meets the best of its leaders, then those
+    leaders that are still in another component; links join into components. Where a bucket still holds
     several components, its rows outside the largest are compared with all rows of other components in it, unless
     their sizes or the last bits of their registers rule a link out. So of two classes that share a band either a path
     of confirmed links joins them, or their own pair was tested. A large group of copies costs a pair a member and not
@@ -122,19 +127,24 @@ def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     shared = bands.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1")
     bands = stored(bands.join(shared, "key").select("key", "id", "rows"))
     degree = bands.groupBy("id").agg(F.sum("rows").alias("degree"))
-    first = F.min(F.struct((-F.col("degree")).alias("degree"), "id"))["id"]
-    leaders = bands.join(degree, "id").groupBy("key").agg(first.alias("leader"))
-    bands = stored(bands.join(leaders, "key").select("key", "id", "leader"))
+    first = F.min(F.struct((-F.col("degree")).alias("degree"), F.col("id").alias("leader")))
+    leaders = bands.join(degree, "id").groupBy("key").agg(first.alias("first"))
+    bands = stored(bands.join(leaders, "key").select("key", "id", "first.leader", "first"))
 
     needed = bands.select("id").distinct()
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(needed, "id", "left_semi")
     kind = f"id {docs.schema['doc_id'].dataType.simpleString()}, full binary"
     sets = stored(map_arrow(texts, _full_sets, kind))
 
-    starred = bands.where("id <> leader").select(
-        F.greatest("id", "leader").alias("u"), F.least("id", "leader").alias("v")
-    ).distinct()
-    links = _linked(starred, reps, sets)
+    ends = [F.greatest("id", "leader").alias("u"), F.least("id", "leader").alias("v")]
+    best = bands.groupBy("id").agg(F.min("first")["leader"].alias("leader")).where("id <> leader")
+    links = _linked(best.select(*ends).distinct(), reps, sets)
+    labelled = stored(_labelled(bands, links))
+    # leaders that are in another component than the row; pairs within one need no test
+    leads = labelled.where("id = leader").select("key", F.col("component").alias("of"))
+    starred = labelled.join(leads, "key").where("component <> of").select(*ends).distinct()
+    starred = stored(starred)
+    links = links.union(_linked(starred, reps, sets))
     labelled = stored(_labelled(bands, links))
     parts = labelled.groupBy("key", "component").agg(F.count("*").alias("rows"))
     split = parts.groupBy("key").agg(
