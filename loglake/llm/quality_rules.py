@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from loglake.llm.common import body, let, stored, words
 
 BUCKETS = 16_384
-SMOOTHING = 0.5
+#: N-grams that the corpus lends the target, so that a small target says little of what it happens not to have.
+PRIOR = 200_000
 #: Trusted documents the target is counted from at most, those of the least id hash; sixteen bytes each are broadcast.
 TRUSTED = 20_000
 #: Mean log-likelihood ratio of an n-gram below which a document is rejected.
@@ -100,6 +101,8 @@ def trusted_ids(labels: DataFrame, limit: int = TRUSTED) -> DataFrame:
 def fit_ratio(docs: DataFrame, trusted: DataFrame) -> Column:
     """log(trusted share / corpus share) of each bucket, as a constant array; the corpus is every row of ``docs``.
 
+    The trusted share is smoothed with ``PRIOR`` n-grams drawn as the corpus is; 0 for a bucket that nothing fell in.
+
     N-grams are counted in the map tasks, so one row a bucket and task is shuffled, and the driver gets ``BUCKETS``
     rows whatever the size of the corpus. ``trusted`` has a bounded number of ids and is broadcast.
     """
@@ -109,11 +112,11 @@ def fit_ratio(docs: DataFrame, trusted: DataFrame) -> Column:
     # the outer form keeps the optimizer from computing the arrays once more for a filter on their number
     table = grams.where("gram IS NOT NULL").groupBy(bucket(F.col("gram")).alias("bucket")).agg(F.count("*").alias("raw"), F.count_if("good").alias("good"))
     found = {r["bucket"]: (r["good"], r["raw"]) for r in table.collect()}
-    good, raw = (sum(x[i] for x in found.values()) + SMOOTHING * BUCKETS for i in (0, 1))
-    ratios = []
-    for b in range(BUCKETS):
-        g, r = found.get(b, (0, 0))
-        ratios.append(math.log((g + SMOOTHING) / good * raw / (r + SMOOTHING)))
+    good, raw = (sum(x[i] for x in found.values()) for i in (0, 1))
+    ratios = [0.0] * BUCKETS
+    for b, (g, r) in found.items():
+        share = r / raw
+        ratios[b] = math.log((g + PRIOR * share) / (good + PRIOR) / share)
     return F.split(F.lit(",".join(f"{x:.9g}" for x in ratios)), ",").cast("array<double>")
 
 

@@ -254,9 +254,8 @@ def test_base_statistics_and_ratio(docs, labels):
         raw.update(g)
         if i in trusted:
             good.update(g)
-    n = quality_rules.BUCKETS
-    total_good, total_raw = (sum(c.values()) + 0.5 * n for c in (good, raw))
-    ratio = {b: math.log((good[b] + 0.5) / total_good * total_raw / (raw[b] + 0.5)) for b in range(n)}
+    total_good, total_raw, prior = sum(good.values()), sum(raw.values()), quality_rules.PRIOR
+    ratio = {b: math.log((good[b] + prior * r / total_raw) / (total_good + prior) / (r / total_raw)) for b, r in raw.items()}
     want = collections.Counter()
     means = collections.defaultdict(list)
     for i, t, *_ in ROWS:
