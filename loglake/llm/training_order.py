@@ -13,7 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loglake.llm.common import map_arrow, shared_dir, slices, stored
+from loglake.llm.common import let, map_arrow, shared_dir, slices, stored
 from loglake.llm.tokens import PieceIds, loaded, token_ids
 
 SEQUENCE = 1024
@@ -210,13 +210,20 @@ def read_slots(spark: SparkSession, path: str) -> DataFrame:
     schema = "path string, modificationTime timestamp, length long, content binary"
     files = spark.read.format("binaryFile").schema(schema).option("pathGlobFilter", "part-*").load(f"{path}/shards")
     number = F.regexp_extract("path", "shard=([0-9]+)", 1).cast("long")
-    record = lambda i: F.struct(
-        (number * shard + i).alias("slot"),
-        F.crc32(F.substring("content", i * stride + 1, F.lit(stride - 1))).alias("ids_crc32"),
-        (F.substring("content", (i + 1) * stride, F.lit(1)) == F.lit(b"\n")).alias("whole"),
-    )
     last = (F.col("length") / stride).cast("int") - 1
-    rows = files.where(F.col("length") > 0).select(F.explode(F.transform(F.sequence(F.lit(0), last), record)).alias("x"))
+
+    def records(content):
+        return F.transform(
+            F.sequence(F.lit(0), last),
+            lambda i: F.struct(
+                (number * shard + i).alias("slot"),
+                F.crc32(F.substring(content, i * stride + 1, F.lit(stride - 1))).alias("ids_crc32"),
+                (F.substring(content, (i + 1) * stride, F.lit(1)) == F.lit(b"\n")).alias("whole"),
+            ),
+        )
+
+    # a column is copied each time it is read, the variable of ``let`` is not
+    rows = files.where(F.col("length") > 0).select(F.explode(let(F.col("content"), records)).alias("x"))
     return rows.select("x.*")
 
 
