@@ -145,11 +145,12 @@ def quality_rules(
     arrays = word_arrays(docs, "doc_id", *([F.struct(*carry).alias("row")] if carry else []))
     scored = arrays.select(
         "doc_id",
+        # keeps a filter on the verdict above this projection; below, it would compute the arrays for every word
+        F.monotonically_increasing_id().alias("_at"),
         *(c.alias(name) for name, c in base_statistics().items()),
         (F.lit(0.0) if ratios is None else likelihood_ratio(ratios)).alias("ratio"),
         *(["row"] if carry else []),
     )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return scored.withColumn("base_failed", failed).withColumn(
-        "kept", ~F.col("base_failed") & (F.col("ratio") >= threshold)
-    )
+    kept = ~F.col("base_failed") & (F.col("ratio") >= threshold) & (F.col("_at") >= 0)
+    return scored.withColumn("base_failed", failed).withColumn("kept", kept).drop("_at")
