@@ -33,6 +33,17 @@ def _mix(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
+def _turns() -> np.ndarray:
+    """By bucket and register, ``turn << 8 | bucket``: a register asks its own bucket first, then all in random order."""
+    order = _mix(np.arange(REGISTERS << _BUCKET_BITS, dtype=np.uint64) + np.uint64(1)).reshape(REGISTERS, -1)
+    order[np.arange(REGISTERS), np.arange(REGISTERS)] = 0
+    turns = order.argsort(1).argsort(1).astype(np.uint16).T
+    return np.ascontiguousarray(turns << np.uint16(_BUCKET_BITS) | np.arange(len(turns), dtype=np.uint16)[:, None])
+
+
+_TURNS = _turns()
+
+
 def shingle_set(text: str | None) -> np.ndarray:
     """Sorted distinct hashes of a text's two-word shingles.
 
@@ -52,7 +63,8 @@ def registers(shingles: np.ndarray) -> bytes:
     """HyperMinHash registers of a non-empty sorted set, in the order of bands.
 
     The leading byte of a hash names its bucket. A register holds, of its bucket's least value, the number of leading
-    zeros and the mantissa bits after the first one. An empty bucket takes the register of the next that is not.
+    zeros and the mantissa bits after the first one. An empty bucket takes the register of that filled one which comes
+    first in an order of its own, so that registers of short texts are drawn independently of each other.
     """
     first = np.searchsorted(shingles, _STARTS)
     filled = np.flatnonzero(np.diff(np.append(first, len(shingles))) > 0)
@@ -61,8 +73,10 @@ def registers(shingles: np.ndarray) -> bytes:
     zeros = (_VALUE_BITS - exponent).astype(np.uint16)
     kept = np.maximum((mantissa * 2 - 1) * (1 << MANTISSA_BITS), 0).astype(np.uint16)
     packed = (zeros << np.uint16(MANTISSA_BITS)) | kept
-    at = np.searchsorted(filled, np.arange(REGISTERS)) % len(filled)
-    return packed[at].reshape(ROWS, BANDS).T.tobytes()
+    of_bucket = np.zeros(1 << _BUCKET_BITS, np.uint16)
+    of_bucket[filled] = packed
+    asked = _TURNS[filled].min(0) & np.uint16((1 << _BUCKET_BITS) - 1)
+    return of_bucket[asked].reshape(ROWS, BANDS).T.tobytes()
 
 
 def low_bits(sketch: bytes) -> list[int]:

@@ -26,6 +26,7 @@ from loglake.llm import (
     quality_rules,
     registry,
     secrets,
+    shingles,
     surrogates,
     training_order,
 )
@@ -415,6 +416,32 @@ def test_near_duplicates(spark):
     assert all(r["n_shingles"] == len(sets[r["doc_id"]]) and r["kept"] == (r["doc_id"] == truth[r["doc_id"]]) for r in found)
 
 
+def test_short_sets_share_a_band():
+    """Thousands of pairs of short sets at 0.8 to 0.95: each pair has a band in common and a high enough estimate."""
+    rng = np.random.default_rng(5)
+    for union, common in [(5, 4), (10, 8), (10, 9), (20, 16), (20, 18), (20, 19), (50, 40), (100, 80)]:
+        for _ in range(1_000):
+            x = rng.permutation(np.unique(rng.integers(0, 1 << 64, union, dtype=np.uint64)))
+            own = int(rng.integers(common, union + 1))
+            a, b = (shingles.registers(np.sort(s)) for s in (x[:own], np.concatenate([x[:common], x[own:]])))
+            bands = [np.frombuffer(r, np.uint16).reshape(shingles.BANDS, shingles.ROWS) for r in (a, b)]
+            assert (bands[0] == bands[1]).all(1).any()
+            error = (0.16 / min(shingles.REGISTERS, union)) ** 0.5
+            assert shingles.estimate(a, b) > common / union - near_dedup.ERRORS * error
+
+
+def test_short_near_duplicates(spark):
+    """Texts of 5 to 24 words with the last one or two changed, all against brute force."""
+    rng = random.Random(17)
+    rows = []
+    for i in range(400):
+        base = [f"v{rng.randrange(4_000)}" for _ in range(rng.randint(5, 24))]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join([*base[: len(base) - rng.randint(0, 1 + len(base) // 16)], "end"]))]
+    truth, _ = _components(rows)
+    found = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == truth and len(set(truth.values())) < 700
+
+
 def test_near_duplicates_of_odd_rows(docs):
     truth, _ = _components([(i, t) for i, t, *_ in ROWS if i is not None and not (i == 3 and "otherword" in (t or ""))])
     found = near_dedup.near_dedup(docs).collect()
