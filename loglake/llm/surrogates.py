@@ -31,13 +31,15 @@ PATTERNS = {
     "name": rf"(?<!\p{{L}})(?:{_TITLE})\.?\x20\p{{Lu}}\p{{Ll}}+(?:\x20\p{{Lu}}\p{{Ll}}+)?",
     "ip": rf"(?<![\p{{L}}\p{{N}}.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\p{{L}}\p{{N}}]|\.[0-9])",
     "ssn": r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])",
-    "phone": r"(?<![\p{L}\p{N}])(?:\+[0-9]{1,3}[\x20.-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[\x20.-]?[0-9]{2,4}){1,3}"
+    "phone": r"(?<![\p{L}\p{N}])(?:\+1[\x20.-]?(?:\([0-9]{3}\)|[0-9]{3})[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4}"
+    r"|\+(?=(?:[\x20.()-]{0,2}[0-9]){7})[0-9]{1,3}[\x20.-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[\x20.-]?[0-9]{1,4}){1,6}"
+    r"|\+[0-9]{1,3}[\x20.-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[\x20.-]?[0-9]{2,4}){1,3}"
     r"|\([0-9]{3}\)\x20?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})(?![\p{L}\p{N}])",
     "card": r"(?<![\p{L}\p{N}])[0-9](?:[\x20-]?[0-9]){12,18}(?![\p{L}\p{N}])",
 }
 PATTERN = "|".join(f"(?:{PATTERNS[t]})" for t in TYPES)
 #: What every match has: texts without it are passed over.
-HINT = rf"@|[0-9]{{3}}|[0-9]\.[0-9]|(?:{_TITLE})\.?\x20"
+HINT = rf"@|\+[0-9]|[0-9]{{3}}|[0-9]\.[0-9]|[0-9](?:[\x20-]?[0-9]){{12}}|(?:{_TITLE})\.?\x20"
 
 _HEX = "0123456789abcdef"
 _LETTERS = {"[a-z]": "bcdfghklmnprstvw", r"\p{IsCyrillic}": "бвгдзклмнпрстфхц", r"\p{IsGreek}": "βγδζθκλμνξπρστφχ"}

@@ -564,6 +564,22 @@ def test_surrogates(docs):
     assert other[8]["text"] != text
 
 
+def test_every_match_has_the_hint(spark):
+    rng = random.Random(23)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    made = ["+33 12 34 56 78", "+41-22-33-44-55", "+33 1 23 45 67 89", "+49 30 12 34 56 78", "+49 1 51 23 45 67 89",
+            "1 2 3 4 5 6 7 8 9 0 1 2 3", "12-34-56-78-90-12-34", "Mr. Stone", "a@b.cd", "1.2.3.4", "123-45-6789"]
+    for _ in range(2_000):
+        sep = rng.choice([" ", "-", "."])
+        made.append(f"+{digits(rng.randint(1, 3))}{sep}" + sep.join(digits(rng.randint(1, 4)) for _ in range(rng.randint(2, 7))))
+        made.append(rng.choice(" -").join(digits(rng.randint(1, 2)) for _ in range(rng.randint(7, 16))))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(made)], "doc_id long, text string")
+    assert not df.where(F.col("text").rlike(surrogates.PATTERN) & ~F.col("text").rlike(surrogates.HINT)).count()
+    whole = surrogates.replace_personal_data(df.where("doc_id < 5"), "k").collect()
+    assert all(r["n_phone"] == 1 and r["entities"][0]["original"] == made[r["doc_id"]] for r in whole)
+    assert all(r["text"] != made[r["doc_id"]] for r in whole)
+
+
 def test_surrogates_stay_distinct(spark, monkeypatch):
     rows = [(i, f"from 10.0.{i // 250}.{i % 250} now") for i in range(600)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
