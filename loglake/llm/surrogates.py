@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from loglake.llm.common import body, spread_join, stored
 
-#: Rounds of drawing anew after a collision; more than a few never happen, and then nothing is released.
+#: Rounds of drawing anew after a collision. Where entities of a type are too many for its format, as with numbers of
+#: few digits, the last round may leave some, and then nothing is released.
 ROUNDS = 20
 #: Types of entities, in the order in which a match is asked for them.
 TYPES = ("email", "name", "ip", "ssn", "phone", "card")
@@ -25,6 +26,10 @@ _GIVEN = {
     "female Cyrillic": ("Анна", "Вера", "Дарья", "Елена", "Ирина", "Мария", "Нина", "Ольга"),
 }
 _TITLE = "|".join(t for titles in _TITLES.values() for t in titles)
+_SYLLABLES = {
+    "Latin": ("ba", "de", "fi", "go", "ka", "lo", "mi", "ra", "se", "tu", "ve", "wi"),
+    "Cyrillic": ("ба", "ве", "го", "ду", "ки", "ла", "ме", "ро"),
+}
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
@@ -109,8 +114,8 @@ def surrogate(kind: Column, value: Column, seed: Column) -> Column:
     given = F.coalesce(given, _pick(_GIVEN["male Cyrillic"], s, 9))
     parts = lambda choices: F.concat(*(_pick(choices, s, at) for at in (13, 17, 21)))
     family = F.initcap(
-        F.when(cyrillic, F.concat(parts(("ба", "ве", "го", "ду", "ки", "ла", "ме", "ро")), F.lit("в"))).otherwise(
-            F.concat(parts(("ba", "de", "fi", "go", "ka", "lo", "mi", "ra", "se", "tu", "ve", "wi")), F.lit("n"))
+        F.when(cyrillic, F.concat(parts(_SYLLABLES["Cyrillic"]), F.lit("в"))).otherwise(
+            F.concat(parts(_SYLLABLES["Latin"]), F.lit("n"))
         )
     )
     name = F.concat(gender, F.lit("/"), F.when(F.instr(bare, " ") > 0, F.concat(given, F.lit(" "), family)).otherwise(family))
@@ -122,6 +127,16 @@ def surrogate(kind: Column, value: Column, seed: Column) -> Column:
     )
 
 
+def longer(kind: Column, drawn: Column, seed: Column, more: int) -> Column:
+    """What is drawn, with ``more`` syllables at the end of a surname, so that there are names for all."""
+    if not more:
+        return drawn
+    s = F.reverse(_stream(seed))
+    cyrillic = drawn.rlike(r"\p{IsCyrillic}")
+    ends = (F.concat(*(_pick(_SYLLABLES[x], s, 1 + 4 * i) for i in range(more))) for x in ("Cyrillic", "Latin"))
+    return F.when(kind == "name", F.concat(drawn, F.when(cyrillic, next(ends)).otherwise(next(ends)))).otherwise(drawn)
+
+
 def render(kind: Column, match: Column, drawn: Column) -> Column:
     """The replacement in the form of a mention: its separators, its case, its title."""
     chars = F.filter(F.split(match, ""), lambda c: c != "")
@@ -143,13 +158,15 @@ def draw(entities: DataFrame, key: str) -> DataFrame:
     """``type, value, drawn`` for every distinct entity; drawn identities are distinct and are nobody's own.
 
     Of entities that draw the same one keeps it, and none keeps what is itself an entity of the corpus; the others
-    draw again with the next round's seed. Few do, so each round works on a small rest.
+    draw again with the next round's seed, surnames with one more syllable a round: their space grows eightfold at
+    least, so that rounds end however many names there are.
     """
     real = entities.select("type", F.col("value").alias("drawn"))
     taken, rest = None, entities
     for round_ in range(ROUNDS):
         seed = F.concat_ws("\u0001", F.lit(key), F.lit(str(round_)), "type", "value")
-        tried = stored(rest.withColumn("drawn", surrogate(F.col("type"), F.col("value"), seed)))
+        drawn = longer(F.col("type"), surrogate(F.col("type"), F.col("value"), seed), seed, round_)
+        tried = stored(rest.withColumn("drawn", drawn))
         firsts = tried.groupBy("type", "drawn").agg(F.min("value").alias("value"))
         firsts = firsts.join(real, ["type", "drawn"], "left_anti")
         if taken is not None:

@@ -595,6 +595,15 @@ def test_surrogates_stay_distinct(spark, monkeypatch):
     assert len({r["text"] for r in found}) == 600 and few is not clashing
 
 
+def test_surnames_never_run_out(spark):
+    """Far more surnames of one gender than a surname of three syllables has values."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    names = [f"male/X{letters[i % 26]}{letters[i // 26 % 26]}{letters[i // 676 % 26]}{letters[i // 17576]}" for i in range(50_000)]
+    df = spark.createDataFrame([("name", n) for n in names], "type string, value string")
+    drawn = [r["drawn"] for r in surrogates.draw(df, "k").collect()]
+    assert len(drawn) == len(set(drawn)) == 50_000 and not set(drawn) & set(names)
+
+
 # tables without rows
 
 
