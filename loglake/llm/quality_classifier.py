@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loglake.llm.common import map_arrow
+from loglake.llm.common import map_arrow, stored
 
 #: Labelled rows of a class that dictionaries and calibration are fitted on at most, those of the least id hash.
 SAMPLE = 1_500
@@ -61,15 +61,16 @@ def difference(text: str | None, pair: tuple[zstandard.ZstdCompressor, ...]) ->
     return (sizes[1] - sizes[0]) / len(data)
 
 
-def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic regression of one variable, by Newton steps with a small ridge."""
-    scale = float(np.std(x)) or 1.0
+def calibrate(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of a weighted logistic regression of one variable, by Newton steps with a small ridge."""
+    weights = weights / weights.mean()
+    scale = float(np.sqrt(np.cov(x, ddof=0, aweights=weights))) or 1.0
     features = np.stack([x / scale, np.ones_like(x)], 1)
     beta = np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(features @ beta, -30, 30)))
-        gradient = features.T @ (p - y) + 1e-2 * beta
-        hessian = (features * (p * (1 - p))[:, None]).T @ features + 1e-2 * np.eye(2)
+        gradient = features.T @ (weights * (p - y)) + 1e-2 * beta
+        hessian = (features * (weights * p * (1 - p))[:, None]).T @ features + 1e-2 * np.eye(2)
         beta = beta - np.linalg.solve(hessian, gradient)
     return float(beta[0] / scale), float(beta[1])
 
@@ -77,12 +78,15 @@ def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
     """A model from at most ``sample`` labelled documents of each class, or None where a class has none.
 
-    Every second sampled document goes into the dictionary of its class and the others calibrate the score.
+    Every second sampled document goes into the dictionary of its class and the others calibrate the score. There a
+    class weighs as much as it has labelled rows in all of ``docs``, whatever the sample holds of it.
     """
     one = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(
         F.min("quality").alias("quality"), F.max("quality").alias("other")
     )
-    one = one.where("quality = other").select("doc_id", "quality")
+    rows = docs.groupBy("doc_id").agg(F.count("*").alias("rows"))
+    one = stored(one.where("quality = other AND quality IN (0, 1)").select("doc_id", "quality").join(rows, "doc_id"))
+    totals = {r["quality"]: r["rows"] for r in one.groupBy("quality").agg(F.sum("rows").alias("rows")).collect()}
     chosen = [
         one.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for q in (0, 1)
     ]
@@ -96,7 +100,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
     pair = compressors(dictionaries[1], dictionaries[0])
     rest = [(x.decode(errors="ignore"), q) for q, texts in enumerate(classes) for x in texts[1::2] or texts]
     x = np.array([difference(text, pair) for text, _ in rest])
-    slope, offset = calibrate(x, np.array([q for _, q in rest], float))
+    y = np.array([q for _, q in rest])
+    weights = np.array([totals[q] for q in (0, 1)]) / np.bincount(y, minlength=2)
+    slope, offset = calibrate(x, y.astype(float), weights[y])
     return Model(dictionaries[1], dictionaries[0], slope, offset)
 
 

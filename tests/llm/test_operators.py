@@ -534,6 +534,17 @@ def test_classifier(spark):
     assert quality_classifier.classify(df, None).where("score = 0.5").count() == len(rows)
 
 
+def test_prior_does_not_depend_on_the_sample(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice(("ab", "cd", "ef", "gh")) + str(rng.randrange(50)) for _ in range(40))) for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 7 > 0)) for i in range(700)], "doc_id long, quality int")
+    for sample in (40, 1_500):
+        model = quality_classifier.fit(df, labels, sample)
+        shares = 1 / (1 + np.exp(-model.offset))
+        assert abs(shares - 6 / 7) < 0.12
+
+
 # surrogates
 
 
