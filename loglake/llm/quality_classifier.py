@@ -8,15 +8,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loglake.llm.common import map_arrow, stored
+from loglake.llm.common import map_arrow, slices, stored
 
 #: Labelled rows of a class that dictionaries and calibration are fitted on at most, those of the least id hash.
 SAMPLE = 1_500
-#: Bytes of a labelled text that a dictionary may learn from, so that few long ones do not fill it.
-EXCERPT = 4_096
+#: Pieces of a class that a dictionary is trained on at most, those of the least hash, from anywhere in whole texts.
+PARTS = 4_096
 #: Bytes of a dictionary.
 DICTIONARY = 64 * 1024
 #: Texts are compressed in pieces of so many bytes, each with the dictionary alone: a long text does not outgrow it.
@@ -75,35 +75,59 @@ def calibrate(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> tuple[float,
     return float(beta[0] / scale), float(beta[1])
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole texts in pieces; an empty text has one, an empty one."""
+    for batch in slices(batches):
+        quality, parts = [], []
+        for q, text in zip(batch.column("quality").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            data = (text or "").encode("utf-8", "surrogatepass")
+            found = [data[at : at + PIECE] for at in range(0, max(len(data), 1), PIECE)]
+            quality += [q] * len(found)
+            parts += found
+        yield pa.RecordBatch.from_arrays([pa.array(quality, pa.int32()), pa.array(parts, pa.binary())], names=["quality", "part"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
     """A model from at most ``sample`` labelled documents of each class, or None where a class has none.
 
-    Every second sampled document goes into the dictionary of its class and the others calibrate the score. There a
-    class weighs as much as it has labelled rows in all of ``docs``, whatever the sample holds of it.
+    Every second sampled document goes into the dictionary of its class, by pieces of its whole text, and the others,
+    as whole texts, calibrate the score. There a class weighs as much as it has labelled rows in all of ``docs``,
+    whatever the sample holds of it.
     """
     one = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(
         F.min("quality").alias("quality"), F.max("quality").alias("other")
     )
     rows = docs.groupBy("doc_id").agg(F.count("*").alias("rows"))
-    one = stored(one.where("quality = other AND quality IN (0, 1)").select("doc_id", "quality").join(rows, "doc_id"))
+    one = one.where("quality = other AND quality IN (0, 1)").select("doc_id", F.col("quality").cast("int").alias("quality"))
+    one = stored(one.join(rows, "doc_id"))
     totals = {r["quality"]: r["rows"] for r in one.groupBy("quality").agg(F.sum("rows").alias("rows")).collect()}
-    chosen = [
-        one.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for q in (0, 1)
-    ]
-    chosen = F.broadcast(chosen[0].union(chosen[1]))
-    rows = docs.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, EXCERPT).alias("part"))
-    found = rows.join(chosen, "doc_id").orderBy("quality", F.xxhash64("doc_id"), "doc_id", "part").collect()
-    classes = [[r["part"].encode() for r in found if r["quality"] == q] for q in (0, 1)]
-    if not all(classes):
+    if len(totals) < 2:
         return None
-    dictionaries = [dictionary(x[::2]) for x in classes]
-    pair = compressors(dictionaries[1], dictionaries[0])
-    rest = [(x.decode(errors="ignore"), q) for q, texts in enumerate(classes) for x in texts[1::2] or texts]
-    x = np.array([difference(text, pair) for text, _ in rest])
-    y = np.array([q for _, q in rest])
-    weights = np.array([totals[q] for q in (0, 1)]) / np.bincount(y, minlength=2)
-    slope, offset = calibrate(x, y.astype(float), weights[y])
-    return Model(dictionaries[1], dictionaries[0], slope, offset)
+    chosen = [one.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for q in (0, 1)]
+    place = F.row_number().over(Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = chosen[0].union(chosen[1]).select("doc_id", "quality", (place % 2).alias("odd"))
+    found = stored(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").drop("doc_id"))
+
+    learned = map_arrow(found.where("odd = 1"), _parts, "quality int, part binary")
+    classes = [
+        learned.where(F.col("quality") == q).orderBy(F.xxhash64("part"), "part").limit(PARTS).collect() for q in (0, 1)
+    ]
+    bad, good = (dictionary([bytes(r["part"]) for r in x]) for x in classes)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair = compressors(good, bad)
+        for batch in slices(batches):
+            x = pa.array([difference(text, pair) for text in batch.column("text").to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column("quality"), batch.column("odd"), x], names=["quality", "odd", "x"])
+
+    seen = map_arrow(found.select("quality", "odd", "text"), measure, "quality int, odd int, x double")
+    seen = seen.groupBy("quality", "odd", "x").agg(F.count("*").alias("rows")).orderBy("quality", "odd", "x").collect()
+    # a class with one document is calibrated on it
+    rest = {q: [r for r in seen if r["quality"] == q and not r["odd"]] or [r for r in seen if r["quality"] == q] for q in (0, 1)}
+    weights = [r["rows"] * totals[q] / sum(r["rows"] for r in rest[q]) for q in (0, 1) for r in rest[q]]
+    x, y = ([r[c] for q in (0, 1) for r in rest[q]] for c in ("x", "quality"))
+    slope, offset = calibrate(np.array(x), np.array(y, float), np.array(weights))
+    return Model(good, bad, slope, offset)
 
 
 def held_out(doc_id: Column, of: int) -> Column:

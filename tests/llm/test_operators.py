@@ -545,6 +545,18 @@ def test_prior_does_not_depend_on_the_sample(spark):
         assert abs(shares - 6 / 7) < 0.12
 
 
+def test_classifier_learns_from_whole_texts(spark):
+    """Texts that differ only after their first 4,096 characters are told apart."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(200)]
+    prose = lambda n, end="": " ".join(rng.choice(words) + end for _ in range(n))
+    rows = [(i, prose(700) + " " + prose(500, "" if i % 2 else "%%%")) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = quality_classifier.fit(df, spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, quality int"))
+    score = {r["doc_id"]: r["score"] for r in quality_classifier.classify(df, model).collect()}
+    assert sum((score[i] > 0.5) == (i % 2) for i in range(120)) > 114
+
+
 # surrogates
 
 
