@@ -279,12 +279,19 @@ def resolve_alias(spark, sf):
 def lookups(spark, sf):
     catalogue = collections(spark, sf)
     aliases = stored(Co.alias_members(catalogue), "aliases")
-    names = sorted(r["application"] for r in Co.list_applications(catalogue).collect())
-    found = [
-        (a, Co.alias_exists(aliases, f"{a}_latest"), Co.collection_exists(catalogue, a), len(Co.get_alias(aliases, f"{a}_all") or []))
-        for a in names
-    ]
-    return spark.createDataFrame(found, "application string, has_alias boolean, has_collection boolean, members bigint")
+    members = Co.members_by_alias(aliases).select("alias", F.size("collections").cast("long").alias("members"))
+    found = Co.list_applications(catalogue)
+    write = members.select(F.col("alias").alias("write_alias"))
+    read = members.withColumnRenamed("alias", "read_alias")
+    names = catalogue.select(F.col("collection").alias("name")).distinct()
+    found = found.join(write, N.alias_name("application", "latest") == F.col("write_alias"), "left")
+    found = found.join(read, N.alias_name("application", "all") == F.col("read_alias"), "left")
+    return found.join(names, F.col("application") == F.col("name"), "left").select(
+        "application",
+        F.col("write_alias").isNotNull().alias("has_alias"),
+        F.col("name").isNotNull().alias("has_collection"),
+        F.coalesce("members", F.lit(0)).cast("long").alias("members"),
+    )
 
 
 # Retention starts from the collections of all applications but one, so that one has to be initialised.

@@ -178,3 +178,18 @@ def test_no_shared_folder_is_an_error():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(Session, "x")
+
+
+def test_lookups_query_makes_no_look_up_an_application(spark, monkeypatch):
+    from loglake.registry import lifecycle
+
+    def refused(*_):
+        raise AssertionError("a look-up of one application")
+
+    rows = [(f"a{i}", f"a{i}_{n}", n) for i in range(40) for n in range(1 + i % 3)] + [("bare", "bare", 5)]
+    catalogue = spark.createDataFrame(rows, "application string, collection string, created_epoch long")
+    for name in ("alias_exists", "collection_exists", "get_alias"):
+        monkeypatch.setattr(Co, name, refused)
+    monkeypatch.setattr(lifecycle, "collections", lambda *_: catalogue)
+    found = {tuple(r) for r in lifecycle.lookups(spark, "").collect()}
+    assert found == {(f"a{i}", True, False, 1 + i % 3) for i in range(40)} | {("bare", True, True, 1)}
