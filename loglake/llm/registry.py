@@ -6,13 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglake.llm import quality_classifier, secrets
+from loglake.llm import language_id, quality_classifier, secrets
 from loglake.llm.common import documents, shared_dir, stored
 from loglake.llm.exact_dedup import exact_dedup
+from loglake.llm.lexical_search import search
 from loglake.llm.lm_score import lm_score
 from loglake.llm.mixing import mix
 from loglake.llm.near_dedup import near_dedup
 from loglake.llm.packing import pack, pieces
+from loglake.llm.phrases import collocations
 from loglake.llm.quality_rules import quality_rules
 from loglake.llm.surrogates import replace_personal_data
 from loglake.llm.training_order import training_order
@@ -85,6 +87,21 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replaced.withColumn("entities", F.array_join(kinds, ","))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held = language_id.held_out(F.col("doc_id"))
+    told = language_id.predict(docs, language_id.fit(docs.where(~held)))
+    return told.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(documents(spark, sf_dir))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -98,6 +115,9 @@ QUERIES = {
         op8_lm_score,
         op9_quality_classifier,
         op10_surrogates,
+        op11_language_id,
+        op12_phrases,
+        op13_lexical_search,
     )
 }
 
@@ -142,4 +162,52 @@ ORACLES = {
                coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
         FROM d LEFT JOIN a USING (doc_id)
     """,
+    "op12_phrases": """
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, doc_id, unnest(regexp_split_to_array(
+                     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                     '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+             w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p),
+             t AS (SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM w GROUP BY lang),
+             g AS (SELECT lang, size, unnest(list_transform(range(1, len(words) - size + 2),
+                          lambda i: array_to_string(words[i:i + size - 1], ' '))) AS phrase
+                   FROM w, (SELECT unnest([1, 2, 3, 4]) AS size) WHERE len(words) >= size),
+             f AS (SELECT lang, size, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+             c AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS words, unnest(range(1, size)) AS k
+                   FROM f WHERE size > 1),
+             s AS (SELECT c.lang, c.size, c.phrase, a, k, x.f AS l, y.f AS r,
+                          CAST(CAST(2000000 AS HUGEINT) * a // (x.f + y.f) AS BIGINT) AS score
+                   FROM c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(words[1:k], ' ')
+                          JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(words[k + 1:], ' ')),
+             b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS cut FROM s),
+             i AS (SELECT lang, f, words, length, unnest(range(1, size - length + 2)) AS place
+                   FROM (SELECT lang, f, size, string_split(phrase, ' ') AS words, unnest(range(2, size)) AS length
+                         FROM f WHERE size > 2)),
+             m AS (SELECT lang, array_to_string(words[place:place + length - 1], ' ') AS phrase, max(f) AS longer
+                   FROM i GROUP BY ALL),
+             o AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank,
+                          phrase, a, l, r, score
+                   FROM b LEFT JOIN m USING (lang, phrase)
+                   WHERE cut = 1 AND (longer IS NULL OR CAST(100 AS HUGEINT) * longer < CAST(80 AS HUGEINT) * a))
+        SELECT lang, rank, phrase, a, l, r, n, score FROM o JOIN t USING (lang) WHERE rank <= 2000
+    """,
+    "op13_lexical_search": """
+        WITH d AS (SELECT row_number() OVER () AS doc, doc_id, regexp_extract_all(
+                     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+             s AS (SELECT count(*) AS big_n, CAST(sum(len(terms)) AS BIGINT) AS big_l FROM d WHERE len(terms) > 0),
+             p AS (SELECT doc, doc_id, term, n, count(*) AS tf
+                   FROM (SELECT doc, doc_id, len(terms) AS n, unnest(terms) AS term FROM d) GROUP BY ALL),
+             q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(
+                     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+             w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(big_n) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+                   FROM p, s GROUP BY term),
+             r AS (SELECT item_id, doc, doc_id, CAST(sum(w * ((1000000000 * tf)
+                          // (1000 * tf + 8 * (100 - 90 + (90 * n * big_n) // big_l)))) AS BIGINT) AS score
+                   FROM q JOIN p USING (term) JOIN w USING (term), s GROUP BY item_id, doc, doc_id),
+             o AS (SELECT item_id, doc_id, score,
+                          CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank
+                   FROM r WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 10
+    """,
 }
