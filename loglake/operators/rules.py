@@ -1,6 +1,6 @@
 """Alert rules over logs: all rules of all applications in one scan.
 
-Rules that share a condition share its evaluation. Counts are combined in the map tasks; documents are cut to the
+Rules that share a condition share its evaluation; conditions that share a shape share an expression (``rule_index``). Counts are combined in the map tasks; documents are cut to the
 newest few per rule there.
 """
 
@@ -21,13 +21,14 @@ from loglake.frames import local_frame
 from loglake.functions.events import row_as_map
 from loglake.functions.predicates import exceeds_threshold
 from loglake.functions.timestamps import timestamp_to_iso
+from loglake.operators.rule_index import RuleIndex, build_index, index_hits
 from loglake.schema import DEFAULT_ALERT_TYPE, MAX_DOCUMENTS, RULES
 from loglake.sources.config import AlertRule, Application, since
 from loglake.sources.stored import read_sql_rule
 
 log = logging.getLogger(__name__)
 
-# Conditions in one expression.
+# Conditions of shapes of their own in one expression.
 CONDITIONS_PER_SCAN = 200
 
 _INDEXED_RULES = T.StructType([*RULES.fields, T.StructField("condition", T.IntegerType())])
@@ -65,13 +66,14 @@ def _usable(logs: DataFrame, rules: dict[tuple, tuple[str, AlertRule]]) -> dict[
 
 
 class Conditions(NamedTuple):
-    """Distinct conditions of a rule set, each with the applications that use it."""
+    """Distinct conditions of a rule set: first those of the index, then those of shapes of their own."""
 
-    columns: list[Column]
+    columns: list[Column]  # of the latter, each with the applications that use it
     users: list[frozenset[str]]
-    rules: DataFrame  # the rules frame, with the index of each rule's condition
+    rules: DataFrame  # the rules frame, with the number of each rule's condition
     applications: list[str]
     lookbacks: list[int | None]  # of each condition, in minutes
+    index: RuleIndex | None
 
     def guarded(self) -> list[Column]:
         """Conditions behind a cheap test of the application, where not every application uses them."""
@@ -87,12 +89,15 @@ def index_conditions(logs: DataFrame, applications: list[Application]) -> Condit
     rules: dict[tuple, tuple[str, AlertRule]] = {}
     for application, rule in search_rules(applications):
         rules.setdefault(rule.condition_key, (application, rule))
-    by_key = _usable(logs, rules) if rules else {}
-    kept = [(a, r) for a, r in search_rules(applications) if r.condition_key in by_key]
     users: dict[tuple, set[str]] = {}
-    for application, rule in kept:
+    for application, rule in search_rules(applications):
         users.setdefault(rule.condition_key, set()).add(application)
-    index = {key: i for i, key in enumerate(by_key)}
+    index, settled = build_index(logs, rules, users)
+    others = {key: r for key, r in rules.items() if key not in settled}
+    by_key = _usable(logs, others) if others else {}
+    indexed = index.order if index else []
+    number = {key: i for i, key in enumerate([*indexed, *by_key])}
+    kept = [(a, r) for a, r in search_rules(applications) if r.condition_key in number]
     rows = [
         {
             "application": application,
@@ -102,7 +107,7 @@ def index_conditions(logs: DataFrame, applications: list[Application]) -> Condit
             "result_threshold": rule.result_threshold,
             "alert_profiles": list(rule.alert_profiles),
             "alert_type": rule.alert_type,
-            "condition": index[rule.condition_key],
+            "condition": number[rule.condition_key],
         }
         for application, rule in kept
     ]
@@ -111,7 +116,8 @@ def index_conditions(logs: DataFrame, applications: list[Application]) -> Condit
         [frozenset(users[key]) for key in by_key],
         local_frame(logs.sparkSession, rows, _INDEXED_RULES),
         sorted({a for a, _ in kept}),
-        [rules[key][1].lookback for key in by_key],
+        [rules[key][1].lookback for key in number],
+        index,
     )
 
 
@@ -141,23 +147,23 @@ def by_lookback(applications: list[Application]) -> list[list[Application]]:
 def condition_hits(logs: DataFrame, found: Conditions, *columns) -> DataFrame:
     """One row per (log row, satisfied condition) with the columns asked for.
 
-    Applications and look-backs reach the scan as filters. The conditions of a scan are tested once a row, in one
-    array; the outer explode keeps the optimizer from testing them once more for a filter on the array's size. Very
-    many conditions are tested in several scans, each of the applications (partitions of stored logs) that use its
-    conditions: the time to plan one expression grows faster than its length.
+    Applications and look-backs reach the scan as filters. Conditions that share shapes are looked up in the index, in
+    one scan however many they are. The others are tested once a row, in one array; the outer explode keeps the
+    optimizer from testing them once more for a filter on the array's size. Very many of these are tested in several
+    scans, each of the applications (partitions of stored logs) that use its conditions: the time to plan one
+    expression grows faster than its length.
     """
-    guarded = found.guarded()
-    if not guarded:
-        return logs.filter(F.lit(False)).select(*columns, F.lit(0).alias("condition"))
+    guarded, first = found.guarded(), len(found.lookbacks) - len(found.columns)
     order = sorted(range(len(guarded)), key=lambda i: (-len(found.users[i]), sorted(found.users[i])))
-    parts = []
+    parts = [] if found.index is None else [index_hits(logs, found.index, *columns)]
     for at in range(0, len(order), CONDITIONS_PER_SCAN):
         part = order[at : at + CONDITIONS_PER_SCAN]
         names = sorted(set().union(*[found.users[i] for i in part]))
-        satisfied = F.array_compact(F.array(*[F.when(guarded[i], F.lit(i)) for i in part]))
+        satisfied = F.array_compact(F.array(*[F.when(guarded[i], F.lit(first + i)) for i in part]))
         scoped = logs.filter(F.col("application").isin(names))
-        parts.append(scoped.select(*columns, F.explode_outer(satisfied).alias("condition")))
-    return reduce(DataFrame.unionByName, parts).filter("condition IS NOT NULL")
+        hits = scoped.select(*columns, F.explode_outer(satisfied).alias("condition"))
+        parts.append(hits.filter("condition IS NOT NULL"))
+    return reduce(DataFrame.unionByName, parts or [logs.filter(F.lit(False)).select(*columns, F.lit(0).alias("condition"))])
 
 
 def rule_counts(hits: DataFrame) -> DataFrame:
