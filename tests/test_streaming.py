@@ -100,9 +100,41 @@ def test_dense_alert_stream_across_batches(spark, tmp_path, retry):
     assert sent == expected
 
 
-def test_absence_rules_are_refused(spark, tmp_path):
-    with pytest.raises(ValueError, match="alert_rounds"):
-        alert_stream(stream_of(spark, tmp_path), error_apps(-1), str(tmp_path), str(tmp_path / "cp"))
+def test_absence_rules_on_a_stream(spark, tmp_path):
+    """Two rules watch for silence: one application logs now and then, the other never does."""
+    source, path = tmp_path / "in", str(tmp_path / "out")
+    hits = [0, 3, 4, 31, 60, 61, 95, 140]
+    for i, part in enumerate([hits[:3], hits[3:5], hits[5:]]):
+        put(source, f"{i}.json", [log_event(10 * i + j, m) for j, m in enumerate(part)])
+        stream = stream_of(spark, source)
+        alert_stream(stream, error_apps(-1, retry=3), path, str(tmp_path / "cp"), interval=None, since=BASE).awaitTermination()
+    rows = spark.read.parquet(f"{path}/alerts").collect()
+    assert {r["total_num_found"] for r in rows} == {0}
+
+    def expected(hits):
+        sent, last = [], None
+        for t in range(131):  # the watermark ends at minute 130
+            silent = not any(t - 10 <= h < t for h in hits)
+            if silent and (last is None or t >= last + 4):
+                sent.append(BASE.replace(tzinfo=None) + timedelta(minutes=t))
+                last = t
+        return sent
+
+    assert sorted(r["eval_ts"] for r in rows if r["application"] == "a") == expected(hits)
+    assert sorted(r["eval_ts"] for r in rows if r["application"] == "b") == expected([])
+
+
+def test_alert_state_ends(spark, tmp_path):
+    """A rule keeps state while it looks back on counts or waits; afterwards none is left."""
+    source, path, left = tmp_path / "in", str(tmp_path / "out"), []
+    for i, minute in enumerate([0, 25, 400]):
+        # rows without a hit move the watermark on
+        put(source, f"{i}.json", [{**log_event(i, minute), "level": "ERROR" if i == 0 else "INFO"}])
+        query = alert_stream(stream_of(spark, source), error_apps(retry=60), path, str(tmp_path / "cp"), interval=None)
+        query.awaitTermination()
+        left.append([o["numRowsTotal"] for o in query.recentProgress[-1]["stateOperators"] if "transform" in o["operatorName"]])
+    assert spark.read.parquet(f"{path}/alerts").count() == 1
+    assert left[1][0] > 0 and left[2] == [0]
 
 
 def test_threshold_counts_rows_not_files(spark, tmp_path):
@@ -134,6 +166,23 @@ def test_suppress_stream_keeps_state(spark, tmp_path):
     assert got == [datetime(2024, 1, 1) + timedelta(minutes=m) for m in (0, 11, 22)]
 
 
+def test_suppress_stream_state_ends(spark, tmp_path):
+    source = tmp_path / "in"
+    schema = "application string, rule_id string, retry_interval int, eval_ts timestamp"
+    firing = lambda r, m: {"application": "a", "rule_id": r, "retry_interval": 10,
+                           "eval_ts": (BASE + timedelta(minutes=m)).isoformat()}
+    left = []
+    for i, rows in enumerate([[firing("r", 0), firing("s", 1)], [firing("t", 15)], [firing("t", 300)], [firing("r", 900)]]):
+        put(source, f"{i}.json", rows)
+        df = suppress_stream(stream_of(spark, source, schema), "1 minute")
+        q = df.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp"))
+        query = q.trigger(availableNow=True).start()
+        query.awaitTermination()
+        left.append(query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"])
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 5
+    assert left == [2, 1, 1, 1]
+
+
 def test_alert_rounds(spark, tmp_path):
     """Rounds at minutes 0, 5 and 11 over the same logs: the second is held back, absence rules included."""
     logs = spark.createDataFrame([("1", "a", BASE, "ERROR", "m")], LOG + ", message string")
