@@ -3,17 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.ml.classification import LinearSVC, LogisticRegression
-from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loglake.llm.common import map_arrow, slices, stored
+from loglake.llm.common import map_arrow, ship, slices, stored
 
 #: Families of languages by code; a language that is not listed is a family of its own.
 FAMILIES = {
@@ -30,7 +29,7 @@ ORDERS = (1, 2, 3)
 #: Bytes whose n-grams are hashed at a time.
 BLOCK = 1 << 20
 REGULARISATION = 1e-4
-ROUNDS = 15
+ROUNDS = 200
 #: Steepness of the logistic function that turns a margin into a share.
 STEEP = 4.0
 UNKNOWN = "und"
@@ -39,18 +38,17 @@ UNKNOWN = "und"
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
+#: Linear functions of the n-gram features by pairs of classes; one is positive for the first of its pair.
+Pairs = Mapping[tuple[str, str], tuple[np.ndarray, float]]
+
+
 @dataclass(frozen=True)
 class Model:
-    """Linear functions of the n-gram features: one a family, and one a pair of languages of the same family.
+    """Languages by family, and the linear functions between families, and between languages of a family."""
 
-    A pair's function is positive for its first language.
-    """
-
-    families: tuple[str, ...]
-    weights: np.ndarray
-    offsets: np.ndarray
     members: Mapping[str, tuple[str, ...]]
-    pairs: Mapping[tuple[str, str], tuple[np.ndarray, float]] = field(default_factory=dict)
+    families: Pairs
+    languages: Pairs
 
 
 def has_letter(text: str | None) -> bool:
@@ -82,19 +80,35 @@ def features(text: str | None) -> np.ndarray:
     return np.sqrt(counts / counts.sum())
 
 
+def separate(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights and offset of a linear support vector machine with squared hinge loss, by accelerated gradient steps.
+
+    ``y`` is 1 or -1; both classes weigh the same. Rows have length 1, which bounds the curvature.
+    """
+    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
+    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
+    w = before = np.zeros(x.shape[1])
+    for i in range(ROUNDS):
+        at = w + i / (i + 3) * (w - before)
+        slack = np.maximum(0, 1 - y * (x @ at.astype(x.dtype)))
+        gradient = REGULARISATION * at - 2 * ((share * y * slack).astype(x.dtype) @ x)
+        before, w = w, at - gradient / (4 + REGULARISATION)
+    return w[:-1], float(w[-1])
+
+
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, 64):
         rows = [features(t) for t in batch.column("text").to_pylist()]
         at = [np.flatnonzero(r) for r in rows]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("lang"), pa.array([a.tolist() for a in at], pa.list_(pa.int32())),
-             pa.array([r[a].tolist() for r, a in zip(rows, at, strict=True)], pa.list_(pa.float64()))],
-            names=["lang", "at", "share"],
+            [batch.column("lang"), batch.column("place"), pa.array([a.astype(np.int32).tobytes() for a in at], pa.binary()),
+             pa.array([r[a].astype(np.float32).tobytes() for r, a in zip(rows, at, strict=True)], pa.binary())],
+            names=["lang", "place", "at", "share"],
         )
 
 
 def _sample(docs: DataFrame, sample: int) -> DataFrame:
-    """``lang, text`` of at most ``sample`` distinct rows a language: those of the least hash.
+    """``lang, place, text`` of at most ``sample`` distinct rows a language: those of the least hash.
 
     Hashes spread evenly, so about two and a half samples lie below that part of their range; only those texts move.
     """
@@ -105,76 +119,75 @@ def _sample(docs: DataFrame, sample: int) -> DataFrame:
     near = rows.join(share.select("lang", bound.cast("long").alias("bound")), "lang").where("key <= bound")
     near = near.groupBy("lang", "key").agg(F.first("text").alias("text"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
-    return near.withColumn("place", place).where(F.col("place") <= sample).select("lang", "text")
+    return near.withColumn("place", place).where(F.col("place") <= sample).select("lang", "place", "text")
 
 
 def fit(docs: DataFrame, families: Mapping[str, str] = FAMILIES, sample: int = SAMPLE) -> Model | None:
     """A model from at most ``sample`` distinct rows of each language; None where no row has a language and a letter.
 
-    Every language weighs the same, whatever share of the rows it has. Rows without language or without a letter
-    teach nothing; a row that repeats counts once.
+    Every pair of families, and of languages of a family, is separated by a task of its own, on at most ``sample`` rows
+    of either side; a family's are dealt evenly to its languages. Both sides weigh the same, whatever share of all rows
+    they have. Rows without language or without a letter teach nothing; a row that repeats counts once.
     """
-    chosen = map_arrow(_sample(docs, sample), _featured, "lang string, at array<int>, share array<double>")
-    vector = F.udf(lambda at, share: Vectors.sparse(BUCKETS, at, share), VectorUDT())
+    chosen = map_arrow(_sample(docs, sample), _featured, "lang string, place int, at binary, share binary")
     chosen = stored(chosen)
-    rows = {r["lang"]: r["count"] for r in chosen.groupBy("lang").count().collect()}
-    if not rows:
-        return None
     members: dict[str, tuple[str, ...]] = {}
-    for lang in sorted(rows):
-        family = families.get(lang, f"={lang}")
-        members[family] = (*members.get(family, ()), lang)
-    names = tuple(sorted(members))
-    number = {lang: float(i) for i, name in enumerate(names) for lang in members[name]}
-    size = {i: sum(1 for n in number.values() if n == i) for i in number.values()}
-
-    def weighed(which: dict[str, float], scale: dict[str, float]) -> DataFrame:
-        pairs = [F.lit(x) for lang, label in which.items() for x in (lang, F.array(F.lit(label), F.lit(scale[lang])))]
-        told = F.create_map(*pairs)[F.col("lang")]
-        return chosen.where(F.col("lang").isin(list(which))).select(
-            told[0].alias("label"), told[1].alias("weight"), vector("at", "share").alias("features")
-        )
-
-    even = {lang: 1.0 / n for lang, n in rows.items()}
-    weights, offsets = np.zeros((1, BUCKETS)), np.zeros(1)
-    if len(names) > 1:
-        scale = {lang: 1_000 * even[lang] / size[number[lang]] for lang in rows}
-        learner = LogisticRegression(
-            family="multinomial", weightCol="weight", regParam=REGULARISATION, maxIter=ROUNDS, standardization=False
-        )
-        fitted = learner.fit(weighed(number, scale))
-        weights, offsets = fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray()
-    pairs = {}
-    for name in names:
-        for first, second in combinations(members[name], 2):
-            learner = LinearSVC(weightCol="weight", regParam=REGULARISATION, maxIter=ROUNDS, standardization=False)
-            scale = {lang: 1_000 * even[lang] for lang in (first, second)}
-            fitted = learner.fit(weighed({first: 1.0, second: 0.0}, scale))
-            pairs[first, second] = (fitted.coefficients.toArray(), float(fitted.intercept))
-    return Model(names, weights, offsets, members, pairs)
-
-
-def decide(x: np.ndarray, model: Model) -> tuple[str, float]:
-    """The language of a feature vector and its score.
-
-    The most likely family comes first, ties to the first by name. In it every pair of languages votes; the language
-    with most votes wins, ties to the larger sum of shares, then to the first by name. The score is the family's
-    probability times the language's mean share against its rivals.
-    """
-    logits = model.weights @ x + model.offsets
-    odds = np.exp(logits - logits.max())
-    best = int(np.argmax(odds))
-    members = model.members[model.families[best]]
-    votes, shares = dict.fromkeys(members, 0), dict.fromkeys(members, 0.0)
-    for first, second in combinations(members, 2):
-        w, b = model.pairs[first, second]
-        share = 1 / (1 + np.exp(-np.clip(STEEP * (w @ x + b), -30, 30)))
+    for row in chosen.select("lang").distinct().orderBy("lang").collect():
+        family = families.get(row["lang"], f"={row['lang']}")
+        members[family] = (*members.get(family, ()), row["lang"])
+    if not members:
+        return None
+    # who teaches which pair, on which side, with how many rows
+    lessons = []
+    for first, second in combinations(sorted(members), 2):
+        for family, side in ((first, 1), (second, -1)):
+            rows = -(-sample // len(members[family]))
+            lessons += [("family", first, second, lang, side, rows) for lang in members[family]]
+    for known in members.values():
+        for first, second in combinations(known, 2):
+            lessons += [("language", first, second, lang, side, sample) for lang, side in ((first, 1), (second, -1))]
+    if not lessons:
+        return Model(members, {}, {})
+
+    def learn(group: pd.DataFrame) -> pd.DataFrame:
+        x = np.zeros((len(group), BUCKETS), np.float32)
+        for i, (at, share) in enumerate(zip(group["at"], group["share"], strict=True)):
+            x[i, np.frombuffer(at, np.int32)] = np.frombuffer(share, np.float32)
+        w, offset = separate(x, group["side"].to_numpy())
+        return pd.DataFrame({**{c: [group[c].iloc[0]] for c in pair}, "weights": [w.tobytes()], "offset": [offset]})
+
+    pair = ["level", "first", "second"]
+    spark = docs.sparkSession
+    ship(spark)
+    told = spark.createDataFrame(lessons, "level string, first string, second string, lang string, side int, rows int")
+    taught = chosen.join(told, "lang").where("place <= rows")
+    learned = taught.groupBy(*pair).applyInPandas(
+        learn, "level string, first string, second string, weights binary, offset double"
+    )
+    found: dict[str, dict] = {"family": {}, "language": {}}
+    for r in learned.collect():
+        found[r["level"]][r["first"], r["second"]] = (np.frombuffer(r["weights"]), r["offset"])
+    return Model(members, found["family"], found["language"])
+
+
+def vote(x: np.ndarray, classes: tuple[str, ...], pairs: Pairs) -> tuple[str, float]:
+    """The class that wins most of its pairs, and its mean share in them; ties go to the larger share, then by name."""
+    votes, shares = dict.fromkeys(classes, 0), dict.fromkeys(classes, 0.0)
+    for first, second in combinations(classes, 2):
+        w, offset = pairs[first, second]
+        share = 1 / (1 + np.exp(-np.clip(STEEP * (w @ x + offset), -30, 30)))
         votes[first if share > 0.5 else second] += 1
         shares[first] += share
         shares[second] += 1 - share
-    lang = min(members, key=lambda m: (-votes[m], -shares[m], m))
-    rivals = len(members) - 1
-    return lang, float(odds[best] / odds.sum() * (shares[lang] / rivals if rivals else 1.0))
+    best = min(classes, key=lambda c: (-votes[c], -shares[c], c))
+    return best, float(shares[best] / (len(classes) - 1)) if len(classes) > 1 else 1.0
+
+
+def decide(x: np.ndarray, model: Model) -> tuple[str, float]:
+    """The language of a feature vector: its family first, then the language in it. The score is both shares' product."""
+    family, likely = vote(x, tuple(sorted(model.members)), model.families)
+    lang, share = vote(x, model.members[family], model.languages)
+    return lang, likely * share
 
 
 def held_out(doc_id: Column) -> Column:

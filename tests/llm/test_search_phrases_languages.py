@@ -82,27 +82,29 @@ def test_features_are_those_of_a_slow_count(monkeypatch, block):
 
 def _decided(text: str, model: language_id.Model) -> tuple[str, float]:
     x = _features(text)
-    dot = lambda w: sum(float(w[i]) * v for i, v in x.items())
-    logits = {name: dot(model.weights[i]) + float(model.offsets[i]) for i, name in enumerate(model.families)}
-    total = sum(math.exp(v) for v in logits.values())
-    family = max(sorted(logits), key=logits.get)
-    members = model.members[family]
-    votes, shares = collections.Counter(), collections.Counter()
-    for (first, second), (w, b) in model.pairs.items():
-        if first in members:
-            p = 1 / (1 + math.exp(-language_id.STEEP * (dot(w) + b)))
-            votes[first if p > 0.5 else second] += 1
-            shares[first] += p
-            shares[second] += 1 - p
-    best = sorted(members, key=lambda m: (-votes[m], -shares[m], m))[0]
-    return best, math.exp(logits[family]) / total * (shares[best] / (len(members) - 1) if len(members) > 1 else 1)
+
+    def winner(classes, pairs):
+        votes, shares = collections.Counter(), collections.Counter()
+        for (first, second), (w, b) in pairs.items():
+            if first in classes:
+                p = 1 / (1 + math.exp(-language_id.STEEP * (sum(float(w[i]) * v for i, v in x.items()) + b)))
+                votes[first if p > 0.5 else second] += 1
+                shares[first] += p
+                shares[second] += 1 - p
+        best = sorted(classes, key=lambda c: (-votes[c], -shares[c], c))[0]
+        return best, shares[best] / (len(classes) - 1) if len(classes) > 1 else 1
+
+    family, likely = winner(list(model.members), model.families)
+    lang, share = winner(model.members[family], model.languages)
+    return lang, likely * share
 
 
 def test_languages_are_told_as_slowly_decided_and_right(docs):
     held = language_id.held_out(docs["doc_id"])
     model = language_id.fit(docs.where(~held))
     assert model.members == {"=und": ("und",), "germanic": ("de", "en"), "romance": ("es", "fr")}
-    assert set(model.pairs) == {("de", "en"), ("es", "fr")}
+    assert set(model.languages) == {("de", "en"), ("es", "fr")}
+    assert set(model.families) == {("=und", "germanic"), ("=und", "romance"), ("germanic", "romance")}
     told = language_id.predict(docs, model).collect()
     assert len(told) == len(ROWS)
     texts = collections.defaultdict(set)
@@ -137,7 +139,24 @@ def test_language_models_of_little(docs, none):
     one = language_id.fit(docs.where("lang = 'fr'"))
     assert {r["lang_pred"] for r in language_id.predict(docs.where("doc_id < 50"), one).collect()} == {"fr"}
     unlisted = language_id.fit(docs.where("lang IN ('fr', 'es')"), families={})
-    assert unlisted.families == ("=es", "=fr") and not unlisted.pairs
+    assert set(unlisted.families) == {("=es", "=fr")} and not unlisted.languages
+
+
+def test_separation_is_the_optimum():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(200, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = np.where(x @ rng.normal(size=6) + 0.2 + 0.2 * rng.normal(size=200) > 0, 1, -1)
+    w, b = language_id.separate(x, y)
+    share = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y < 0).sum())
+
+    def loss(v):
+        slack = np.maximum(0, 1 - y * (x @ v[:-1] + v[-1]))
+        return language_id.REGULARISATION / 2 * v @ v + share @ slack**2
+
+    found = loss(np.append(w, b))
+    assert all(loss(np.append(w, b) + 0.02 * rng.normal(size=7)) >= found - 2e-3 for _ in range(300))
+    assert (np.sign(x @ w + b) == y).mean() > 0.8 and loss(np.zeros(7)) == 1
 
 
 # collocations
