@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ SPAN_BITS = 20
 BLOB, GATHERED = 1 << 18, 1 << 20
 #: Distinct words that a task holds counts of.
 HELD = 200_000
+#: Words of the corpus for each shard that counts of candidates are summed in.
+SHARD = 1 << 21
 
 #: A-Z become a-z, tabs spaces; what ends a piece becomes the line feed.
 CLEAN = bytes(10 if chr(c) in ".,;:!?\n\v\f\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -37,6 +40,16 @@ def symbols(text: str | None) -> list[bytes]:
     return [w for w in data.split(b" ") if w]
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Numbers with their first bytes together, then their second ones, and so on: what compresses well."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+
+
+def unplaned(data, kind: type = np.int32) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
 def double_array(parent: np.ndarray, symbol: np.ndarray, parents: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``base, check, slot``: edge i lies at ``slot[i] = base[parent[i]] + symbol[i]``, where ``check`` is its parent.
 
@@ -128,6 +141,13 @@ class Trie:
         return out
 
 
+class _NoTrie:
+    """What an empty part of a cell has in place of a trie."""
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
+        return np.zeros(len(state), np.int32)
+
+
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of words by language; the null word has the count of all words."""
     held: dict[str, Counter] = {}
@@ -153,7 +173,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    """``common.stored`` for arrays of ids, which a stronger compression halves."""
+    """``common.stored`` for arrays of ids, which another compression makes much smaller."""
     path = shared_dir(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -172,7 +192,7 @@ def _numbered(rows: DataFrame, order: list[str], total: int) -> DataFrame:
 
 
 def _encoded(docs: DataFrame, words: DataFrame, total: int) -> DataFrame:
-    """Blobs: 32-bit word ids of whole texts, one after another, each ended by 0.
+    """Blobs: 32-bit word ids (``planes``) of whole texts, one after another, each ended by 0.
 
     Words that are not frequent are 0, as ends of pieces are: no frequent phrase holds them. Of the dictionary at most
     ``ENTRIES`` words are sent at a time; with more, the texts are passed over again for the rest of them.
@@ -197,12 +217,12 @@ def _looked_up(rows: DataFrame, shared, last: bool) -> DataFrame:
             for lang, text, before in zip(*(batch.column(c).to_pylist() for c in ("lang", "text", "words")), strict=True):
                 get = known.get(lang, {}).get
                 ids = np.array([get(w, 0) for w in symbols(text)] + [0], np.int32)
-                found.append(ids if before is None else np.maximum(ids, np.frombuffer(before, np.int32)))
+                found.append(ids if before is None else np.maximum(ids, unplaned(before)))
             yield batch, found
 
     def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, found in look_up(batches):
-            ids = pa.array([x.tobytes() for x in found], pa.binary())
+            ids = pa.array([planes(x) for x in found], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("text"), ids], names=["lang", "text", "words"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,10 +233,10 @@ def _looked_up(rows: DataFrame, shared, last: bool) -> DataFrame:
                 held.append(ids)
                 size += len(ids)
                 if size >= BLOB:
-                    yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(held).tobytes()], pa.binary())], names=["words"])
+                    yield pa.RecordBatch.from_arrays([pa.array([planes(np.concatenate(held))], pa.binary())], names=["words"])
                     held, size = [], 0
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(held).tobytes()], pa.binary())], names=["words"])
+            yield pa.RecordBatch.from_arrays([pa.array([planes(np.concatenate(held))], pa.binary())], names=["words"])
 
     if last:
         return _kept(map_arrow(rows, gather, "words binary"))
@@ -225,14 +245,37 @@ def _looked_up(rows: DataFrame, shared, last: bool) -> DataFrame:
 
 def _arrays(batch: pa.RecordBatch, *columns: str) -> Iterator[tuple[np.ndarray | None, ...]]:
     for values in zip(*(batch.column(c) for c in columns), strict=True):
-        yield tuple(np.frombuffer(v.as_buffer(), np.int32) if v.is_valid else None for v in values)
+        yield tuple(unplaned(v.as_buffer()) if v.is_valid else None for v in values)
+
+
+def _packed(keys: np.ndarray, counts: np.ndarray, shards: int) -> pa.RecordBatch:
+    """Sorted keys and their counts, compressed, in a row for each shard that a key's hash names."""
+    shard = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(shards)
+    order = np.argsort(shard, kind="stable")
+    numbers, starts = np.unique(shard[order], return_index=True)
+    press = zstandard.ZstdCompressor(level=1).compress
+    rows = []
+    for number, part in zip(numbers.tolist(), np.split(order, starts[1:]) if len(order) else [], strict=True):
+        gaps = np.diff(keys[part], prepend=0)
+        rows.append((number, press(planes(gaps)), press(planes(counts[part]))))
+    columns = zip(*rows, strict=True) if rows else ((), (), ())
+    kinds = (pa.int32(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["shard", "keys", "counts"]
+    )
+
 
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    key, of = np.unique(np.concatenate(keys), return_inverse=True)
+    return key, np.bincount(of, np.concatenate(counts)).astype(np.int64)
 
-def _tally(blobs: DataFrame, length: int, least: int) -> DataFrame:
+
+def _tally(blobs: DataFrame, length: int, least: int, words: int, shards: int) -> DataFrame:
     """``parent, word, n``: how often each state accepts (word 0), and candidates of one word more.
 
     Where a phrase of ``length`` words and the one that begins a word later are both frequent, they make a candidate.
-    Counts of either are summed over the blobs; candidates below ``least`` go.
+    Counts of either are summed over some blobs at a time, and then over all by shards of the keys; candidates below
+    ``least`` go. ``words`` is the number of frequent words.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,36 +284,50 @@ def _tally(blobs: DataFrame, length: int, least: int) -> DataFrame:
         def out() -> pa.RecordBatch:
             state, word = (np.concatenate([h[i] for h in held]) for i in (0, 1))
             held.clear()
-            accepted = np.bincount(state[state > 0] - state[state > 0].min()) if (state > 0).any() else np.empty(0, int)
-            low = int(state[state > 0].min()) if len(accepted) else 0
-            ids = np.flatnonzero(accepted)
-            parents, words, counts = [ids + low], [np.zeros(len(ids), np.int64)], [accepted[ids]]
+            keys = [state[state > 0].astype(np.int64) * (words + 1)]
             if length < LONGEST:
                 after = word[length:]
                 at = np.flatnonzero((state[: len(after)] > 0) & (state[1 : len(after) + 1] > 0) & (after > 0))
-                pairs, n = np.unique(state[at].astype(np.int64) << 32 | after[at], return_counts=True)
-                parents.append(pairs >> 32)
-                words.append(pairs & 0xFFFFFFFF)
-                counts.append(n)
-            columns = (np.concatenate(parents), np.concatenate(words), np.concatenate(counts))
-            kinds = (np.int32, np.int32, np.int64)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c.astype(k)) for c, k in zip(columns, kinds, strict=True)], names=["parent", "word", "n"]
-            )
+                keys.append(state[at].astype(np.int64) * (words + 1) + after[at])
+            return _packed(*np.unique(np.concatenate(keys), return_counts=True), shards)
 
         size = 0
         for batch in batches:
             for state, word in _arrays(batch, "state" if length > 1 else "words", "words"):
                 held.append((state, word))
-                size += len(word)
+                size += len(state)
                 if size >= GATHERED:
                     yield out()
                     size = 0
         if held:
             yield out()
 
-    seen = map_arrow(blobs, count, "parent int, word int, n long").groupBy("parent", "word").agg(F.sum("n").alias("n"))
-    return stored(seen.where(f"word = 0 OR n >= {least}"))
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpress = zstandard.ZstdDecompressor().decompress
+        held: tuple[list, list] = ([], [])
+        now = None
+
+        def out() -> pa.RecordBatch:
+            keys, n = _summed(*held)
+            parent, word = np.divmod(keys, words + 1)
+            kept = (word == 0) | (n >= least)
+            columns = (parent[kept].astype(np.int32), word[kept].astype(np.int32), n[kept])
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["parent", "word", "n"])
+
+        for batch in batches:
+            for shard, keys, counts in zip(*(batch.column(c).to_pylist() for c in ("shard", "keys", "counts")), strict=True):
+                if held[0] and shard != now:
+                    yield out()
+                    held = ([], [])
+                now = shard
+                held[0].append(np.cumsum(unplaned(unpress(keys), np.int64)))
+                held[1].append(unplaned(unpress(counts), np.int64))
+        if held[0]:
+            yield out()
+
+    packed = map_arrow(blobs, count, "shard int, keys binary, counts binary")
+    packed = packed.repartition(shards, "shard").sortWithinPartitions("shard")
+    return stored(map_arrow(packed, add, "parent int, word int, n long"))
 
 
 def _advanced(blobs: DataFrame, edges: DataFrame, length: int) -> DataFrame:
@@ -280,11 +337,12 @@ def _advanced(blobs: DataFrame, edges: DataFrame, length: int) -> DataFrame:
     hash. Tries are sent one after another, and the blobs are passed over for each.
     """
     spark = blobs.sparkSession
+    last = F.lit(b"") if length == LONGEST else F.col("words")  # no word more is asked for
     cells = edges.withColumn("up", F.expr(f"parent >> {SPAN_BITS}")).withColumn("down", F.expr(f"word >> {SPAN_BITS}"))
     rows = blobs.withColumn("next", F.lit(None).cast("binary"))
     before = "state" if length > 2 else "words"
 
-    def pass_over(rows: DataFrame, shared) -> DataFrame:
+    def pass_over(rows: DataFrame, shared, at_last: bool) -> DataFrame:
         def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             trie = shared.value
             for batch in batches:
@@ -294,22 +352,22 @@ def _advanced(blobs: DataFrame, edges: DataFrame, length: int) -> DataFrame:
                     found = trie.step(state, after)
                     found = found if known is None else np.maximum(found, known)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([x.tobytes()], pa.binary()) for x in (words, state, found)],
+                        [pa.array([planes(x)], pa.binary()) for x in (words, state, found)],
                         names=["words", "state", "next"],
                     )
 
-        return _kept(map_arrow(rows, step, "words binary, state binary, next binary"))
-
-    for cell in cells.groupBy("up", "down").count().orderBy("up", "down").collect():
-        shards = -(-cell["count"] // ENTRIES)
-        for shard in range(shards):
-            part = cells.where((F.col("up") == cell["up"]) & (F.col("down") == cell["down"]))
-            part = part.where(F.pmod(F.xxhash64("parent", "word"), F.lit(shards)) == shard).select("parent", "word", "id").toPandas()
-            if len(part):
-                columns = (part[c].to_numpy(np.int64) for c in ("parent", "word", "id"))
-                trie = Trie(*columns, cell["up"] << SPAN_BITS, cell["down"] << SPAN_BITS)
-                rows = pass_over(rows, spark.sparkContext.broadcast(trie))
-    return rows.select("words", F.coalesce("next", F.lit(b"")).alias("state"))
+        stepped = map_arrow(rows, step, "words binary, state binary, next binary")
+        return _kept(stepped.select(last.alias("words"), F.col("next").alias("state")) if at_last else stepped)
+
+    found = cells.groupBy("up", "down").count().orderBy("up", "down").collect()
+    parts = [(c["up"], c["down"], n, -(-c["count"] // ENTRIES)) for c in found for n in range(-(-c["count"] // ENTRIES))]
+    for up, down, shard, shards in parts:
+        part = cells.where((F.col("up") == up) & (F.col("down") == down))
+        part = part.where(F.pmod(F.xxhash64("parent", "word"), F.lit(shards)) == shard).select("parent", "word", "id").toPandas()
+        columns = (part[c].to_numpy(np.int64) for c in ("parent", "word", "id"))
+        trie = Trie(*columns, up << SPAN_BITS, down << SPAN_BITS) if len(part) else _NoTrie()
+        rows = pass_over(rows, spark.sparkContext.broadcast(trie), (up, down, shard, shards) == parts[-1])
+    return rows
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
@@ -319,12 +377,14 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, Da
     seen = stored(seen.where(f"word IS NULL OR n >= {least}"))
     words = seen.where("word IS NOT NULL")
     total = words.count()
+    size = seen.where("word IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    shards = max(16, size // SHARD)
     words = stored(_numbered(words, ["lang", "word"], total))
     names = words.select(F.col("id").alias("word"), F.col("word").cast("string").alias("last"))
     level = words.select("id", "lang", F.col("word").cast("string").alias("phrase"), F.col("n").alias("f"))
     levels = [level.withColumn("size", F.lit(1))]
     blobs = _encoded(rows, words, total)
-    tally = _tally(blobs, 1, least)
+    tally = _tally(blobs, 1, least, total, shards)
     for length in range(2, LONGEST + 1):
         edges = tally.where("word > 0")
         count = edges.count()
@@ -332,7 +392,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, Da
             break
         edges = stored(_numbered(edges, ["parent", "word"], count))
         blobs = _advanced(blobs, edges, length)
-        tally = _tally(blobs, length, least)
+        tally = _tally(blobs, length, least, total, shards)
         accepted = tally.where("word = 0").select(F.col("parent").alias("id"), F.col("n").alias("f"))
         above = level.select(F.col("id").alias("parent"), "lang", "phrase")
         named = spread_join(spread_join(edges.select("id", "parent", "word"), above, "parent", ["id"]), names, "word", ["id"])
