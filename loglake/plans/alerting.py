@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from loglake.frames import stored
 from loglake.operators.routing import mail_notifications, route_alerts, slack_notifications, unroutable_alerts
+from loglake.operators.rollup import can_roll_up, evaluate_rollup
 from loglake.operators.rules import evaluate_rules, evaluate_sql_rules, rule_documents, triggered
 from loglake.operators.suppression import not_waiting
 from loglake.operators.windows import MICROS_PER_MINUTE
@@ -72,15 +73,19 @@ def run_round(
     now: datetime,
     history: DataFrame | None = None,
     sql_options: dict[str, str] | None = None,
+    rollup: DataFrame | None = None,
 ) -> DataFrame:
     """Alerts of this round, written to the shared folder (``spark.checkpoint.dir``) and read from there.
 
     Rules that still wait are left out before any scan. The counting scan comes first; the document scan then runs for
     the rules that fired only. If a rule fails on the data, the rules are halved until it is alone, and the others are
     kept.
+
+    With a ``rollup`` (``read_rollup``) the rules it can answer are counted from it, to the last full minute, and no log
+    row is read for them but the documents of those that fire.
     """
     due = applications if history is None else without_waiting(applications, now, history)
-    return reduce(DataFrame.unionByName, _rounds(logs, due, now, sql_options))
+    return reduce(DataFrame.unionByName, _rounds(logs, due, now, sql_options, rollup))
 
 
 def without_waiting(applications: list[Application], now: datetime, history: DataFrame) -> list[Application]:
@@ -101,16 +106,20 @@ def _since_epoch(history: DataFrame) -> list:
 
 
 def _rounds(
-    logs: DataFrame, applications: list[Application], now: datetime, sql_options: dict[str, str] | None
+    logs: DataFrame,
+    applications: list[Application],
+    now: datetime,
+    sql_options: dict[str, str] | None,
+    rollup: DataFrame | None,
 ) -> list[DataFrame]:
     try:
-        return [_attempt(logs, applications, now, sql_options)]
+        return [_attempt(logs, applications, now, sql_options, rollup)]
     except (PySparkException, Py4JJavaError) as error:
         rules = [(a, r) for a in applications for r in a.alert_rules]
         if len(rules) <= 1:
             for a, r in rules:
                 log.error("rule %r of %s failed: %s", r.query, a.name, error)
-            return [_attempt(logs, [], now, sql_options)] if rules else _raise(error)
+            return [_attempt(logs, [], now, sql_options, rollup)] if rules else _raise(error)
     middle = len(rules) // 2
     halves = []
     for half in (rules[:middle], rules[middle:]):
@@ -119,7 +128,7 @@ def _rounds(
         halves.append(
             [replace(a, alert_rules=tuple(r for r in a.alert_rules if id(r) in kept)) for a in applications if a.name in names]
         )
-    return [df for half in halves for df in _rounds(logs, half, now, sql_options)]
+    return [df for half in halves for df in _rounds(logs, half, now, sql_options, rollup)]
 
 
 def _raise(error: Exception):
@@ -127,10 +136,18 @@ def _raise(error: Exception):
 
 
 def _attempt(
-    logs: DataFrame, applications: list[Application], now: datetime, sql_options: dict[str, str] | None
+    logs: DataFrame,
+    applications: list[Application],
+    now: datetime,
+    sql_options: dict[str, str] | None,
+    rollup: DataFrame | None,
 ) -> DataFrame:
     spark = logs.sparkSession
-    found = stored(triggered(evaluate_rules(logs, applications, now)), "fired")
+    counted, scanned = ([], applications) if rollup is None else can_roll_up(applications)
+    found = triggered(evaluate_rules(logs, scanned, now))
+    if rollup is not None:
+        found = found.unionByName(triggered(evaluate_rollup(rollup, counted, now)))
+    found = stored(found, "fired")
     fired = {(r["application"], r["rule_id"]) for r in found.select("application", "rule_id").collect()}
     firing = [
         replace(a, alert_rules=tuple(r for r in a.alert_rules if (a.name, r.rule_id) in fired)) for a in applications

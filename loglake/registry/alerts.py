@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 
 from loglake.frames import shared_dir
 from loglake.functions import predicates as P
+from loglake.operators import rollup as U
 from loglake.operators import routing as R
 from loglake.operators import rules as J
 from loglake.operators import suppression as W
 from loglake.operators import windows as T
 from loglake.plans.alerting import triggered_alerts, who_is_told
-from loglake.registry.base import LOGS, NOW, SQL_NOW, logs, query, table
+from loglake.registry.base import LOGS, NOW, ORACLES, SQL_NOW, logs, query, table
 from loglake.schema import RULES
 from loglake.sinks.logs import write_alert_history
 from loglake.sources import config as C
@@ -333,6 +334,40 @@ def lookback_per_rule(spark, sf):
     )
 
 
+@query("t03_rollup_counts", ORACLES["t03_lookback_per_rule"])
+def rollup_counts(spark, sf):
+    """Counts per minute, stored in two batches with a replay of the first, summed over each rule's look-back."""
+    rules = tuple(C.AlertRule("level = 'ERROR'", 10, ("ops",), 0, lookback=m) for m in (1, 10, 60))
+    apps = [C.Application(f"app-{i}", rules) for i in range(5)]
+    minutes = F.create_map(*[F.lit(x) for r in rules for x in (r.rule_id, r.lookback)])
+    path, rows = shared_dir(spark, "rollup"), logs(spark, sf).withColumn("collection", F.concat("application", F.lit("_0")))
+    U.cover(spark, path, None, apps)
+    for batch in (0, 1, 0):
+        U.write_rollup(rows.filter(F.abs(F.hash("id")) % 2 == batch), apps, path, batch)
+    found = U.rollup_by_tick(U.read_rollup(spark, path), apps)
+    return found.select(
+        "application", minutes[F.col("rule_id")].alias("minutes"), F.unix_seconds("eval_ts").alias("eval_epoch"),
+        "total_num_found",
+    )
+
+
+@query(
+    "t03_rollup_round",
+    f"""WITH {LOGS}, r(application, minutes) AS (SELECT 'app-' || a, m FROM range(5) AS x(a), (SELECT unnest([30, 1440, NULL]) AS m))
+        SELECT r.application, r.minutes, count(l.id) AS total_num_found FROM r LEFT JOIN logs l
+          ON l.application = r.application AND l.level = 'ERROR' AND l.ts < {SQL_NOW}
+         AND (r.minutes IS NULL OR l.ts >= {SQL_NOW} - to_minutes(CAST(r.minutes AS INTEGER))) GROUP BY ALL""",
+)
+def rollup_round(spark, sf):
+    rules = tuple(C.AlertRule("level = 'ERROR'", 10, ("ops",), 0, lookback=m) for m in (30, A_DAY, None))
+    apps = [C.Application(f"app-{i}", rules) for i in range(5)]
+    minutes = F.create_map(*[F.lit(x) for r in rules[:2] for x in (r.rule_id, r.lookback)])
+    path, rows = shared_dir(spark, "rollup"), logs(spark, sf).withColumn("collection", F.concat("application", F.lit("_0")))
+    U.cover(spark, path, rows, apps)
+    found = U.evaluate_rollup(U.read_rollup(spark, path), apps, NOW)
+    return found.select("application", F.try_element_at(minutes, F.col("rule_id")).alias("minutes"), "total_num_found")
+
+
 @query(
     "w03_suppress_event_ticks",
     f"""WITH RECURSIVE {LOGS}, e AS (SELECT DISTINCT application, CAST(floor(epoch(ts) / 60) AS BIGINT) + 1 AS tick

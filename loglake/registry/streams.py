@@ -117,6 +117,23 @@ for _retry in (10, 60, 1440):
     )(_alerts(_retry))
 
 
+@query(
+    "t04_absence_stream",
+    f"""WITH {TICKS}, spine AS (SELECT application, epoch(TIMESTAMP '2024-01-01')::BIGINT // 60 + 5 * i AS tick
+          FROM (SELECT DISTINCT application FROM logs), range(0, 288 * 30 + 1) AS r(i))
+        SELECT application, tick * 60 AS eval_epoch FROM spine s
+        WHERE tick * 60 <= {CLOSED} AND NOT EXISTS (SELECT 1 FROM ticks t WHERE t.application = s.application AND t.tick = s.tick)""",
+)
+def absence_stream(spark, sf):
+    """``t04_absence`` up to the watermark: silence every five minutes, in four micro-batches."""
+    path, checkpoint = shared_dir(spark, "absence-stream"), shared_dir(spark, "absence-stream-checkpoint")
+    alert_stream(
+        in_batches(spark, sf), error_rule(-1, retry=4), path, checkpoint, tick="5 minutes", interval=None, since=ORIGIN
+    ).awaitTermination()
+    out = spark.read.parquet(f"{path}/alerts")
+    return out.select("application", F.unix_seconds("eval_ts").alias("eval_epoch"))
+
+
 @query("t02_suppress_stream", ORACLES["w03_suppress_repeats"])
 def stateful_suppression(spark, sf):
     path = shared_dir(spark, "firings")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +31,14 @@ def read_sql_rule(
     return df if max_rows is None else df.limit(max_rows)
 
 
+def stored_logs(spark: SparkSession, path: str) -> DataFrame | None:
+    """Logs as they are stored; None where none are."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        return None
+
+
 def read_application(logs: DataFrame, application: str, collections: list[str] | None = None) -> DataFrame:
     """Every retained row of one application. Both conditions are on partition columns, so files are pruned."""
     found = logs.filter(F.col("application") == application)

@@ -229,9 +229,12 @@ def alert_rounds(
     send: Callable[[DataFrame], None],
     interval: str | None = "1 minute",
     clock: Callable[[], datetime] | None = None,
+    read_counts: Callable[[], DataFrame] | None = None,
 ) -> StreamingQuery:
     """One alerting round over the stored logs per trigger: absence rules, look-backs and SQL rules included.
 
+    With ``read_counts`` (``read_rollup``) rules are counted from what ingest has rolled up.
+
     ``ticks`` is any stream, such as a rate source or the log stream itself. State is kept in a folder per batch: a replayed batch starts from
     the same state, and folders that nothing replays go.
     """
@@ -240,7 +243,7 @@ def alert_rounds(
     def one_round(_: DataFrame, batch_id: int) -> None:
         now = clock() if clock else datetime.now(timezone.utc)
         state = read_state(spark, path, batch_id - 1)
-        alerts = run_round(read_logs(), applications, now, state)
+        alerts = run_round(read_logs(), applications, now, state, rollup=read_counts() if read_counts else None)
         write_state(mark_triggered(active_suppressions(state, now), alerts), path, batch_id)
         forget_state(spark, path, batch_id - 2)
         send(alerts)

@@ -8,7 +8,7 @@ from loglake.registry import ORACLES, QUERIES
 
 SMALL = "/root/testdata/sf0.001"
 # Running a stream to its end is part of building these.
-EAGER = {n for n in QUERIES if n.startswith(("t01", "t02", "t03_sliding_count_stream", "t05", "k01_ingest"))}
+EAGER = {n for n in QUERIES if n.startswith(("t01", "t02", "t03_sliding_count_stream", "t04_absence_stream", "t05", "k01_ingest"))}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
