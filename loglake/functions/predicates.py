@@ -1,7 +1,7 @@
 """Search predicates as Columns. They compose with ``&``, ``|`` and ``~``.
 
 Exact and range predicates work on raw columns so that they reach the Parquet scan. Token predicates search the whole
-text for the terms with token borders around them, which says the same as tokenising and builds no arrays; a plain
+text for the terms with word borders around them, which says the same as tokenising and builds no arrays; a plain
 substring test goes first and rules out most rows.
 """
 
@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loglake.functions.text import TOKEN_SEPARATOR, catch_all_text, query_terms
+from loglake.functions.text import BETWEEN, as_word, catch_all_text, query_terms
 from loglake.schema import LEVELS
 
 # Units of relative time expressions and the Spark interval unit of each.
@@ -38,17 +38,12 @@ def term(field: Column | str, value) -> Column:
     return _col(field) == value
 
 
-def _tokens_like(lowered: Column, pattern: str) -> Column:
-    """The pattern matches whole tokens of a lower-cased text: no letter or digit on either side of it."""
-    return lowered.rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{pattern})(?![\p{{L}}\p{{N}}])")
-
-
 def match(field: Column | str, text: str) -> Column:
     """Any token of the field equals any token of ``text``, ignoring case."""
     terms, lowered = query_terms(text), F.lower(_col(field))
     if not terms:
         return F.lit(False)
-    return any_of(*[lowered.contains(t) for t in terms]) & _tokens_like(lowered, "|".join(terms))
+    return any_of(*[lowered.contains(t) for t in terms]) & lowered.rlike("|".join(map(as_word, terms)))
 
 
 def search(text: str, columns: list[str] | None = None) -> Column:
@@ -61,7 +56,7 @@ def phrase(field: Column | str, text: str) -> Column:
     terms, lowered = query_terms(text), F.lower(_col(field))
     if not terms:
         return F.lit(False)
-    return all_of(*[lowered.contains(t) for t in terms]) & _tokens_like(lowered, TOKEN_SEPARATOR.join(terms))
+    return all_of(*[lowered.contains(t) for t in terms]) & lowered.rlike(BETWEEN.join(map(as_word, terms)))
 
 
 def relative_time(expression: str | datetime | Column | None, now: datetime | Column) -> Column | None:

@@ -21,13 +21,24 @@ def assign_id(df: DataFrame, deterministic: bool = False) -> DataFrame:
     return df.withColumn("id", F.coalesce("id", new) if "id" in df.columns else new)
 
 
+def content_hash(df: DataFrame, leave_out: list[str]) -> Column:
+    """A hash of a row's content, whatever the order of its columns; maps and variants by their JSON text."""
+    columns = sorted((f for f in df.schema.fields if f.name not in leave_out), key=lambda f: f.name)
+    as_text = lambda f: any(t in f.dataType.simpleString() for t in ("map<", "variant"))
+    parts = [F.to_json(F.struct(f.name)) if as_text(f) else F.col(f.name) for f in columns]
+    return F.xxhash64(*parts) if parts else F.lit(0)
+
+
 def upsert_latest(df: DataFrame, keys: list[str] | None = None, version: str = "version") -> DataFrame:
     """The newest version of every key.
 
-    The rank filter is applied in every map task before the shuffle, so a key that holds a large share of the rows
-    sends one row per task.
+    Of rows with equal versions, as one write gives them, the newest by ``ts`` is read, where there is one, and of
+    those the one with the largest hash of its content: whichever order the rows come in. The rank filter is applied in
+    every map task before the shuffle, so a key that holds a large share of the rows sends one row per task.
     """
-    newest = Window.partitionBy(*(keys or ["id"])).orderBy(F.col(version).desc())
+    keys = keys or ["id"]
+    order = [c for c in (version, "ts") if c in df.columns]
+    newest = Window.partitionBy(*keys).orderBy(*(F.col(c).desc() for c in order), content_hash(df, [*keys, *order]).desc())
     return df.withColumn("_rank", F.row_number().over(newest)).filter("_rank = 1").drop("_rank")
 
 

@@ -365,6 +365,17 @@ def upsert_latest(spark, sf):
     return D.upsert_latest(logs(spark, sf).select(doc.alias("id"), "message", "version"))
 
 
+@query(
+    "k03_same_write",
+    f"""WITH {LOGS} SELECT hostname || level AS id, version // 1000 AS version, epoch_us(ts) AS ts_us FROM logs
+        QUALIFY row_number() OVER (PARTITION BY hostname || level ORDER BY version // 1000 DESC, ts DESC) = 1""",
+)
+def upsert_same_write(spark, sf):
+    """A thousand rows a write: of one write's rows with an id the newest by time is read."""
+    doc, write = F.concat("hostname", "level").alias("id"), F.floor(F.col("version") / 1000).alias("version")
+    return D.upsert_latest(logs(spark, sf).select(doc, write, "ts")).select("id", "version", F.unix_micros("ts").alias("ts_us"))
+
+
 @query(
     "k05_event_json",
     f"""WITH {LOGS} SELECT id, '{{"category":"' || category || '","timestamp":"' || {ISO} || '","level":"' || level

@@ -10,11 +10,13 @@ from loglake.functions.text import catch_all_text, tokenize
 from loglake.operators import documents as D
 from loglake.registry.base import LOGS, NOW, SQL_NOW, logs, query, search_documents, table
 
-TOKENS = r"list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
+# Word breaks of texts in Latin script, spelled out by runs of letters and of digits.
+_LETTERS = r"\p{L}[\p{L}\p{M}]*(?:[.:·''‘’]\p{L}[\p{L}\p{M}]*)*"
+_DIGITS = r"\p{Nd}+(?:[.,;''‘’]\p{Nd}+)*"
 
 
 def tokens(column: str) -> str:
-    return TOKENS.format(column)
+    return f"regexp_extract_all(lower({column}), '\\p{{Pc}}*(?:{_LETTERS}|{_DIGITS})(?:\\p{{Pc}}*(?:{_LETTERS}|{_DIGITS}))*\\p{{Pc}}*')"
 
 
 @query("f01_term", f"WITH {LOGS} SELECT id, application, level FROM logs WHERE level = 'ERROR'")
@@ -138,6 +140,25 @@ def token_counts(spark, sf):
     return search_documents(spark, sf).select(token).groupBy("token").agg(F.count("*").alias("n"))
 
 
+ORDER_TEXT = """'Can''t pay ' || CAST(o_totalprice AS DECIMAL(18,2)) || ' for foo_bar_' || o_orderkey || ', ' || o_orderpriority
+    || ';o.k:' || o_orderstatus || ' 1,' || o_custkey || '. __ ' || o_custkey || '.' || o_orderstatus"""
+
+
+@query(
+    "p04_word_breaks",
+    f"""WITH t AS (SELECT unnest({tokens('text')}) AS token FROM (SELECT {ORDER_TEXT} AS text FROM orders))
+        SELECT token, count(*) AS n FROM t GROUP BY token""",
+)
+def word_breaks(spark, sf):
+    text = F.concat(
+        F.lit("Can't pay "), F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.lit(" for foo_bar_"), "o_orderkey",
+        F.lit(", "), "o_orderpriority", F.lit(";o.k:"), "o_orderstatus", F.lit(" 1,"), "o_custkey", F.lit(". __ "), "o_custkey",
+        F.lit("."), "o_orderstatus",
+    )
+    token = F.explode(tokenize(text)).alias("token")
+    return table(spark, sf, "orders").select(token).groupBy("token").agg(F.count("*").alias("n"))
+
+
 @query(
     "s_conversation_search",
     f"""SELECT role AS category, count(*) AS n FROM conversations

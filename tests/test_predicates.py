@@ -1,5 +1,6 @@
 """Predicates on the literal search documents and on hand-made edge cases."""
 
+import random
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -42,12 +43,19 @@ def test_search_over_all_fields(docs):
     assert ids(docs.filter(hit)) == ["1", "2", "3"]
 
 
-@pytest.mark.parametrize("words", [["éa"], ["the", "9"], ["straße"], ["a", "b"], ["x"], ["été"], ["東京"]])
+@pytest.mark.parametrize(
+    "words",
+    [["éa"], ["the", "9"], ["straße"], ["a", "b"], ["x"], ["été"], ["東"], ["京"], ["can't"], ["can"], ["t"], ["1.5"], ["5"], ["1"],
+     ["a.b"], ["foo_bar"], ["foo"], ["_x"], ["カタカナ"], ["b", "a"], ["5", "a"], ["東", "京"], ["x1"], ["1,000.5"], ["ไทย"]],
+)
 def test_match_equals_tokenising(spark, words):
     texts = [
         "The a-b, straße; ÉA 99 9", "the9", "a b", "ab", "", " éa", "éaé", "x_x", "x1", "(x)", None, "Été.", "東京 x",
-        "東京都", "a\nb", "b a", "́x", "x́", "b,a,b",
-    ]
+        "東京都", "a\nb", "b a", "\u0301x", "x\u0301", "b,a,b", "Can't", "can 't", "can't.", "cant'", "1.5", "v1.5", "1.5.", "1. 5", "1.a",
+        "a.b", "a.b.c", "a.", ".b", "a..b", "foo_bar", "foo_", "_foo", "_x", "__", "__ x __", "foo _ bar", "カタカナ", "カタカナー語", "1,000.5",
+        "1,000.5.6", "x1,5", "5,a", "5 a", "a'b'", "x\u0301.y", "ไทย ไท", "a·b", "a:b", "é:a", "b_a",
+    ]
+    assert query_terms(" ".join(words)) == words
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     wanted = F.array(*[F.lit(w) for w in words])
     spaced = F.concat(F.lit(" "), F.array_join(tokenize("t"), " "), F.lit(" "))
@@ -63,8 +71,24 @@ def test_match_equals_tokenising(spark, words):
         assert r["phrase"] == r["adjacent"], r
 
 
-def test_query_terms():
-    assert query_terms("Very-Slow, 1.5 foo_bar") == ["very", "slow", "1", "5", "foo", "bar"]
+def test_word_breaks():
+    assert query_terms("Very-Slow, 1.5 foo_bar") == ["very", "slow", "1.5", "foo_bar"]
+    assert query_terms("Can't won’t 'quoted' rock'n'roll") == ["can't", "won’t", "quoted", "rock'n'roll"]
+    assert query_terms("a.b.c 1,000.50 3;4 v1.5 1.x x.1 10:30") == ["a.b.c", "1,000.50", "3;4", "v1.5", "1", "x", "x", "1", "10", "30"]
+    assert query_terms("_id __ a_ _1_") == ["_id", "a_", "_1_"]
+    assert query_terms("東京カタカナひら abc漢") == ["東", "京", "カタカナ", "ひ", "ら", "abc", "漢"]
+    assert query_terms("e\u0301t x\u200dy") == ["e\u0301t", "x\u200dy"]
+    assert query_terms("!? ² ...") == []
+
+
+def test_stored_text_is_cut_like_queries(spark):
+    draw = random.Random(5)
+    letters = "abé1２9_‿.,':;· -\n\u0301\u200d東ひカー한ไทม์лЖ!²Ⅷ"
+    texts = ["".join(draw.choice(letters) for _ in range(draw.randint(0, 30))) for _ in range(3_000)]
+    texts.append("x1" * 200_000 + "." + "a.b" * 50_000)
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tokenize("t").alias("w")).collect()
+    for r in rows:
+        assert r["w"] == query_terms(r["t"]), repr(r["t"][:99])
 
 
 @pytest.mark.parametrize(
