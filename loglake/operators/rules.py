@@ -21,6 +21,7 @@ from loglake.frames import local_frame
 from loglake.functions.events import row_as_map
 from loglake.functions.predicates import exceeds_threshold
 from loglake.functions.timestamps import timestamp_to_iso
+from loglake.operators.relevance import relevance_columns, with_relevance
 from loglake.operators.rule_index import RuleIndex, build_index, index_hits
 from loglake.schema import DEFAULT_ALERT_TYPE, MAX_DOCUMENTS, RULES
 from loglake.sources.config import AlertRule, Application, since
@@ -74,6 +75,7 @@ class Conditions(NamedTuple):
     applications: list[str]
     lookbacks: list[int | None]  # of each condition, in minutes
     index: RuleIndex | None
+    searches: dict[int, str]  # by which the documents of a condition are ranked
 
     def guarded(self) -> list[Column]:
         """Conditions behind a cheap test of the application, where not every application uses them."""
@@ -118,6 +120,7 @@ def index_conditions(logs: DataFrame, applications: list[Application]) -> Condit
         sorted({a for a, _ in kept}),
         [rules[key][1].lookback for key in number],
         index,
+        {i: search for key, i in number.items() if (search := rules[key][1].ranked_by) is not None},
     )
 
 
@@ -235,8 +238,10 @@ def evaluate_sql_rules(
 
 
 def cap_documents(hits: DataFrame, n: int = MAX_DOCUMENTS) -> DataFrame:
-    """The newest ``n`` rows per (application, condition), cut in every map task before the shuffle."""
-    order = Window.partitionBy("application", "condition").orderBy(F.col("ts").desc(), F.col("id"))
+    """The newest ``n`` rows per (application, condition), cut in every map task before the shuffle; where the hits have
+    a ``score``, those with the highest."""
+    best = [F.col("score").desc()] if "score" in hits.columns else []
+    order = Window.partitionBy("application", "condition").orderBy(*best, F.col("ts").desc(), F.col("id"))
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
 
 
@@ -251,13 +256,19 @@ def document_columns(logs: DataFrame, fields: list[str]) -> dict[str, Column]:
 def rule_documents(
     logs: DataFrame, applications: list[Application], now: datetime, fields: list[str], n: int = MAX_DOCUMENTS
 ) -> DataFrame:
-    """Up to ``n`` newest matching rows per rule as an array of name -> text maps."""
+    """Up to ``n`` matching rows per rule as an array of name -> text maps: the newest, or by relevance if it is asked for.
+
+    Relevance (``ranked_by``) is that among all rows of the application in ``logs``, as for any search.
+    """
     parts = []
     for part in by_lookback(applications):
         timed = at_time(logs, now)
         found = index_conditions(timed, part)
         document = row_as_map(document_columns(logs, fields)).alias("document")
-        hits = condition_hits(recent(timed, part), found, "application", "id", "ts", document)
+        extra = relevance_columns(found.searches, "message") if found.searches else []
+        hits = condition_hits(recent(timed, part), found, "application", "id", "ts", document, *extra)
+        if found.searches:
+            hits = with_relevance(logs, hits, found.searches, "message")
         ranked = cap_documents(hits, n).groupBy("application", "condition").agg(
             F.map_from_entries(F.collect_list(F.struct("rank", "document"))).alias("by_rank")
         )

@@ -8,6 +8,7 @@ from loglake.functions import predicates as P
 from loglake.functions.events import typed_fields
 from loglake.functions.text import catch_all_text, tokenize
 from loglake.operators import documents as D
+from loglake.operators.relevance import most_relevant
 from loglake.registry.base import LOGS, NOW, SQL_NOW, logs, query, search_documents, table
 
 # Word breaks of texts in Latin script, spelled out by runs of letters and of digits.
@@ -169,6 +170,30 @@ def conversation_search(spark, sf):
     return df.groupBy(F.col("role").alias("category")).agg(F.count("*").alias("n"))
 
 
+SEARCHES = {"licence": "the license of", "rest": "que die", "nothing": "qqqq"}
+
+
+@query(
+    "l01_by_relevance",
+    f"""WITH q(search, term) AS (VALUES ('licence', 'the'), ('licence', 'license'), ('licence', 'of'), ('rest', 'que'),
+               ('rest', 'die'), ('nothing', 'qqqq')),
+             d AS (SELECT source AS application, CAST(doc_id AS VARCHAR) AS id, {tokens('text')} AS words FROM documents),
+             s AS (SELECT application, count(*) AS documents, sum(len(words)) AS total FROM d WHERE len(words) > 0 GROUP BY application),
+             t AS (SELECT application, id, len(words) AS length, unnest(words) AS term FROM d),
+             f AS (SELECT application, id, length, term, count(*) AS tf FROM t SEMI JOIN q USING (term) GROUP BY ALL),
+             n AS (SELECT application, term, count(*) AS df FROM f GROUP BY ALL),
+             r AS (SELECT application, search, id, round(sum(ln(1 + (documents - df + 0.5) / (df + 0.5)) * tf * 2.2
+                          / (tf + 1.2 * (0.25 + 0.75 * length / (total / documents)))), 9) AS score
+                   FROM f JOIN q USING (term) JOIN n USING (application, term) JOIN s USING (application) GROUP BY ALL)
+        SELECT application, search, id, round(score, 6) AS score,
+               CAST(row_number() OVER (PARTITION BY application, search ORDER BY score DESC, id) AS INT) AS rank
+        FROM r QUALIFY rank <= 10""",
+)
+def by_relevance(spark, sf):
+    found = most_relevant(search_documents(spark, sf), SEARCHES)
+    return found.withColumn("score", F.round("score", 6))
+
+
 @query(
     "l02_newest_first",
     f"WITH {LOGS} SELECT id, epoch_us(ts) AS ts_us FROM logs ORDER BY ts DESC, id LIMIT 100",

@@ -30,7 +30,8 @@ class AlertRule:
     ``query`` is a Spark SQL condition over the log columns and ``eval_ts`` (the evaluation time), or, for type
     'sql', a full query. ``predicate`` may replace the condition by a function from ``eval_ts`` to a Column;
     ``query`` is then the text shown in notifications. ``lookback`` (minutes) limits the rule to
-    ``[eval_ts - lookback, eval_ts]``; when all rules have one, the longest prunes the scan.
+    ``[eval_ts - lookback, eval_ts]``; when all rules have one, the longest prunes the scan. ``ranked_by``, the words of
+    a search over the message, ranks the documents shown by relevance; without it they are the newest.
     """
 
     query: str
@@ -40,18 +41,20 @@ class AlertRule:
     alert_type: str | None = None
     lookback: int | None = None
     predicate: Callable[[Column], Column] | None = field(default=None, compare=False)
+    ranked_by: str | None = None
 
     @property
     def rule_id(self) -> str:
         """Identity of a rule is its whole content."""
         content = [self.query, self.retry_interval, self.result_threshold, list(self.alert_profiles), self.alert_type]
         content += [] if self.lookback is None else [self.lookback]
+        content += [] if self.ranked_by is None else [{"rankedBy": self.ranked_by}]
         return hashlib.sha256(json.dumps(content).encode()).hexdigest()[:16]
 
     @property
     def condition_key(self) -> tuple:
-        """Rules with equal keys have the same condition."""
-        return (self.predicate or self.query, self.lookback)
+        """Rules with equal keys have the same condition, and the same order of their documents."""
+        return (self.predicate or self.query, self.lookback, self.ranked_by)
 
     def condition(self) -> Column:
         hit = self.predicate(F.col("eval_ts")) if self.predicate else F.expr(self.query)
@@ -91,7 +94,7 @@ def parse_applications(config: dict) -> list[Application]:
                 raise ValueError(f"unknown alert type in rule {r}")
             rules.append(
                 AlertRule(r["query"], int(r["retryInterval"]), tuple(r["alertProfiles"]),
-                          r.get("resultThreshold"), r.get("alertType"), r.get("lookback"))
+                          r.get("resultThreshold"), r.get("alertType"), r.get("lookback"), ranked_by=r.get("rankedBy"))
             )
         mails = tuple((p["name"], tuple(p["addresses"])) for p in app.get("emailProfiles") or [])
         slacks = tuple((p["name"], p["url"]) for p in app.get("slackProfiles") or [])
