@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 from itertools import combinations
@@ -111,12 +112,15 @@ def _sample(docs: DataFrame, sample: int) -> DataFrame:
     """``lang, place, text`` of at most ``sample`` distinct rows a language: those of the least hash.
 
     Hashes spread evenly, so about two and a half samples lie below that part of their range; only those texts move.
+    One number a language goes to the driver and back.
     """
     rows = docs.select("lang", "text", F.xxhash64("doc_id", "text").alias("key"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    share = rows.groupBy("lang").agg(F.approx_count_distinct("key").alias("n"))
-    bound = F.lit(-(2.0**63)) + F.lit(2.0**64) * F.least(F.lit(1.0), 2.5 * F.lit(sample) / F.col("n"))
-    near = rows.join(share.select("lang", bound.cast("long").alias("bound")), "lang").where("key <= bound")
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("key").alias("n")).collect()
+    top = (1 << 63) - 1
+    bounds = {r["lang"]: min(top, -(1 << 63) + int((1 << 64) * min(1.0, 2.5 * sample / r["n"]))) for r in counts}
+    bound = F.from_json(F.lit(json.dumps(bounds)), "map<string,bigint>")  # folded into one literal
+    near = rows.where(F.col("key") <= bound[F.col("lang")])
     near = near.groupBy("lang", "key").agg(F.first("text").alias("text"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
     return near.withColumn("place", place).where(F.col("place") <= sample).select("lang", "place", "text")
