@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,6 +71,29 @@ def typed_fields(df: DataFrame, col: str = "fields") -> DataFrame:
     return df.withColumns({**maps, "strings": strings})
 
 
+def variant_fields(df: DataFrame, col: str = "fields", name: str = "attributes") -> DataFrame:
+    """Dynamic fields as one VARIANT with typed values, by name suffix; a value of the wrong type becomes a null.
+
+    A predicate on ``variant_field`` reads that field alone, where the typed maps of ``typed_fields`` are built whole.
+    """
+
+    def typed(k: Column, v: Column) -> Column:
+        value = v.cast("variant")
+        for suffix, (_, spark_type) in DYNAMIC_SUFFIXES.items():
+            value = F.when(k.endswith(suffix), v.try_cast(spark_type).cast("variant")).otherwise(value)
+        return value
+
+    return df.withColumn(name, F.to_variant_object(F.transform_values(F.col(col), typed)))
+
+
+def variant_field(field: str, column: Column | str = "attributes") -> Column:
+    """One dynamic field of ``variant_fields``, of the type its suffix says."""
+    if not re.fullmatch(r"[^\\'\]]+", field):
+        raise ValueError(f"not a field name: {field!r}")
+    types = [spark_type for suffix, (_, spark_type) in DYNAMIC_SUFFIXES.items() if field.endswith(suffix)]
+    return F.try_variant_get(column, f"$['{field}']", types[0] if types else "string")
+
+
 def spark_application_id(path: Column | str) -> Column:
     """Penultimate segment of a container log path, '' when there is none."""
     parts = F.split(F.col(path) if isinstance(path, str) else path, "/")

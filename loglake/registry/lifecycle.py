@@ -11,11 +11,13 @@ from loglake.functions import naming as N
 from loglake.operators import collections as Co
 from loglake.operators.documents import union_collections
 from loglake.plans import retention as M
+from loglake.plans.aliases import publish_aliases, read_aliases
 from loglake.plans.ingest import place
 from loglake.registry.base import (
     CATALOGUE,
     LOGS,
     NOW,
+    ORACLES,
     POLICIES,
     SQL_NOW,
     collections,
@@ -375,3 +377,17 @@ def aliases(spark, sf):
         N.alias_name("application", "all").alias("alias"), "collection"
     )
     return M.repoint_aliases(current, only_newest)
+
+
+@query("m06_alias_versions", ORACLES["m06_aliases"])
+def alias_versions(spark, sf):
+    """The same changes, each published as versions of the aliases it touches."""
+    catalogue, path = collections(spark, sf), shared_dir(spark, "aliases")
+    publish_aliases(Co.alias_members(catalogue), path)
+    pointed = spark.createDataFrame([("app-1_all", "c1"), ("app-1_all", "c2")], "alias string, collection string")
+    publish_aliases(pointed, path, gone=["app-3_latest"])
+    only_newest = Co.newest_collection(catalogue).filter("application = 'app-0'").select(
+        N.alias_name("application", "all").alias("alias"), "collection"
+    )
+    publish_aliases(only_newest, path)
+    return read_aliases(spark, path)

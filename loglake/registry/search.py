@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loglake.functions import predicates as P
-from loglake.functions.events import typed_fields
+from loglake.frames import shared_dir
+from loglake.functions.events import typed_fields, variant_field, variant_fields
 from loglake.functions.text import catch_all_text, tokenize
 from loglake.operators import documents as D
 from loglake.operators.relevance import most_relevant
 from loglake.registry.base import LOGS, NOW, SQL_NOW, logs, query, search_documents, table
+from loglake.sinks.logs import write_logs
+from loglake.sources.sidecar import index_files, pruned, read_sidecar
 
 # Word breaks of texts in Latin script, spelled out by runs of letters and of digits.
 _LETTERS = r"\p{L}[\p{L}\p{M}]*(?:[.:·''‘’]\p{L}[\p{L}\p{M}]*)*"
@@ -62,12 +65,50 @@ def time_range(spark, sf):
     return logs(spark, sf).filter(hit).select("id", F.unix_micros("ts").alias("ts_us"))
 
 
+def stored_documents(spark, sf):
+    """``search_documents`` as stored logs in several files, each with rows of one language."""
+    path = shared_dir(spark, "documents")
+    search_documents(spark, sf).repartitionByRange(6, "category", "id").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@query(
+    "f02_match_pruned",
+    f"SELECT CAST(doc_id AS VARCHAR) AS id FROM documents WHERE list_has_any({tokens('text')}, ['the', 'license'])",
+)
+def match_pruned(spark, sf):
+    stored, path = stored_documents(spark, sf), shared_dir(spark, "words")
+    index_files(stored, path)
+    files = pruned(stored, read_sidecar(spark, path), "The license")
+    return files.filter(P.match("message", "The license")).select("id")
+
+
+@query(
+    "f04_phrase_pruned",
+    f"""SELECT CAST(doc_id AS VARCHAR) AS id FROM documents
+        WHERE contains(' ' || array_to_string({tokens('text')}, ' ') || ' ', ' of the ')""",
+)
+def phrase_pruned(spark, sf):
+    stored, path = stored_documents(spark, sf), shared_dir(spark, "words")
+    index_files(stored, path)
+    files = pruned(stored, read_sidecar(spark, path), "OF the", every=True)
+    return files.filter(P.phrase("message", "OF the")).select("id")
+
+
 @query("f06_num_range", f"WITH {LOGS} SELECT id, CAST(k AS INT) AS k FROM logs WHERE CAST(k AS INT) BETWEEN 10 AND 20")
 def num_range(spark, sf):
     k = F.col("ints")["k_i"]
     return typed_fields(logs(spark, sf)).filter(P.num_range(k, 10, 20)).select("id", k.alias("k"))
 
 
+@query("f06_variant_range", f"WITH {LOGS} SELECT id, CAST(k AS INT) AS k FROM logs WHERE CAST(k AS INT) BETWEEN 10 AND 20")
+def variant_range(spark, sf):
+    path = shared_dir(spark, "variants")
+    variant_fields(logs(spark, sf)).select("id", "attributes").write.parquet(path)
+    k = variant_field("k_i")
+    return spark.read.parquet(path).filter(P.num_range(k, 10, 20)).select("id", k.alias("k"))
+
+
 @query(
     "f07_boolean",
     f"""WITH {LOGS} SELECT id FROM logs
@@ -114,6 +155,18 @@ def get_by_id(spark, sf):
     return D.get_by_id(df, wanted).unionByName(listed).distinct()
 
 
+@query(
+    "f10_get_by_id_stored",
+    f"""WITH {LOGS} SELECT id, message FROM logs WHERE id IN (SELECT CAST(event_id AS VARCHAR) FROM events ORDER BY event_id DESC LIMIT 3)""",
+)
+def get_by_id_stored(spark, sf):
+    """Look-up in stored logs, whose row groups have Bloom filters on the id."""
+    path = shared_dir(spark, "logs")
+    write_logs(logs(spark, sf).withColumn("collection", F.concat("application", F.lit("_0"))), path)
+    newest = table(spark, sf, "events").orderBy(F.desc("event_id")).limit(3).collect()
+    return D.get_by_id(spark.read.parquet(path), [str(r["event_id"]) for r in newest]).select("id", "message")
+
+
 @query(
     "f14_level_at_least",
     f"WITH {LOGS} SELECT level, count(*) AS n FROM logs WHERE level IN ('WARN', 'ERROR', 'FATAL') GROUP BY level",
