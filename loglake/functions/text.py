@@ -17,24 +17,25 @@ from pyspark.sql import functions as F
 MID_LETTERS = ":\u00b7\u0387\u05f4\u2027\ufe13\ufe55\uff1a.\u2018\u2019\u2024\ufe52\uff07\uff0e'"
 MID_NUMBERS = ",;\u037e\u0589\u060c\u060d\u066c\u07f8\u2044\ufe10\ufe14\ufe50\ufe54\uff0c\uff1b.\u2018\u2019\u2024\ufe52\uff07\uff0e'"
 
-# Classes of characters, as expressions of Java and as kinds for ``query_terms``.
+# Classes of characters, as expressions of Java and as kinds for ``query_terms``. What is most common is tested first.
 _SPACELESS = r"\p{IsThai}\p{IsLao}\p{IsMyanmar}\p{IsKhmer}"
 _LONG_VOWELS = "\u30fc\uff70"
 _OTHERS = rf"\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}{_LONG_VOWELS}{_SPACELESS}"
-LETTER = rf"[\p{{L}}\p{{Nl}}&&[^{_OTHERS}]]"
+LETTER = rf"[a-z[\p{{L}}\p{{Nl}}&&[^{_OTHERS}]]]"
 MARK = r"\p{M}\p{Cf}"
-_RUN = rf"[{LETTER}\p{{Nd}}\p{{Pc}}{MARK}]"
+_RUN = rf"[a-z0-9_{LETTER}\p{{Nd}}\p{{Pc}}{MARK}]"
 _KATAKANA = rf"[\p{{IsKatakana}}{_LONG_VOWELS}&&[\p{{L}}]]"
 _SINGLE = r"[[\p{IsHan}\p{IsHiragana}]&&[\p{L}\p{Nl}]]"
 _UNSPACED = rf"[[{_SPACELESS}]&&[\p{{L}}]]"
 # A letter with its marks; expressions that look back need a bound.
 _MARKED = rf"{LETTER}[{MARK}]{{0,16}}"
-_JOINT = rf"(?:(?<={_MARKED})[{MID_LETTERS}](?={LETTER})|(?<=\p{{Nd}})[{MID_NUMBERS}](?=\p{{Nd}}))"
+_JOINT = rf"(?:[{MID_LETTERS}](?={LETTER})(?<={_MARKED}[{MID_LETTERS}])|[{MID_NUMBERS}](?=\p{{Nd}})(?<=\p{{Nd}}[{MID_NUMBERS}]))"
 
-# Possessive throughout: nothing is tried twice, and a word of any length is matched without recursion.
+# Possessive throughout: nothing is tried twice, and a word of any length is matched without recursion. Most of what
+# begins no word is passed over by its first test.
 TOKEN = (
-    rf"\p{{Pc}}*+[{LETTER}\p{{Nd}}]{_RUN}*+(?:{_JOINT}{_RUN}*+)*+"
-    rf"|{_KATAKANA}[{_KATAKANA}{MARK}]*+|{_SINGLE}[{MARK}]*+|{_UNSPACED}[{_UNSPACED}{MARK}]*+"
+    rf"(?![\x00-\x2F\x3A-\x40\x5B-\x5E\x60\x7B-\x7F])(?:\p{{Pc}}*+[0-9{LETTER}\p{{Nd}}]{_RUN}*+(?:{_JOINT}{_RUN}*+)*+"
+    rf"|{_KATAKANA}[{_KATAKANA}{MARK}]*+|{_SINGLE}[{MARK}]*+|{_UNSPACED}[{_UNSPACED}{MARK}]*+)"
 )
 
 # The columns copied into the catch-all field.
@@ -103,22 +104,25 @@ def _joins(text: str, kinds: list[str], at: int) -> bool:
 
 
 def as_word(term: str) -> str:
-    """An expression for a word of ``query_terms`` where it stands as a whole word of a lower-cased text."""
-    first, last = _kind(term[0]), _kind(term.rstrip("".join(c for c in term if _kind(c) == "X"))[-1])
+    """An expression for a word of ``query_terms`` where it stands as a whole word of a lower-cased text.
+
+    The word itself comes first, so that its borders are tested only where it occurs.
+    """
+    word, first = re.escape(term), _kind(term[0])
+    last = _kind(term.rstrip("".join(c for c in term if _kind(c) == "X"))[-1])
     if first in ("L", "N", "E"):
-        start = rf"(?<![{LETTER}\p{{Nd}}\p{{Pc}}][{MARK}]{{0,16}})"
-        start += {"L": f"(?<!{_MARKED}[{MID_LETTERS}])", "N": rf"(?<!\p{{Nd}}[{MID_NUMBERS}])"}.get(first, "")
-        end = f"(?!{_RUN})"
-        if last == "L":
-            end += f"(?![{MID_LETTERS}]{LETTER})"
-        if _kind(term[-1]) == "N":
-            end += rf"(?![{MID_NUMBERS}]\p{{Nd}})"
+        before = [rf"[{LETTER}\p{{Nd}}\p{{Pc}}][{MARK}]{{0,16}}"]
+        before += {"L": [f"{_MARKED}[{MID_LETTERS}]"], "N": [rf"\p{{Nd}}[{MID_NUMBERS}]"]}.get(first, [])
+        after = [_RUN]
+        after += [f"[{MID_LETTERS}]{LETTER}"] if last == "L" else []
+        after += [rf"[{MID_NUMBERS}]\p{{Nd}}"] if _kind(term[-1]) == "N" else []
     elif first == "C":
-        start, end = "", f"(?![{MARK}])"
+        before, after = [], [f"[{MARK}]"]
     else:
         own = _KATAKANA if first == "K" else _UNSPACED
-        start, end = f"(?<!{own}[{MARK}]{{0,16}})", f"(?![{own}{MARK}])"
-    return f"{start}{re.escape(term)}{end}"
+        before, after = [f"{own}[{MARK}]{{0,16}}"], [f"[{own}{MARK}]"]
+    start = f"(?<!(?:{'|'.join(before)}){word})" if before else ""
+    return f"{word}(?!{'|'.join(after)}){start}"
 
 
 # What may stand between two words that are next to each other.
