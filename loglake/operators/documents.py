@@ -22,11 +22,17 @@ def assign_id(df: DataFrame, deterministic: bool = False) -> DataFrame:
 
 
 def content_hash(df: DataFrame, leave_out: list[str]) -> Column:
-    """A hash of a row's content, whatever the order of its columns; maps and variants by their JSON text."""
-    columns = sorted((f for f in df.schema.fields if f.name not in leave_out), key=lambda f: f.name)
-    as_text = lambda f: any(t in f.dataType.simpleString() for t in ("map<", "variant"))
-    parts = [F.to_json(F.struct(f.name)) if as_text(f) else F.col(f.name) for f in columns]
-    return F.xxhash64(*parts) if parts else F.lit(0)
+    """A hash of a row's content, whatever the order of its columns: maps by their entries, what holds maps or variants
+    by its JSON text."""
+
+    def part(name: str, kind: str) -> Column:
+        inner = kind.removeprefix("map<")
+        if "map<" in inner or "variant" in kind:
+            return F.to_json(F.struct(name))
+        return F.map_entries(name) if inner != kind else F.col(name)
+
+    columns = sorted((f.name, f.dataType.simpleString()) for f in df.schema.fields if f.name not in leave_out)
+    return F.xxhash64(*[part(*c) for c in columns]) if columns else F.lit(0)
 
 
 def upsert_latest(df: DataFrame, keys: list[str] | None = None, version: str = "version") -> DataFrame:

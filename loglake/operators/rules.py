@@ -245,31 +245,28 @@ def cap_documents(hits: DataFrame, n: int = MAX_DOCUMENTS) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
 
 
-def document_columns(logs: DataFrame, fields: list[str]) -> dict[str, Column]:
-    """The document fields that the logs have; ``timestamp`` is the ISO text of ``ts`` where it is no column."""
-    have = {f: F.col(f) for f in fields if f in logs.columns}
-    if "timestamp" in fields and "timestamp" not in have:
-        have["timestamp"] = timestamp_to_iso("ts")
-    return have
-
-
 def rule_documents(
     logs: DataFrame, applications: list[Application], now: datetime, fields: list[str], n: int = MAX_DOCUMENTS
 ) -> DataFrame:
     """Up to ``n`` matching rows per rule as an array of name -> text maps: the newest, or by relevance if it is asked for.
 
-    Relevance (``ranked_by``) is that among all rows of the application in ``logs``, as for any search.
+    ``timestamp`` is the ISO text of ``ts`` where it is no column. Relevance (``ranked_by``) is that among all rows of the application in ``logs``, as for any search.
     """
     parts = []
     for part in by_lookback(applications):
         timed = at_time(logs, now)
         found = index_conditions(timed, part)
-        document = row_as_map(document_columns(logs, fields)).alias("document")
+        # texts are made of the few rows that are shown, not of all that hit
+        raw = F.struct(F.lit(True).alias("_"), *[F.col(f) for f in fields if f in logs.columns]).alias("_raw")
+        shown = {f: F.col("_raw")[f] for f in fields if f in logs.columns}
+        if "timestamp" in fields and "timestamp" not in shown:
+            shown["timestamp"] = timestamp_to_iso("ts")
         extra = relevance_columns(found.searches, "message") if found.searches else []
-        hits = condition_hits(recent(timed, part), found, "application", "id", "ts", document, *extra)
+        hits = condition_hits(recent(timed, part), found, "application", "id", "ts", raw, *extra)
         if found.searches:
             hits = with_relevance(logs, hits, found.searches, "message")
-        ranked = cap_documents(hits, n).groupBy("application", "condition").agg(
+        capped = cap_documents(hits, n).withColumn("document", row_as_map(shown))
+        ranked = capped.groupBy("application", "condition").agg(
             F.map_from_entries(F.collect_list(F.struct("rank", "document"))).alias("by_rank")
         )
         documents = F.transform(F.sequence(F.lit(1), F.size("by_rank")), lambda i: F.col("by_rank")[i])

@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loglake.operators.documents import content_hash
 from loglake.operators.rules import at_time, condition_hits, index_conditions
 from loglake.sources.config import Application
 
@@ -116,12 +117,12 @@ def micro_batches(df: DataFrame, seconds: int = 1, size: int = 1000, key: str =
     """
     batch_us = seconds * 1_000_000
     at = F.unix_micros("ts")
-    content = F.md5(F.to_json(F.struct(*df.columns)))
+    content = content_hash(df, ["id"])
     cut = df.withColumns(
         {
             "batch_second": F.floor(at / F.lit(batch_us)).cast("bigint") * F.lit(seconds),
             "_slot": F.floor(F.pmod(at, F.lit(batch_us)) / F.lit(batch_us // SLOTS)).cast("int"),
-            "_hash": F.coalesce(F.md5("id"), content),
+            "_hash": F.coalesce(F.md5("id"), F.md5(F.to_json(F.struct(*df.columns)))),
             "_content": content,
         }
     ).withColumn("_prefix", F.substring("_hash", 1, PREFIX))

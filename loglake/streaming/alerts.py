@@ -23,7 +23,11 @@ from loglake.streaming.windows import with_lateness
 
 SENT = "application string, rule_id string, eval_us bigint"
 _WIDTHS = StructType().add("condition", IntegerType()).add("width", IntegerType())
-_STORE = "spark.sql.streaming.stateStore.providerClass"
+# Timers need the RocksDB state store; it writes a batch's changes, and whole snapshots in the background.
+_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 STATE = "application string, rule_id string, retry_interval int, last_triggered timestamp"
 
 
@@ -183,13 +187,15 @@ def alert_stream(
     alerts = sent.join(found.rules.drop("condition"), ["application", "rule_id"])
     writer = alerts.writeStream.format("parquet").option("path", f"{path}/alerts").option("checkpointLocation", checkpoint)
     trigger = {"processingTime": interval} if interval else {"availableNow": True}
-    # Timers need the RocksDB state store; a query keeps the settings that it starts with.
-    before = spark.conf.get(_STORE, None)
-    spark.conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    # a query keeps the settings that it starts with
+    before = {name: spark.conf.get(name, None) for name in _STORE}
+    for name, value in _STORE.items():
+        spark.conf.set(name, value)
     try:
         return writer.trigger(**trigger).start()
     finally:
-        spark.conf.unset(_STORE) if before is None else spark.conf.set(_STORE, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def _micros(length: str) -> int:
