@@ -12,26 +12,31 @@ from pyspark.sql import functions as F
 
 from loglake.llm.common import map_arrow, slices, spread_join, stored
 from loglake.llm.components import connected_components
-from loglake.llm.shingles import BANDS, REGISTERS, ROWS, estimate, low_bits, overlap, registers, shingle_set
+from loglake.llm.shingles import BANDS, REGISTERS, ROWS, estimate, folded, overlap, parity, registers, shingle_set
 
 #: Sets are linked when 100 * intersection >= PERCENT * union.
 PERCENT = 80
 #: Standard errors by which an estimate may fall short of PERCENT before its pair is left unverified.
 ERRORS = 5
+#: Rows of a bucket that one task compares with the others at a time.
+BLOCK = 512
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        sizes, digests, sketches, bits = [], [], [], []
+        sizes, digests, sketches, bits, wide = [], [], [], [], []
         for text in batch.column("text").to_pylist():
             found = shingle_set(text)
             sizes.append(len(found))
             digests.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
             sketches.append(registers(found) if len(found) else None)
-            bits.append(low_bits(sketches[-1]) if len(found) else None)
+            whole = parity(found)
+            bits.append(folded(whole).tolist() if len(found) else None)
+            wide.append(whole.tolist() if len(whole) > 16 else None)
         columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
-                   pa.array(sketches, pa.binary()), pa.array(bits, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "digest", "sketch", "bits"])
+                   pa.array(sketches, pa.binary()), pa.array(bits, pa.list_(pa.int64())),
+                   pa.array(wide, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "digest", "sketch", "bits", "wide"])
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,22 +81,29 @@ def _linked(pairs: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _may_link() -> Column:
-    """Of rows ``a`` and ``b``: sizes allow a link, and so do the last four bits of registers.
+    """Of rows ``a`` and ``b``: their sizes allow a link, and so do their parity bits; no link is lost.
 
-    They differ in fifteen of sixteen registers that differ, and an estimate may be ERRORS standard errors off.
+    Sets with a Jaccard similarity of PERCENT differ in at most a share of (100 - PERCENT) / (100 + PERCENT) of their
+    summed sizes, and their bits in no more places. The first 1,024 bits settle most pairs; those of long texts are
+    compared over all their bits, folded to the width of the shorter.
     """
     n, m = F.col("a.n"), F.col("b.n")
-    each = F.lit(0x1111111111111111)
-
-    def differing(i: int) -> Column:
-        x = F.get("a.bits", F.lit(i)).bitwiseXOR(F.get("b.bits", F.lit(i)))
-        x = x.bitwiseOR(F.shiftright(x, 1))
-        return F.bit_count(x.bitwiseOR(F.shiftright(x, 2)).bitwiseAND(each))
-
-    differ = sum((differing(i) for i in range(16)), F.lit(0))
-    share = (1 - PERCENT / 100) * 15 / 16
-    error = F.sqrt(F.lit(share * (1 - share)) / F.least(F.lit(REGISTERS), F.greatest(n, m)))
-    return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & (differ <= REGISTERS * (share + ERRORS * error))
+    most = (100 - PERCENT) * (n + m)
+    differ = lambda x, y: F.bit_count(x.bitwiseXOR(y))
+    few = sum((differ(F.get("a.bits", F.lit(i)), F.get("b.bits", F.lit(i))) for i in range(16)), F.lit(0))
+    size = F.least(F.size("a.wide"), F.size("b.wide"))
+
+    def fold(x: Column) -> Column:
+        half = F.zip_with(F.slice(x, 1, size), F.slice(x, size + 1, size), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(x) > size, half).otherwise(x)
+
+    each = F.zip_with(fold(F.col("a.wide")), fold(F.col("b.wide")), differ)
+    all_ = F.aggregate(each, F.lit(0), lambda s, x: s + x)
+    return (
+        (100 * F.least(n, m) >= PERCENT * F.greatest(n, m))
+        & ((100 + PERCENT) * few <= most)
+        & (F.col("a.wide").isNull() | F.col("b.wide").isNull() | ((100 + PERCENT) * all_ <= most))
+    )
 
 
 def _labelled(bands: DataFrame, links: DataFrame) -> DataFrame:
@@ -107,16 +119,16 @@ def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     Classes meet where a band of registers is equal. A bucket's leader is the class in it that meets most others over
     all bands, the likely origin of a group of copies. Each class first meets the best of its leaders, then those
     leaders that are still in another component; links join into components. Where a bucket still holds
-    several components, its rows outside the largest are compared with all rows of other components in it, unless
-    their sizes or the last bits of their registers rule a link out. So of two classes that share a band either a path
+    several components, its rows outside the largest are compared, block by block, with all rows of other components in
+    it; pairs whose sizes or parity bits rule a link out are never made. So of two classes that share a band either a path
     of confirmed links joins them, or their own pair was tested. A large group of copies costs a pair a member and not
     all pairs.
     """
-    kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, digest binary, sketch binary, bits array<long>"
+    kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, digest binary, sketch binary, bits array<long>, wide array<long>"
     sketches = stored(map_arrow(docs.select("doc_id", "text"), _sketch, kinds))
     classes = sketches.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(
         F.min("doc_id").alias("id"), F.min_by("sketch", "doc_id").alias("sketch"), F.max("n").alias("n"),
-        F.min_by("bits", "doc_id").alias("bits"),
+        F.min_by("bits", "doc_id").alias("bits"), F.min_by("wide", "doc_id").alias("wide"),
     )
     classes = stored(classes)
     reps = classes.select("id", "sketch", "n")
@@ -148,12 +160,15 @@ def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     labelled = stored(_labelled(bands, links))
     parts = labelled.groupBy("key", "component").agg(F.count("*").alias("rows"))
     split = parts.groupBy("key").agg(
-        F.count("*").alias("parts"), F.max(F.struct("rows", "component"))["component"].alias("main")
+        F.count("*").alias("parts"), F.max(F.struct("rows", "component"))["component"].alias("main"),
+        F.ceil(F.sum("rows") / BLOCK).cast("int").alias("blocks"),
     )
-    mixed = labelled.join(split.where("parts > 1").select("key", "main"), "key")
-    mixed = stored(mixed.join(classes.select("id", "n", "bits"), "id"))
-    out, all_ = mixed.where("component <> main").alias("a"), mixed.alias("b")
-    cross = out.join(all_, F.col("a.key") == F.col("b.key")).where(
+    mixed = labelled.join(split.where("parts > 1").select("key", "main", "blocks"), "key")
+    mixed = stored(mixed.join(classes.select("id", "n", "bits", "wide"), "id"))
+    # rows outside the main component are dealt to blocks, and each block meets all rows of the bucket
+    out = mixed.where("component <> main").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).alias("a")
+    all_ = mixed.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("b")
+    cross = out.join(all_, (F.col("a.key") == F.col("b.key")) & (F.col("a.block") == F.col("b.block"))).where(
         "a.component <> b.component AND (b.component = b.main OR a.id > b.id)"
     ).where(_may_link())
     cross = cross.select(F.greatest("a.id", "b.id").alias("u"), F.least("a.id", "b.id").alias("v")).distinct()

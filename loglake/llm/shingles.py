@@ -79,11 +79,21 @@ def registers(shingles: np.ndarray) -> bytes:
     return of_bucket[asked].reshape(ROWS, BANDS).T.tobytes()
 
 
-def low_bits(sketch: bytes) -> list[int]:
-    """The last four bits of every register, in sixteen signed 64-bit numbers: a summary to carry along with a row."""
-    four = np.zeros(256, np.uint8)
-    four[:REGISTERS] = np.frombuffer(sketch, np.uint16) & 15
-    return (four[::2] << 4 | four[1::2]).view(np.int64).tolist()
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """Bits, in signed 64-bit numbers, that every shingle flips one of: two bits a shingle at least, and 1,024.
+
+    Two sets' bits differ in no more places than the sets do. The width is a power of two; folded in half by exclusive
+    or, bits are those of half the width.
+    """
+    width = max(1_024, 1 << (2 * len(shingles) - 1).bit_length()) if len(shingles) else 1_024
+    place = (shingles & np.uint64(width - 1)).astype(np.int64)
+    odd = (np.bincount(place, minlength=width) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
+def folded(bits: np.ndarray, size: int = 16) -> np.ndarray:
+    """Bits folded to ``size`` numbers."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, size), axis=0)
 
 
 def estimate(a: bytes, b: bytes) -> float:

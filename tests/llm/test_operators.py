@@ -471,6 +471,51 @@ def test_components(spark):
 # scores
 
 
+def test_parity_bits_never_differ_more_than_the_sets():
+    rng = np.random.default_rng(6)
+    for n in (1, 3, 90, 500, 700, 9_000):
+        for share in (0.0, 0.02, 0.2, 1.0):
+            a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+            fresh = rng.integers(0, 2**63, int(share * n)).astype(np.uint64)
+            b = np.unique(np.concatenate([a[len(fresh) :], fresh, fresh[: n // 9]]))
+            sets = len(np.setxor1d(a, b))
+            x, y = shingles.parity(a), shingles.parity(b)
+            size = min(len(x), len(y))
+            differ = lambda p, q: int(np.bitwise_count((p ^ q).view(np.uint64)).sum())
+            whole = differ(shingles.folded(x, size), shingles.folded(y, size))
+            assert differ(shingles.folded(x), shingles.folded(y)) <= whole <= sets
+            assert whole > 0.6 * sets or not share
+
+
+def test_large_group_of_unlike_members_makes_few_pairs(spark, monkeypatch):
+    """1,500 texts of 100 words, five edits each: their pairs are at about 0.69, and hardly any is ever made."""
+    rng = random.Random(9)
+    base, rows = [f"w{i}" for i in range(100)], []
+    for i in range(1_500):
+        words = list(base)
+        for at in rng.sample(range(100), 5):
+            words[at] = f"x{rng.randrange(10**9)}"
+        rows.append((i, " ".join(words)))
+    made = []
+    real = near_dedup._linked
+    monkeypatch.setattr(near_dedup, "_linked", lambda pairs, *a: made.append(pairs.count()) or real(pairs, *a))
+    found = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sum(made) < 10 * len(rows)
+    sets = [set(zip(w, w[1:])) for _, t in rows for w in [t.split()]]
+    component = list(range(len(rows)))
+
+    def root(i):
+        while component[i] != i:
+            i = component[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if 10 * len(x & sets[j]) >= 8 * len(x | sets[j]):
+                component[max(root(i), root(j))] = min(root(i), root(j))
+    assert {r["doc_id"]: r["component_id"] for r in found} == {i: root(i) for i in range(len(rows))}
+
+
 def test_lm_base_and_bits(docs):
     found = lm_score.lm_score(docs).collect()
     held = lambda i: zlib.crc32(str(i).encode() if i is not None else b"") % 10 == 0
