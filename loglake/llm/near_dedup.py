@@ -106,6 +106,15 @@ def _may_link() -> Column:
     )
 
 
+def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (``u, v``) that may be linked."""
+    sides = pairs
+    for side, name in (("u", "a"), ("v", "b")):
+        summary = F.struct("n", "bits", "wide").alias(name)
+        sides = sides.join(classes.select(F.col("id").alias(side), summary), side)
+    return sides.where(_may_link()).select("u", "v")
+
+
 def _labelled(bands: DataFrame, links: DataFrame) -> DataFrame:
     """Rows of ``bands`` with their component by ``links``."""
     found = connected_components(links)
@@ -155,7 +164,7 @@ def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     # leaders that are in another component than the row; pairs within one need no test
     leads = labelled.where("id = leader").select("key", F.col("component").alias("of"))
     starred = labelled.join(leads, "key").where("component <> of").select(*ends).distinct()
-    starred = stored(starred)
+    starred = stored(_possible(starred, classes))
     links = links.union(_linked(starred, reps, sets))
     labelled = stored(_labelled(bands, links))
     parts = labelled.groupBy("key", "component").agg(F.count("*").alias("rows"))
