@@ -18,14 +18,21 @@ DECIMALS = 9
 
 
 def field_terms(field: Column | str, wanted: list[str]) -> tuple[Column, Column]:
-    """The number of words in a field, and ``[(term, tf)]`` of the wanted ones that occur."""
-    words = tokenize(field)
+    """The number of words in a field, and ``[(term, tf)]`` of the wanted ones that occur.
+
+    The words are a lambda's variable: an expression used inside a lambda is computed again at each use, once for
+    every term found, while the variable is made once per row.
+    """
     known = F.array(*[F.lit(t) for t in wanted]) if wanted else F.array().cast("array<string>")
-    found = F.array_intersect(F.array_distinct(words), known)
-    counted = F.transform(
-        found, lambda t: F.struct(t.alias("term"), F.size(F.filter(words, lambda w: w == t)).alias("tf"))
-    )
-    return F.size(words), counted
+
+    def counted(words: Column) -> Column:
+        found = F.array_intersect(F.array_distinct(words), known)
+        tf = lambda t: F.size(F.filter(words, lambda w: w == t))
+        terms = F.transform(found, lambda t: F.named_struct(F.lit("term"), t, F.lit("tf"), tf(t)))
+        return F.named_struct(F.lit("length"), F.size(words), F.lit("terms"), terms)
+
+    both = F.transform(F.array(tokenize(field)), counted)[0]
+    return both["length"], both["terms"]
 
 
 def statistics(rows: DataFrame) -> DataFrame:
@@ -69,8 +76,12 @@ def _constant(value: dict[str, list[str]]) -> Column:
 def scored(logs: DataFrame, rows: DataFrame, vocabulary: list[str], field: Column | str) -> DataFrame:
     """``rows``, which have ``length`` and ``terms``, with the statistics of all ``logs`` of their application."""
     length, terms = field_terms(field, vocabulary)
-    totals = statistics(logs.select("application", length.alias("length"), terms.alias("terms")))
-    return rows.join(stored(totals, "statistics"), "application", "left")
+    return with_statistics(logs.select("application", length.alias("length"), terms.alias("terms")), rows)
+
+
+def with_statistics(counted: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` with the ``statistics`` of ``counted``, rows of all logs with ``length`` and ``terms``."""
+    return rows.join(stored(statistics(counted), "statistics"), "application", "left")
 
 
 def most_relevant(
@@ -89,9 +100,11 @@ def most_relevant(
             by_term.setdefault(t, []).append(name)
     vocabulary = sorted(by_term)
     length, terms = field_terms(field, vocabulary)
-    rows = logs.select("application", "id", *carry, length.alias("length"), terms.alias("terms")).filter(F.size("terms") > 0)
+    # the words of each row are counted once, for the statistics and the scores alike
+    every = stored(logs.select("application", "id", *carry, length.alias("length"), terms.alias("terms")), "terms")
+    rows = every.filter(F.size("terms") > 0)
     names = F.array_distinct(F.flatten(F.transform("terms", lambda e: _constant(by_term)[e["term"]])))
-    hits = scored(logs, rows, vocabulary, field).withColumn("search", F.explode(names))
+    hits = with_statistics(every, rows).withColumn("search", F.explode(names))
     score = F.round(bm25(F.col("terms"), _constant(wanted)[F.col("search")], F.col("length")), DECIMALS)
     order = Window.partitionBy("application", "search").orderBy(F.col("score").desc(), "id")
     ranked = hits.withColumn("score", score).withColumn("rank", F.row_number().over(order))

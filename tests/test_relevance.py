@@ -75,3 +75,12 @@ def test_documents_of_rules_by_relevance(logs, rows):
         score = scores(rows, "a", r.ranked_by) if r.ranked_by else {}
         want = sorted(hits, key=lambda i: (-round(score.get(i, 0), 9), -time[i].timestamp(), i))[:5]
         assert got[r.rule_id] == want, r
+
+
+def test_field_terms_tokenize_once(spark):
+    from loglake.operators.relevance import field_terms
+
+    length, terms = field_terms("message", ["a", "c", "z"])
+    assert terms._jc.toString().count("regexp_extract_all") == 1
+    row = spark.createDataFrame([("A b a c a",), ("",)], "message string").select(length.alias("n"), terms.alias("t")).collect()
+    assert [(r["n"], sorted((e["term"], e["tf"]) for e in r["t"])) for r in row] == [(5, [("a", 3), ("c", 1)]), (0, [])]
