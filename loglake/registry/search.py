@@ -66,9 +66,15 @@ def time_range(spark, sf):
 
 
 def stored_documents(spark, sf):
-    """``search_documents`` as stored logs in several files, each with rows of one language."""
+    """``search_documents`` as stored logs in several files, each with rows of one language.
+
+    There are as many files as the table has splits to read, six at least: a task writes, and later reads, a split's
+    worth of rows however large the table grows.
+    """
     path = shared_dir(spark, "documents")
-    search_documents(spark, sf).repartitionByRange(6, "category", "id").write.parquet(path)
+    documents = search_documents(spark, sf)
+    files = max(6, documents.rdd.getNumPartitions())
+    documents.repartitionByRange(files, "category", "id").write.parquet(path)
     return spark.read.parquet(path)
 
 

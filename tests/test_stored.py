@@ -135,3 +135,21 @@ def test_a_reader_sees_an_alias_before_or_after_a_change(spark, tmp_path):
     assert members(read_aliases(spark, path))["latest"] == {"c4"}
     compact_aliases(spark, path, str(tmp_path / "compacted"))
     assert members(read_aliases(spark, str(tmp_path / "compacted"))) == {"latest": {"c4"}}
+
+
+def test_stored_documents_grow_with_their_splits(spark, tmp_path):
+    from loglake.registry import search
+
+    rows = [(i, "ab"[i % 2], ["en", "de", "fr"][i % 3], f"the license {i}" if i % 5 else f"other {i}") for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string")
+    docs.repartition(12).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        assert spark.read.parquet(f"{tmp_path}/documents.parquet").rdd.getNumPartitions() == 12
+        stored = search.stored_documents(spark, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(stored.inputFiles()) > 6
+    assert stored.count() == 1200
+    found = {r["id"] for r in search.match_pruned(spark, str(tmp_path)).collect()}
+    assert found == {str(i) for i in range(1200) if i % 5}
