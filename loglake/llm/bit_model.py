@@ -79,12 +79,20 @@ def prefix_code(triples: np.ndarray) -> Code:
 
 def keys(data: np.ndarray, heads: np.ndarray) -> np.ndarray:
     """Of each position: its byte and the five before it, the nearest lowest; zeros before a text's begin."""
-    out = data.astype(np.uint64)
-    for back in range(1, max(ORDERS) + 1):
-        shifted = np.zeros(len(data), np.uint64)
-        shifted[back:] = data[:-back]
-        shifted[heads < back] = 0
-        out |= shifted << np.uint64(8 * back)
+    return _packed(data, heads, max(ORDERS))
+
+
+def _packed(data: np.ndarray, heads: np.ndarray, depth: int, kind=np.uint64) -> np.ndarray:
+    """Each position's byte and the ``depth`` before it, the nearest lowest, zeros before a text's begin.
+
+    Bytes are masked while they are bytes, and widened once each.
+    """
+    out = data.astype(kind)
+    for back in range(1, depth + 1):
+        if back >= len(data):
+            break
+        part = data[:-back] * (heads[back:] >= back)
+        out[back:] |= part.astype(kind) << kind(8 * back)
     return out
 
 
@@ -134,7 +142,7 @@ def chunks(texts: list[bytes], limit: int = CHUNK) -> Iterator[list[int]]:
 def triple_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """``(two bytes before * 256 + byte, count)`` of what occurs."""
     data, heads, _ = laid_out(texts)
-    found, n = np.unique((keys(data, heads) & np.uint64(0xFFFFFF)).astype(np.uint32), return_counts=True)
+    found, n = np.unique(_packed(data, heads, 2, np.uint32), return_counts=True)
     return found, n
 
 
@@ -201,10 +209,14 @@ def _chunk_losses(texts: list[bytes], code: Code, tables: list[np.ndarray]) -> n
         short &= ~long
         features = (a * ~(long | short), a * short, a * long, b * short, b * long, c)
         w = weights[:active]
-        z = sum(f * w[:, i, None] for i, f in enumerate(features))
+        z = features[0] * w[:, 0, None]
+        for i in range(1, len(features)):
+            z += features[i] * w[:, i, None]
         z *= sign
         np.clip(z, -10, 10, out=z)
-        p = 1 / (1 + np.exp(-z))
+        p = np.exp(np.negative(z, out=z), out=z)
+        p += 1
+        np.reciprocal(p, out=p)
         loss[:active] -= (np.log(p) * (sign != 0)).sum(1, dtype=np.float64)
         error = (1 - p) * sign * np.float32(RATE / BLOCK / SCALE / SCALE)
         for i, f in enumerate(features):

@@ -27,28 +27,19 @@ BLOCK = 1 << 13
 SMOOTHING = 0.1
 #: Bytes whose contexts are counted at a time.
 GATHERED = 4 << 20
-REMEMBERED = 300_000
 
 #: Hash of the token that ends a text; no word has a space in it.
 END_TOKEN = xxhash.xxh64_intdigest(b" ") - (1 << 63)
 
 
-class _TokenHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word) - (1 << 63)
-        return value
-
-
-_HASHES = _TokenHashes()
-
-
 def tokens(data: bytes) -> np.ndarray:
     """Hashes of a text's words, A-Z lower-cased, and of its end."""
     found = data.lower().split()
-    out = np.empty(len(found) + 1, np.int64)
-    out[:-1] = np.fromiter(map(_HASHES.__getitem__, found), np.int64, len(found))
+    out = np.empty(len(found) + 1, np.uint64)
+    # xxh64 less 2**63, as a signed 64-bit number, is xxh64 with its top bit flipped
+    out[:-1] = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
+    out[:-1] ^= np.uint64(1 << 63)
+    out = out.view(np.int64)
     out[-1] = END_TOKEN
     return out
 
