@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loglake.llm.common import map_arrow, shared_dir, slices, spread_join, stored
@@ -18,12 +19,15 @@ LONGEST = 4
 TOP = 2_000
 UNKNOWN = "und"
 
-#: Words of a dictionary, and edges of a trie, that are sent to the workers at a time (some 60 MB).
-ENTRIES = 1 << 20
+#: Words of a dictionary that is sent to the workers at a time, and edges of a trie (some 15 MB).
+ENTRIES, EDGES = 1 << 20, 1 << 18
 #: A trie covers so many ids of parents, and of words: what its arrays are indexed by.
 SPAN_BITS = 20
-#: Words of a blob, and of the blobs that are counted together; a longer text makes a longer blob.
-BLOB, GATHERED = 1 << 18, 1 << 20
+#: Words of a blob, of the blobs that are counted together, and of those that a trie is read for; a longer text makes a
+#: longer blob.
+BLOB, GATHERED, STEPPED = 1 << 15, 1 << 20, 1 << 22
+#: Bytes of blobs that go to a worker at a time, and of a row group of them: what a task holds outside Python.
+BATCH, ROW_GROUP = 4 << 20, 4 << 20
 #: Distinct words that a task holds counts of.
 HELD = 200_000
 #: Words of the corpus for each shard that counts of candidates are summed in.
@@ -141,13 +145,6 @@ class Trie:
         return out
 
 
-class _NoTrie:
-    """What an empty part of a cell has in place of a trie."""
-
-    def step(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
-        return np.zeros(len(state), np.int32)
-
-
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of words by language; the null word has the count of all words."""
     held: dict[str, Counter] = {}
@@ -172,13 +169,34 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, workers get ``BATCH`` bytes at a time, and not Spark's 64 MB."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _kept(df: DataFrame) -> DataFrame:
-    """``common.stored`` for arrays of ids, which another compression makes much smaller."""
+    """``common.stored`` for arrays of ids, which another compression makes much smaller; row groups are small."""
     path = shared_dir(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
+    with _small_batches(df.sparkSession):
+        df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _lent(shared):
+    """The value of a broadcast variable, which the worker does not keep: it is read again the next time."""
+    value = shared.value
+    if getattr(shared, "_path", None):  # under encryption it can be read only once
+        vars(shared).pop("_value", None)
+    return value
+
+
 def _numbered(rows: DataFrame, order: list[str], total: int) -> DataFrame:
     """``rows`` with an ``id`` from 1, without gaps: slices by hash, numbered each, begin where those before them end."""
     parts = max(8, total // 100_000)
@@ -191,6 +209,24 @@ def _numbered(rows: DataFrame, order: list[str], total: int) -> DataFrame:
     return numbered.withColumn("id", (F.col("_start") + F.col("_place")).cast("int")).drop("_part", "_place", "_start")
 
 
+class _Dictionary:
+    """Rows of ``lang, word, id``, which become ids by language and word where they are sent to; the driver keeps columns."""
+
+    def __init__(self, rows: pa.Table):
+        self.rows = rows
+
+    def __reduce__(self):
+        return _by_language, (self.rows,)
+
+
+def _by_language(rows: pa.Table) -> dict[str, dict[bytes, int]]:
+    known: dict[str, dict[bytes, int]] = {}
+    for batch in rows.to_batches(max_chunksize=4096):
+        for lang, word, number in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+            known.setdefault(lang, {})[word] = number
+    return known
+
+
 def _encoded(docs: DataFrame, words: DataFrame, total: int) -> DataFrame:
     """Blobs: 32-bit word ids (``planes``) of whole texts, one after another, each ended by 0.
 
@@ -201,11 +237,8 @@ def _encoded(docs: DataFrame, words: DataFrame, total: int) -> DataFrame:
     shards = max(1, -(-total // ENTRIES))
     rows = docs.withColumn("words", F.lit(None).cast("binary"))
     for shard in range(shards):
-        known: dict[str, dict[bytes, int]] = {}
         part = words.where(F.pmod(F.xxhash64("word"), F.lit(shards)) == shard).select("lang", "word", "id")
-        for lang, word, number in part.toLocalIterator():
-            known.setdefault(lang, {})[bytes(word)] = number
-        rows = _looked_up(rows, spark.sparkContext.broadcast(known), shard == shards - 1)
+        rows = _looked_up(rows, spark.sparkContext.broadcast(_Dictionary(part.toArrow())), shard == shards - 1)
     return rows
 
 
@@ -327,47 +360,85 @@ def _tally(blobs: DataFrame, length: int, least: int, words: int, shards: int) -
 
     packed = map_arrow(blobs, count, "shard int, keys binary, counts binary")
     packed = packed.repartition(shards, "shard").sortWithinPartitions("shard")
-    return stored(map_arrow(packed, add, "parent int, word int, n long"))
+    with _small_batches(blobs.sparkSession):
+        return stored(map_arrow(packed, add, "parent int, word int, n long"))
+
+
+def _cells(edges: DataFrame) -> list[tuple[int, int, int, int, int]]:
+    """``up, first, last, shard, shards``: parents of ``SPAN_BITS`` bits, a range of words within as many, and a share.
+
+    Ranges are made of blocks of words, and end before they have more than ``EDGES``. A block that alone has more is dealt
+    by both ids. Narrow ranges make dense tries.
+    """
+    low = max(0, SPAN_BITS - 10)
+    counts = edges.groupBy(F.expr(f"parent >> {SPAN_BITS}").alias("up"), F.expr(f"word >> {low}").alias("block")).count()
+    ranges: list[list[int]] = []
+    for up, block, n in counts.orderBy("up", "block").collect():
+        same = ranges and ranges[-1][0] == up and ranges[-1][1] << low >> SPAN_BITS == block << low >> SPAN_BITS
+        if same and ranges[-1][3] + n <= EDGES:
+            ranges[-1][2:] = [block, ranges[-1][3] + n]
+        else:
+            ranges.append([up, block, block, n])
+    return [
+        (up, first << low, (last + 1 << low) - 1, shard, shards)
+        for up, first, last, n in ranges
+        for shards in [-(-n // EDGES)]
+        for shard in range(shards)
+    ]
 
 
 def _advanced(blobs: DataFrame, edges: DataFrame, length: int) -> DataFrame:
     """``words, state``: at every place the id of the candidate of ``length`` words that begins there, or 0.
 
-    A trie holds the edges of a cell: of ``SPAN_BITS`` bits of parents and words, and at most ``ENTRIES``, dealt by
-    hash. Tries are sent one after another, and the blobs are passed over for each.
+    A trie holds the edges of a cell (see ``_cells``). The blobs are passed over once. With several tries, a worker
+    holds some blobs and one trie at a time.
     """
     spark = blobs.sparkSession
-    last = F.lit(b"") if length == LONGEST else F.col("words")  # no word more is asked for
-    cells = edges.withColumn("up", F.expr(f"parent >> {SPAN_BITS}")).withColumn("down", F.expr(f"word >> {SPAN_BITS}"))
-    rows = blobs.withColumn("next", F.lit(None).cast("binary"))
-    before = "state" if length > 2 else "words"
-
-    def pass_over(rows: DataFrame, shared, at_last: bool) -> DataFrame:
-        def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            trie = shared.value
-            for batch in batches:
-                for words, state, known in _arrays(batch, "words", before, "next"):
-                    after = np.zeros(len(words), np.int32)
-                    after[: max(0, len(words) - length + 1)] = words[length - 1 :]
-                    found = trie.step(state, after)
-                    found = found if known is None else np.maximum(found, known)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([planes(x)], pa.binary()) for x in (words, state, found)],
-                        names=["words", "state", "next"],
-                    )
-
-        stepped = map_arrow(rows, step, "words binary, state binary, next binary")
-        return _kept(stepped.select(last.alias("words"), F.col("next").alias("state")) if at_last else stepped)
-
-    found = cells.groupBy("up", "down").count().orderBy("up", "down").collect()
-    parts = [(c["up"], c["down"], n, -(-c["count"] // ENTRIES)) for c in found for n in range(-(-c["count"] // ENTRIES))]
-    for up, down, shard, shards in parts:
-        part = cells.where((F.col("up") == up) & (F.col("down") == down))
-        part = part.where(F.pmod(F.xxhash64("parent", "word"), F.lit(shards)) == shard).select("parent", "word", "id").toPandas()
-        columns = (part[c].to_numpy(np.int64) for c in ("parent", "word", "id"))
-        trie = Trie(*columns, up << SPAN_BITS, down << SPAN_BITS) if len(part) else _NoTrie()
-        rows = pass_over(rows, spark.sparkContext.broadcast(trie), (up, down, shard, shards) == parts[-1])
-    return rows
+    bits = SPAN_BITS
+    tries = []
+    for up, first, last, shard, shards in _cells(edges):
+        part = edges.where(f"parent >> {bits} = {up} AND word BETWEEN {first} AND {last} AND (parent ^ word) % {shards} = {shard}")
+        part = part.select("parent", "word", "id").toArrow()
+        if len(part):
+            trie = Trie(*(c.to_numpy().astype(np.int64) for c in part.columns), up << bits, first)
+            tries.append((up, first, last, shard, shards, spark.sparkContext.broadcast(trie)))
+            del trie
+    before, asked = "state" if length > 2 else "words", length < LONGEST  # after the last level no word more is asked for
+    enough = STEPPED if len(tries) > 1 else 1
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for up, first, last, shard, shards, shared in tries:
+                trie = None  # the one before goes first
+                trie = _lent(shared) if len(tries) > 1 else shared.value
+                for _, found, at, parent, word in held:
+                    inside = np.flatnonzero((parent >> bits == up) & (word >= first) & (word <= last))
+                    if shards > 1:
+                        inside = inside[(parent[inside] ^ word[inside]) % shards == shard]
+                    found[at[inside]] = trie.step(parent[inside], word[inside])
+            for words, found, *_ in held:
+                ids = (planes(words) if asked else b"", planes(found))
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in ids], names=["words", "state"])
+
+        size = 0
+        for batch in batches:
+            for words, state in _arrays(batch, "words", before):
+                parent, word = state[: max(0, len(words) - length + 1)], words[length - 1 :]
+                at = np.flatnonzero((parent > 0) & (word > 0)).astype(np.int32)
+                held.append((words, np.zeros(len(words), np.int32), at, parent[at], word[at]))
+                size += len(words)
+                if size >= enough:
+                    yield from out()
+                    held.clear()
+                    size = 0
+        yield from out() if held else ()
+
+    stepped = _kept(map_arrow(blobs, step, "words binary, state binary"))
+    for *_, shared in tries:
+        shared.destroy()
+    return stepped
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:

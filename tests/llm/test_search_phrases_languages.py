@@ -8,7 +8,9 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from loglake.llm import language_id, lexical_search, phrases
 
@@ -213,6 +215,60 @@ def test_collocations_of_nothing(none, docs):
     assert phrases.collocations(docs, least=10**6).collect() == []
 
 
+def test_many_tries_take_one_pass_a_level(docs, monkeypatch):
+    for name, value in (("ENTRIES", 16), ("EDGES", 8), ("STEPPED", 500), ("BLOB", 200)):
+        monkeypatch.setattr(phrases, name, value, raising=False)
+    kept, built, passes, tries = phrases._kept, phrases.Trie.__init__, [], []
+    monkeypatch.setattr(phrases, "_kept", lambda df: (passes.append(df.columns), kept(df))[1])
+    monkeypatch.setattr(phrases.Trie, "__init__", lambda self, *x: (tries.append(len(x[0])), built(self, *x))[1])
+    few = [r for r in ROWS if r[0] is not None and r[0] < 100]
+    found = phrases.collocations(docs.where("doc_id < 100"), 15, 25).collect()
+    assert sorted(tuple(r) for r in found) == _collocations(few, 15, 25) and found
+    assert len(tries) > 6 and sum("state" in columns for columns in passes) <= 3
+    assert max(tries) <= 20  # a block is dealt by a hash, so not quite evenly
+
+
+def test_tries_are_dealt_by_ranges_of_words(spark, monkeypatch):
+    for name, value in (("EDGES", 40), ("SPAN_BITS", 12)):
+        monkeypatch.setattr(phrases, name, value)
+    hot = [(p, 17) for p in range(1, 300)]
+    edges = sorted({(1 + 7 * i % 9_000, 1 + i * i % 6_000) for i in range(1_500)} | set(hot))
+    cells = phrases._cells(spark.createDataFrame(edges, "parent int, word int"))
+    of = collections.Counter(
+        cell for p, w in edges for cell in cells
+        if p >> 12 == cell[0] and cell[1] <= w <= cell[2] and (p ^ w) % cell[4] == cell[3]
+    )
+    assert of.total() == len(edges) and max(of.values()) <= 60  # a block is dealt by a hash, so not quite evenly
+    assert all(first >> 12 == last >> 12 for _, first, last, *_ in cells)
+
+
+def test_workers_get_little_at_a_time(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    blobs = spark.range(0, 64, 1, 1).select(F.expr("repeat(cast(id % 10 AS string), 1000000)").cast("binary").alias("words"))
+    found = [r[0] for r in phrases._kept(phrases.map_arrow(blobs, sizes, "n long")).collect()]
+    assert sum(found) >= 64e6 and max(found) < 8e6
+    assert spark.conf.get(name) == before
+
+
+def test_workers_do_not_keep_what_is_lent(spark):
+    shared = [spark.sparkContext.broadcast([n] * 9) for n in range(3)]
+
+    def held(batches):
+        for _ in batches:
+            for _ in range(2):
+                for n, one in enumerate(shared):
+                    assert phrases._lent(one) == [n] * 9
+            yield pa.RecordBatch.from_arrays([pa.array([sum("_value" in vars(one) for one in shared)])], names=["n"])
+
+    assert phrases.map_arrow(spark.range(1), held, "n long").first()[0] == 0
+
+
 def test_double_array_finds_its_edges_and_no_others():
     rng = np.random.default_rng(5)
     edges = np.unique(rng.zipf(1.3, (60_000, 2)) % [5_000, 3_000] + 1, axis=0)
